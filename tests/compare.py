@@ -49,14 +49,12 @@ def compare(spark, con, sf: str, fn, oracle: str | None):
     theirs = _rows(theirs_cols, cur.fetchall())
     if sorted(cols) != sorted(theirs_cols):
         return f"columns {sorted(cols)} != {sorted(theirs_cols)}", len(mine)
-    for i, (a, b) in enumerate(zip(sorted(cols), sorted(cols))):
-        pass
     if len(mine) != len(theirs):
         return f"rows {len(mine)} != {len(theirs)}", len(mine)
-    bad = [(a, b) for a, b in zip(mine, theirs) if a != b]
+    # repr also tells an int from a double and 1.0 from 1.00
+    bad = [(a, b) for a, b in zip(mine, theirs) if repr(a) != repr(b)]
     if bad:
         return f"{len(bad)} rows differ, first:\n  spark {str(bad[0][0])[:600]}\n  duck  {str(bad[0][1])[:600]}", len(mine)
-    spark_types = {type(v) for r in mine for v in r if v is not None}
     return None, len(mine)
 
 

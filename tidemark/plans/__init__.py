@@ -2,19 +2,19 @@
 
 from importlib import import_module
 
-_MODULES = ("commerce",)
+_MODULES = ("commerce", "ingest", "logs")
 
 
 def _merged(attribute: str) -> dict:
     merged: dict = {}
     for name in _MODULES:
-        merged.update(getattr(import_module(f"tidemark.plans.{name}"), attribute))
+        merged.update(getattr(import_module(f"tidemark.plans.{name}").register, attribute))
     return merged
 
 
 def all_queries() -> dict:
-    return _merged("QUERIES")
+    return _merged("queries")
 
 
 def all_oracles() -> dict:
-    return _merged("ORACLE")
+    return _merged("oracles")

@@ -6,22 +6,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.fixed_values import FIRST_NAMES_EVEN, FIRST_NAMES_ODD, LAST_NAMES, PRODUCT_CATALOGUE
 from tidemark.operators import commerce as E
+from tidemark.plans.register import Registry
 from tidemark.plans.views_sql import sql
 from tidemark.sources import testmodel as m
 
-QUERIES, ORACLE = {}, {}
+register = Registry()
 HOURS = 24 * 30
 
 
-def register(name: str, oracle: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle:
-            ORACLE[name] = oracle
-        return fn
-    return add
-
-
 def _sql_list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
