@@ -94,7 +94,9 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str] | str | None, value: st
                .withColumn("_bucket", value_bucket(value)))
     offsets = _bucket_offsets(counted, keys, descending=False)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
-    position = F.col("prob") * (F.col("_total") - 1)
+    # Continuous: linear between neighbours. Discrete: the first value that covers the share.
+    position = (F.col("prob") * (F.col("_total") - 1) if interpolate
+                else F.greatest(F.ceil(F.col("prob") * F.col("_total")) - 1, F.lit(0)))
     targets = (offsets.withColumn("prob", F.explode(wanted))
                .withColumn("_pos", position)
                .withColumn("_lo", F.floor("_pos"))

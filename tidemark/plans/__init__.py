@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("commerce", "ingest", "logs")
+_MODULES = ("commerce", "ingest", "logs", "traces")
 
 
 def _merged(attribute: str) -> dict:
