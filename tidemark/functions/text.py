@@ -11,13 +11,16 @@ from pyspark.sql import Column, functions as F
 from tidemark.functions.fixed_values import ENTITY_NOISE, ENTITY_TYPES, SEPARATORS, STOP_WORDS
 
 _START, _END = f"(?:^|{SEPARATORS})", f"(?:$|{SEPARATORS})"
-NEVER = F.lit(False)
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def never() -> Column:
+    return F.lit(False)
+
+
 def query_tokens(text: str) -> list[str]:
     """Tokens of a search parameter, by the same rule the column side uses."""
     return [t for t in re.split(f"{SEPARATORS}+", text.lower()) if t]
@@ -32,7 +35,7 @@ def match_any(c: Column | str, query: str) -> Column:
     """At least one query token occurs as a whole token."""
     words = query_tokens(query)
     if not words:
-        return NEVER
+        return never()
     return F.lower(_col(c)).rlike(f"{_START}(?:{'|'.join(words)}){_END}")
 
 
@@ -40,7 +43,7 @@ def match_all(c: Column | str, query: str) -> Column:
     """Every query token occurs."""
     words = query_tokens(query)
     if not words:
-        return NEVER
+        return never()
     return reduce(Column.__and__, [match_any(c, w) for w in words])
 
 
@@ -48,7 +51,7 @@ def match_phrase(c: Column | str, query: str) -> Column:
     """The query tokens occur consecutively."""
     words = query_tokens(query)
     if not words:
-        return NEVER
+        return never()
     return F.lower(_col(c)).rlike(f"{_START}{(SEPARATORS + '+').join(words)}{_END}")
 
 
@@ -56,7 +59,7 @@ def match_phrase_prefix(c: Column | str, query: str) -> Column:
     """Like a phrase, but the last token only has to be a prefix."""
     words = query_tokens(query)
     if not words:
-        return NEVER
+        return never()
     return F.lower(_col(c)).rlike(f"{_START}{(SEPARATORS + '+').join(words)}")
 
 

@@ -48,13 +48,13 @@ class Search:
             return F.col(field) == F.lit(word == "true" or word == "1")
         if isinstance(kind, T.NumericType):
             n = _number(term)
-            return text.NEVER if n is None else F.col(field) == F.lit(n)
+            return text.never() if n is None else F.col(field) == F.lit(n)
         return None
 
     def term(self, field: str, term: str, prefix: bool = False, suffix: bool = False, negate: bool = False) -> Column:
         """``field:term``; ``suffix`` is a trailing wildcard and needs only a token prefix."""
         if not self._known(field):
-            return text.NEVER
+            return text.never()
         scalar = self._scalar(field, term)
         if scalar is not None:
             return self._signed(scalar, negate)
@@ -68,7 +68,7 @@ class Search:
     def phrase(self, field: str, phrase: str, negate: bool = False) -> Column:
         """``field:"a b"``: consecutive tokens, or equality for other types."""
         if not self._known(field):
-            return text.NEVER
+            return text.never()
         scalar = self._scalar(field, phrase)
         if scalar is not None:
             return self._signed(scalar, negate)
@@ -79,7 +79,7 @@ class Search:
     def exists(self, field: str, negate: bool = False) -> Column:
         """``field:*``: neither null nor empty."""
         if not self._known(field):
-            return text.NEVER
+            return text.never()
         present = F.col(field).isNotNull()
         if field in self.strings():
             present = present & (F.col(field) != "")
@@ -88,7 +88,7 @@ class Search:
     def compare(self, field: str, op: str, value, negate: bool = False) -> Column:
         """``field:>=value``; a negated comparison is the opposite comparison."""
         if not self._known(field):
-            return text.NEVER
+            return text.never()
         op = _FLIPPED[op] if negate else op
         left, right = F.col(field), F.lit(value).cast(self.types[field])
         if isinstance(self.types[field], T.NumericType):
@@ -98,7 +98,7 @@ class Search:
     def between(self, field: str, low, high, negate: bool = False) -> Column:
         """``field:[low TO high]``, both ends inclusive, compared in the field's own type."""
         if not self._known(field):
-            return text.NEVER
+            return text.never()
         kind = self.types[field]
         if isinstance(kind, T.NumericType):
             low, high = _number(low), _number(high)
@@ -111,9 +111,9 @@ class Search:
         if phrase:
             fields = [f for f in fields if f in self.strings()]
         if not fields:
-            return text.NEVER
+            return text.never()
         # Null in one field must not hide a hit in another, nor a miss in all of them.
-        hits = [F.coalesce(self.phrase(f, term) if phrase else self.term(f, term, prefix, suffix), text.NEVER)
+        hits = [F.coalesce(self.phrase(f, term) if phrase else self.term(f, term, prefix, suffix), text.never())
                 for f in fields]
         return self._signed(reduce(Column.__or__, hits), negate)
 
@@ -129,10 +129,10 @@ class Search:
             kind = self.types.get(name)
             if isinstance(kind, T.NumericType):
                 n = _number(bare)
-                hits.append(text.NEVER if n is None else F.col(name) == F.lit(n))
+                hits.append(text.never() if n is None else F.col(name) == F.lit(n))
             elif isinstance(kind, T.StringType):
                 hits.append(text.match_phrase(name, bare) if quoted else text.match_any(name, bare))
             elif isinstance(kind, T.ArrayType):
                 match = text.match_phrase if quoted else text.match_any
                 hits.append(F.exists(name, lambda x: match(x, bare)))
-        return reduce(Column.__or__, [F.coalesce(h, text.NEVER) for h in hits]) if hits else text.NEVER
+        return reduce(Column.__or__, [F.coalesce(h, text.never()) for h in hits]) if hits else text.never()

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("commerce", "ingest", "logs", "traces", "retrieval")
+_MODULES = ("commerce", "ingest", "logs", "traces", "retrieval", "corpus")
 
 
 def _merged(attribute: str) -> dict:
