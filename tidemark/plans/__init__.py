@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("commerce", "ingest", "logs", "traces", "retrieval", "corpus")
+_MODULES = ("commerce", "ingest", "logs", "traces", "retrieval", "corpus", "streaming")
 
 
 def _merged(attribute: str) -> dict:

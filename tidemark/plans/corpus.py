@@ -17,7 +17,7 @@ register = Registry()
 _MENTIONS = """, mentions AS (SELECT tenant_id, corpus_id, row_id, unnest(entity_names) AS entity_name FROM chunks),
 named AS (SELECT * FROM mentions WHERE strlen(entity_name) > 2)
 """
-SEED = "There"  # an entity name that occurs in the corpus
+SEED, SECOND = "Eriner", "Nicht"  # entity names that occur at every scale
 
 
 def _join(column: str, sep: str = "|"):
@@ -85,7 +85,7 @@ def r19(spark, sf):
     return G.bfs2(G.triple_index(m.chunks(spark, sf)), SEED)
 
 
-_HOPS = f""", s AS (SELECT unnest(['{SEED}', 'Token']) AS e),
+_HOPS = f""", s AS (SELECT unnest(['{SEED}', '{SECOND}']) AS e),
 n1 AS (SELECT DISTINCT target_entity AS e FROM triples WHERE source_entity IN (SELECT e FROM s) AND target_entity NOT IN (SELECT e FROM s)),
 visited AS (SELECT e, 1 AS hop FROM s UNION ALL SELECT e, 2 FROM n1),
 edges AS (SELECT source_entity, relation_type, target_entity, chunk_id, hop FROM triples JOIN visited ON source_entity = e)
@@ -95,13 +95,13 @@ edges AS (SELECT source_entity, relation_type, target_entity, chunk_id, hop FROM
 @register("r20_subgraph_edges", sql("triples", _HOPS + """
 SELECT source_entity, relation_type, target_entity, min(hop) AS hop FROM edges GROUP BY 1, 2, 3"""))
 def r20(spark, sf):
-    return G.subgraph_edges(G.hop_edges(G.triple_index(m.chunks(spark, sf)), [SEED, "Token"], hops=2))
+    return G.subgraph_edges(G.hop_edges(G.triple_index(m.chunks(spark, sf)), [SEED, SECOND], hops=2))
 
 
 @register("r20_subgraph_chunks", sql("triples", _HOPS + """
 SELECT chunk_id, min(hop) AS hop, count(*) AS edges FROM edges GROUP BY 1 ORDER BY 2, 3 DESC, 1 LIMIT 15"""))
 def r20_chunks(spark, sf):
-    return G.subgraph_chunks(G.hop_edges(G.triple_index(m.chunks(spark, sf)), [SEED, "Token"], hops=2))
+    return G.subgraph_chunks(G.hop_edges(G.triple_index(m.chunks(spark, sf)), [SEED, SECOND], hops=2))
 
 
 _NODES = """, seen AS (SELECT DISTINCT row_id, unnest(entity_names) AS name FROM chunks),
