@@ -10,7 +10,8 @@ from pyspark.sql import Column, functions as F
 
 from tidemark.functions.fixed_values import ENTITY_NOISE, ENTITY_TYPES, SEPARATORS, STOP_WORDS
 
-_START, _END = f"(?:^|{SEPARATORS})", f"(?:$|{SEPARATORS})"
+# A token starts and ends where no non-separator touches it.
+_START, _END = f"(?<![^{SEPARATORS[1:]})", f"(?![^{SEPARATORS[1:]})"
 
 
 def _col(c: Column | str) -> Column:
@@ -31,36 +32,37 @@ def tokens(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(_col(c)), f"{SEPARATORS}+"), lambda t: t != "")
 
 
+def _has_words(c: Column | str, words: Sequence[str], pattern: str, any_word: bool = False) -> Column:
+    """A byte search for the words first; the pattern decides only where they occur at all."""
+    if not words:
+        return never()
+    low = F.lower(_col(c))
+    found = [low.contains(w) for w in dict.fromkeys(words)]
+    return reduce(Column.__or__ if any_word else Column.__and__, found) & low.rlike(pattern)
+
+
 def match_any(c: Column | str, query: str) -> Column:
     """At least one query token occurs as a whole token."""
     words = query_tokens(query)
-    if not words:
-        return never()
-    return F.lower(_col(c)).rlike(f"{_START}(?:{'|'.join(words)}){_END}")
+    return _has_words(c, words, f"{_START}(?:{'|'.join(words)}){_END}", any_word=True)
 
 
 def match_all(c: Column | str, query: str) -> Column:
     """Every query token occurs."""
     words = query_tokens(query)
-    if not words:
-        return never()
-    return reduce(Column.__and__, [match_any(c, w) for w in words])
+    return reduce(Column.__and__, [match_any(c, w) for w in words]) if words else never()
 
 
 def match_phrase(c: Column | str, query: str) -> Column:
     """The query tokens occur consecutively."""
     words = query_tokens(query)
-    if not words:
-        return never()
-    return F.lower(_col(c)).rlike(f"{_START}{(SEPARATORS + '+').join(words)}{_END}")
+    return _has_words(c, words, f"{_START}{(SEPARATORS + '+').join(words)}{_END}")
 
 
 def match_phrase_prefix(c: Column | str, query: str) -> Column:
     """Like a phrase, but the last token only has to be a prefix."""
     words = query_tokens(query)
-    if not words:
-        return never()
-    return F.lower(_col(c)).rlike(f"{_START}{(SEPARATORS + '+').join(words)}")
+    return _has_words(c, words, f"{_START}{(SEPARATORS + '+').join(words)}")
 
 
 def match_regexp(c: Column | str, pattern: str) -> Column:
@@ -101,9 +103,7 @@ def highlight(c: Column | str, query: str) -> Column:
     words = query_tokens(query)
     if not words:
         return text
-    # A look-behind and a look-ahead leave the separators for the neighbouring hit.
-    pattern = f"(?i)(?<=^|{SEPARATORS})({'|'.join(words)})(?=$|{SEPARATORS})"
-    return F.regexp_replace(text, pattern, "<mark>$1</mark>")
+    return F.regexp_replace(text, f"(?iu){_START}({'|'.join(words)}){_END}", "<mark>$1</mark>")
 
 
 def entity_words(content: Column | str, n: int = 8) -> Column:

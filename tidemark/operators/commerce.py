@@ -19,6 +19,7 @@ from tidemark.functions.fixed_values import (
 from tidemark.functions.scale import (
     collect_in_pages, exact_percentiles, top_per_group, with_dense_rank,
 )
+from tidemark.session import cut_lineage
 
 MONEY = "decimal(12,2)"
 
@@ -67,6 +68,7 @@ def product_ranking(orders: DataFrame, k: int = 20, as_of=None, days: int = 7) -
 
     The current side is grouped by (name, category), the previous one by name
     only, so a name in two categories meets the same previous revenue twice.
+    The per-product sums are checkpointed, as the two rankings read them repeatedly.
     """
     now = times.as_of(orders, "order_date", as_of)
     split, start = times.ago(now, days, "day"), times.ago(now, 2 * days, "day")
@@ -75,11 +77,14 @@ def product_ranking(orders: DataFrame, k: int = 20, as_of=None, days: int = 7) -
         F.get_json_object("products", "$[0].product_name").alias("product_name"),
         F.get_json_object("products", "$[0].category").alias("category"),
         F.get_json_object("products", "$[0].taxful_price").try_cast(MONEY).alias("_price"))
-    current = (sold.filter("_now").groupBy("partner_id", "product_name", "category")
-               .agg(F.sum("_price").cast("double").alias("revenue")))
-    before = (sold.filter("NOT _now").groupBy("partner_id", "product_name")
-              .agg(F.sum("_price").cast("double").alias("prev_revenue")))
-    both = current.join(before, ["partner_id", "product_name"], "left")
+    # One pass over the orders; the previous side is then added up by name only.
+    sides = sold.groupBy("partner_id", "product_name", "category").agg(
+        F.count_if("_now").alias("_orders"),
+        F.sum(F.when(F.col("_now"), F.col("_price"))).cast("double").alias("revenue"),
+        F.sum(F.when(~F.col("_now"), F.col("_price"))).alias("_before"))
+    by_name = Window.partitionBy("partner_id", "product_name")
+    named = F.when(F.col("product_name").isNotNull(), F.sum("_before").over(by_name)).cast("double")
+    both = cut_lineage(sides.withColumn("prev_revenue", named).filter("_orders > 0").drop("_orders", "_before"))
     ranked = with_dense_rank(both, "partner_id", "prev_revenue", "prev_rank")
     by_revenue = Window.partitionBy("partner_id").orderBy(F.desc_nulls_last("revenue"))
     kept = ranked.withColumn("current_rank", F.dense_rank().over(by_revenue)).filter(F.col("current_rank") <= k)

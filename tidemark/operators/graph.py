@@ -15,7 +15,7 @@ TRIPLE_SCHEMA = "array<struct<source:string,relation:string,target:string>>"
 def entity_mentions(chunks: DataFrame, min_length: int = 2, unit: str = "byte") -> DataFrame:
     """One row per entity mention, without nulls and very short names."""
     length = F.octet_length if unit == "byte" else F.length
-    return (chunks.select(*SCOPE, "row_id", F.explode("entity_names").alias("entity_name"))
+    return (chunks.select(*SCOPE, "row_id", F.explode_outer("entity_names").alias("entity_name"))
             .filter(F.col("entity_name").isNotNull() & (length("entity_name") > min_length)))
 
 
@@ -33,9 +33,14 @@ def entity_index(chunks: DataFrame, max_freq: int = 500, unit: str = "byte") ->
 
 
 def triple_index(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, source_entity, relation_type, target_entity)`` from the JSON relationships."""
+    """``(chunk_id, source_entity, relation_type, target_entity)`` from the JSON relationships.
+
+    The outer generator spares a second parse for the emptiness test that the
+    optimizer would otherwise put in front of it.
+    """
     return (chunks.filter(F.col("relationships").isNotNull())
-            .select(*SCOPE, F.col("row_id").alias("chunk_id"), F.explode(F.from_json("relationships", TRIPLE_SCHEMA)).alias("t"))
+            .select(*SCOPE, F.col("row_id").alias("chunk_id"), F.explode_outer(F.from_json("relationships", TRIPLE_SCHEMA)).alias("t"))
+            .filter("t IS NOT NULL")
             .select(*SCOPE, "chunk_id", F.col("t.source").alias("source_entity"),
                     F.col("t.relation").alias("relation_type"), F.col("t.target").alias("target_entity")))
 

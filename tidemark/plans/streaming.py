@@ -96,10 +96,10 @@ SELECT g.order_id, coalesce(c.order_status, g.order_status) AS order_status FROM
 LEFT JOIN changes c ON g.order_id = c.order_id WHERE g.order_id NOT IN (SELECT order_id FROM gone)"""))
 def s6(spark, sf):
     folder = work_path(spark, "s6")
-    source = _source(spark, sf)
+    source, base = _source(spark, sf), _replica(spark, sf)
     ticks = _stream(spark, sf, "orders").select("o_orderkey")
-    jobs.cdc_loop(ticks, lambda: source, _replica(spark, sf), folder, _since(source), every=None).awaitTermination()
-    return jobs.snapshot(spark, folder).select("order_id", "order_status")
+    jobs.cdc_loop(ticks, lambda: source, base, folder, _since(source), every=None).awaitTermination()
+    return jobs.cdc_view(spark, folder, base).select("order_id", "order_status")
 
 
 @register("s7_late_rows", """

@@ -7,6 +7,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input out to all cores.
+
+    An input with at least one split per core is returned as it is, so this never
+    shuffles a large table; it only helps files that Spark cannot split.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def parquet_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str | None = None,
                    max_files: int | None = None) -> DataFrame:
     """New Parquet files of a folder as a stream; ``max_files`` bounds each micro-batch."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.text import entity_words
+from tidemark.sources.readers import spread
 
 CHUNK_CHARS = 400
 
@@ -23,8 +24,8 @@ def order_products(spark: SparkSession, sf: str) -> DataFrame:
     Lines are first combined per (order, product type), so the lists below are
     bounded by the type and brand vocabularies, however many lines an order has.
     """
-    line = table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    line = spread(table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"))
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     joined = line.join(part, line.l_partkey == part.p_partkey)
     place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -112,7 +113,7 @@ def clickstream_from_events(events: DataFrame) -> DataFrame:
 
 
 def clickstream_json(spark: SparkSession, sf: str) -> DataFrame:
-    return clickstream_json_from_events(table(spark, sf, "events"))
+    return clickstream_json_from_events(spread(table(spark, sf, "events")))
 
 
 def clickstream_json_from_events(events: DataFrame) -> DataFrame:
@@ -172,7 +173,7 @@ def logs(spark: SparkSession, sf: str) -> DataFrame:
     """One log line per event; the body is the whole text of a document."""
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
     n_docs = docs.agg(F.count("*")).scalar()
-    events = table(spark, sf, "events").withColumn("doc_key", F.col("event_id") % n_docs)
+    events = spread(table(spark, sf, "events")).withColumn("doc_key", F.col("event_id") % n_docs)
     return events.join(docs, F.col("doc_key") == F.col("doc_id")).select(
         F.col("event_id").alias("log_id"),
         F.col("ts").alias("timestamp"),
@@ -186,7 +187,7 @@ def logs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks_from_documents(table(spark, sf, "documents"))
+    return chunks_from_documents(spread(table(spark, sf, "documents")))
 
 
 def chunks_from_documents(documents: DataFrame) -> DataFrame:

@@ -90,11 +90,12 @@ def refresh_indexes(chunks: DataFrame, folder: str, every: str | None = None, d:
                     max_freq: int = 500) -> StreamingQuery:
     """On-commit index refresh: only the documents and entities a batch touches are recomputed.
 
-    Entities that outgrow ``max_freq`` get a version without chunk ids, which the view drops.
+    The state kept for that holds ids, positions and entity names, never the texts. Entities that outgrow ``max_freq`` get a version without chunk ids, which the view drops.
     """
     def refresh(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        _save(df, folder, "chunks", batch_id)
+        slim = df.select(*graph.SCOPE, "row_id", "doc_id", "chunk_index", "entity_names", "relationships")
+        _save(slim, folder, "chunks", batch_id)
         batch = spark.read.parquet(f"{folder}/chunks/batch_id={batch_id}")
         stored = _upto(spark, folder, "chunks", batch_id)
         _save(graph.triple_index(batch), folder, "triples", batch_id)
@@ -123,32 +124,55 @@ def index_views(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def cdc_loop(ticks: DataFrame, read_source: Callable[[], DataFrame], base: DataFrame, folder: str, since,
-             every: str | None = "1 second", key: str = "order_id", **limits) -> StreamingQuery:
-    """Run a change-capture pass per tick; snapshot ``N+1`` is written from snapshot ``N``.
+             every: str | None = "1 second", key: str = "order_id", batch: int = ingest.NORMAL,
+             update_limit: int | None = 100, window: int = 1000) -> StreamingQuery:
+    """Run a change-capture pass per tick and log only the rows it touched.
 
-    The folder being read is never the folder being written, and a replayed tick
-    rebuilds the same snapshot. The update watermark is kept next to the snapshot.
+    The base table is never rewritten: a tick costs what it changes plus a scan of
+    the key column, and a replayed tick replaces its own log folder. ``cdc_view``
+    merges base and log; ``compact`` turns them into a new base now and then.
     """
-    spark = ticks.sparkSession
-
     def apply(_: DataFrame, batch_id: int) -> None:
+        spark = base.sparkSession
         if batch_id == 0:
             target, mark = base, since
         else:
-            target = spark.read.parquet(f"{folder}/snapshot/batch_id={batch_id - 1}")
-            mark = spark.read.parquet(f"{folder}/watermark/batch_id={batch_id - 1}").select("watermark").scalar()
-        source = read_source()
-        after, counts = ingest.cdc_pass(target, source, mark, key, **limits)
-        changes = ingest.pending_updates(source, mark, key, limits.get("update_limit", 100))
-        _save(after, folder, "snapshot", batch_id)
+            target = cdc_view(spark, folder, base, key, before=batch_id)
+            marks = _versions(spark, folder, "watermark").filter(F.col("batch_id") == batch_id - 1)
+            mark = marks.select("watermark").scalar()
+        source = read_source().select(*base.columns)
+        new = ingest.incremental_new(source, target, key, batch)
+        grown = target.unionByName(new)
+        changes = ingest.pending_updates(source, mark, key, update_limit)
+        gone = ingest.detect_deletes(grown, source, key, window)
+        touched = new.select(key).union(changes.select(key)).union(gone.select(key)).distinct()
+        rows = ingest.apply_updates(grown.join(touched, key, "left_semi"), changes, key)
+        dropped = gone.select(key, F.lit(True).alias("_gone"))
+        log = rows.join(dropped, key, "left").withColumn("is_deleted", F.coalesce("_gone", F.lit(False))).drop("_gone")
+        _save(log, folder, "log", batch_id)
+        counts = new.agg(F.lit("new").alias("step"), F.count("*").alias("rows"))
+        for step, df in (("updated", changes), ("deleted", gone)):
+            counts = counts.unionByName(df.agg(F.lit(step).alias("step"), F.count("*").alias("rows")))
         _save(counts, folder, "counts", batch_id)
         _save(ingest.next_watermark(changes, mark), folder, "watermark", batch_id)
     return _start(ticks, folder, every).foreachBatch(apply).start()
 
 
-def snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    versions = _versions(spark, folder, "snapshot")
-    return versions.filter(F.col("batch_id") == versions.agg(F.max("batch_id")).scalar()).drop("batch_id")
+def cdc_view(spark: SparkSession, folder: str, base: DataFrame, key: str = "order_id",
+             before: int | None = None) -> DataFrame:
+    """Base without the touched keys, plus the newest logged version of each touched key."""
+    log = _versions(spark, folder, "log")
+    if before is not None:
+        log = log.filter(F.col("batch_id") < before)
+    newest = latest_per_key(log, [key])
+    untouched = base.join(newest.select(key), key, "left_anti")
+    return untouched.unionByName(newest.filter(~F.col("is_deleted")).select(*base.columns))
+
+
+def compact(spark: SparkSession, folder: str, base: DataFrame, path: str, key: str = "order_id") -> DataFrame:
+    """Write base and log as a new base at a new path; the old one stays readable meanwhile."""
+    cdc_view(spark, folder, base, key).write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def split_by_partition(events: DataFrame, folder: str, as_of, back: int = 7, ahead: int = 3,
