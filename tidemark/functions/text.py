@@ -11,7 +11,8 @@ from pyspark.sql import Column, functions as F
 from tidemark.functions.fixed_values import ENTITY_NOISE, ENTITY_TYPES, SEPARATORS, STOP_WORDS
 
 # A token starts and ends where no non-separator touches it.
-_START, _END = f"(?<![^{SEPARATORS[1:]})", f"(?![^{SEPARATORS[1:]})"
+_OTHER = f"[^{SEPARATORS[1:]}"
+_END = f"(?!{_OTHER})"
 
 
 def _col(c: Column | str) -> Column:
@@ -32,10 +33,13 @@ def tokens(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(_col(c)), f"{SEPARATORS}+"), lambda t: t != "")
 
 
+def _starting(word: str) -> str:
+    """Pattern of a word at a token start; the letters come first, so that most positions fail at once."""
+    return f"{word}(?<!{_OTHER}{word})"
+
+
 def _has_words(c: Column | str, words: Sequence[str], pattern: str, any_word: bool = False) -> Column:
     """A byte search for the words first; the pattern decides only where they occur at all."""
-    if not words:
-        return never()
     low = F.lower(_col(c))
     found = [low.contains(w) for w in dict.fromkeys(words)]
     return reduce(Column.__or__ if any_word else Column.__and__, found) & low.rlike(pattern)
@@ -44,7 +48,7 @@ def _has_words(c: Column | str, words: Sequence[str], pattern: str, any_word: bo
 def match_any(c: Column | str, query: str) -> Column:
     """At least one query token occurs as a whole token."""
     words = query_tokens(query)
-    return _has_words(c, words, f"{_START}(?:{'|'.join(words)}){_END}", any_word=True)
+    return _has_words(c, words, "|".join(_starting(w) + _END for w in words), any_word=True) if words else never()
 
 
 def match_all(c: Column | str, query: str) -> Column:
@@ -53,16 +57,21 @@ def match_all(c: Column | str, query: str) -> Column:
     return reduce(Column.__and__, [match_any(c, w) for w in words]) if words else never()
 
 
+def _phrase(words: Sequence[str]) -> str:
+    first, rest = _starting(words[0]), [f"{SEPARATORS}+{w}" for w in words[1:]]
+    return first + "".join(rest)
+
+
 def match_phrase(c: Column | str, query: str) -> Column:
     """The query tokens occur consecutively."""
     words = query_tokens(query)
-    return _has_words(c, words, f"{_START}{(SEPARATORS + '+').join(words)}{_END}")
+    return _has_words(c, words, _phrase(words) + _END) if words else never()
 
 
 def match_phrase_prefix(c: Column | str, query: str) -> Column:
     """Like a phrase, but the last token only has to be a prefix."""
     words = query_tokens(query)
-    return _has_words(c, words, f"{_START}{(SEPARATORS + '+').join(words)}")
+    return _has_words(c, words, _phrase(words)) if words else never()
 
 
 def match_regexp(c: Column | str, pattern: str) -> Column:
@@ -103,7 +112,7 @@ def highlight(c: Column | str, query: str) -> Column:
     words = query_tokens(query)
     if not words:
         return text
-    return F.regexp_replace(text, f"(?iu){_START}({'|'.join(words)}){_END}", "<mark>$1</mark>")
+    return F.regexp_replace(text, f"(?iu)({'|'.join(_starting(w) for w in words)}){_END}", "<mark>$1</mark>")
 
 
 def entity_words(content: Column | str, n: int = 8) -> Column:

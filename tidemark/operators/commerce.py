@@ -68,7 +68,7 @@ def product_ranking(orders: DataFrame, k: int = 20, as_of=None, days: int = 7) -
 
     The current side is grouped by (name, category), the previous one by name
     only, so a name in two categories meets the same previous revenue twice.
-    The per-product sums are checkpointed, as the two rankings read them repeatedly.
+    The per-product sums are stored once, as the two rankings read them repeatedly.
     """
     now = times.as_of(orders, "order_date", as_of)
     split, start = times.ago(now, days, "day"), times.ago(now, 2 * days, "day")

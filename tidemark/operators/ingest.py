@@ -115,41 +115,37 @@ def replication_lag(source: DataFrame, target: DataFrame, key: str = "order_id",
                 100.0 * (1.0 - lag / F.nullif(lag + copied, F.lit(0))), F.lit(100.0))))
 
 
-_TEXT_FIELDS = ("event_id", "session_id", "event_type", "page_url")
+MESSAGE_SCHEMA = """event_id string, session_id string, partner_id int, user_id int, event_type string, event_timestamp string,
+  page_url string, device_info struct<type: string, os: string>,
+  event_properties struct<product_name: string, category: string, price: variant, referrer: string>, _bad string"""
 
 
 def parse_clickstream(messages: DataFrame, value: str = "value") -> DataFrame:
     """JSON messages flattened to fact rows; malformed ones keep ``is_valid = false``.
 
-    A message is malformed when it is not a JSON object or an id has the wrong
-    type. Prices count only if they are JSON numbers. Campaign parameters are dropped.
+    Each message is parsed once. It is malformed when it is not a JSON object or a
+    field has the wrong type. Prices count only if they are JSON numbers. Campaign
+    parameters are dropped.
     """
-    v = F.col("_v")
-
-    def kind(path: str) -> Column:
-        return F.coalesce(F.schema_of_variant(F.variant_get(v, path, "variant")), F.lit("VOID"))
-
-    def text(path: str) -> Column:
-        return F.coalesce(F.when(kind(path) == "STRING", F.try_variant_get(v, path, "string")), F.lit(""))
-
-    def whole(name: str) -> Column:
-        return F.coalesce(F.try_variant_get(v, f"$.{name}", "int"), F.lit(0)).alias(name)
-    price = F.when(kind("$.event_properties.price").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"),
-                   F.try_variant_get(v, "$.event_properties.price", "decimal(10,2)"))
-    valid = (F.col("_v").isNotNull() & F.schema_of_variant(v).startswith("OBJECT")
-             & kind("$.partner_id").isin("BIGINT", "VOID") & kind("$.user_id").isin("BIGINT", "VOID"))
-    stamp = text("$.event_timestamp")
-    return messages.withColumn("_v", F.try_parse_json(value)).select(
-        F.coalesce(valid, F.lit(False)).alias("is_valid"),
-        text("$.event_id").alias("event_id"), F.try_to_timestamp(stamp).cast("timestamp_ntz").alias("event_time"),
-        whole("partner_id"), text("$.session_id").alias("session_id"), whole("user_id"),
-        text("$.event_type").alias("event_type"), text("$.page_url").alias("page_url"),
-        text("$.event_properties.product_name").alias("product_name"),
-        text("$.event_properties.category").alias("product_category"),
-        F.coalesce(price, F.lit(0).cast("decimal(10,2)")).alias("product_price"),
-        text("$.event_properties.referrer").alias("referrer"),
-        text("$.device_info.os").alias("user_agent"), text("$.device_info.type").alias("device_type"),
-        F.lit("").alias("country"))
+    parsed = F.from_json(value, MESSAGE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = messages.select(F.ltrim(value).startswith("{").alias("_object"), parsed.alias("m"))
+
+    def text(field: str) -> Column:
+        return F.coalesce(F.col(f"m.{field}"), F.lit(""))
+    price = F.col("m.event_properties.price")
+    is_number = F.schema_of_variant(price).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    return rows.select(
+        F.coalesce(F.col("_object") & F.col("m").isNotNull() & F.col("m._bad").isNull(), F.lit(False)).alias("is_valid"),
+        text("event_id").alias("event_id"),
+        F.try_to_timestamp(text("event_timestamp")).cast("timestamp_ntz").alias("event_time"),
+        F.coalesce("m.partner_id", F.lit(0)).alias("partner_id"), text("session_id").alias("session_id"),
+        F.coalesce("m.user_id", F.lit(0)).alias("user_id"), text("event_type").alias("event_type"),
+        text("page_url").alias("page_url"), text("event_properties.product_name").alias("product_name"),
+        text("event_properties.category").alias("product_category"),
+        F.coalesce(F.when(is_number, F.try_variant_get(price, "$", "decimal(10,2)")),
+                   F.lit(0).cast("decimal(10,2)")).alias("product_price"),
+        text("event_properties.referrer").alias("referrer"), text("device_info.os").alias("user_agent"),
+        text("device_info.type").alias("device_type"), F.lit("").alias("country"))
 
 
 def ingest_clickstream(messages: DataFrame, value: str = "value") -> DataFrame:

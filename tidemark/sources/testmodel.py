@@ -171,9 +171,10 @@ def spans_from_events(events: DataFrame) -> DataFrame:
 
 def logs(spark: SparkSession, sf: str) -> DataFrame:
     """One log line per event; the body is the whole text of a document."""
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
-    n_docs = docs.agg(F.count("*")).scalar()
-    events = spread(table(spark, sf, "events")).withColumn("doc_key", F.col("event_id") % n_docs)
+    documents = table(spark, sf, "documents")
+    n_docs = documents.agg(F.count("*")).scalar()
+    docs = spread(documents.select("doc_id", F.col("text").alias("body")))
+    events = table(spark, sf, "events").withColumn("doc_key", F.col("event_id") % n_docs)
     return events.join(docs, F.col("doc_key") == F.col("doc_id")).select(
         F.col("event_id").alias("log_id"),
         F.col("ts").alias("timestamp"),
