@@ -42,17 +42,20 @@ def incremental_new(source: DataFrame, target: DataFrame, key: str, batch: int =
     return fill_sync_nulls(rows.orderBy(key).limit(batch))
 
 
+def _instant(value: Column | datetime | str) -> Column:
+    return value if isinstance(value, Column) else F.lit(str(value)).cast("timestamp_ntz")
+
+
 def pending_updates(source: DataFrame, since: Column | datetime | str, key: str = "order_id",
                     limit: int | None = 100) -> DataFrame:
     """Oldest changed rows after the watermark; ties with the watermark are not seen."""
-    mark = since if isinstance(since, Column) else F.lit(str(since)).cast("timestamp_ntz")
-    changed = source.filter((F.col("updated_at") > mark) & (F.col("updated_at") > F.col("created_at")))
+    changed = source.filter((F.col("updated_at") > _instant(since)) & (F.col("updated_at") > F.col("created_at")))
     changed = changed.select(key, "order_status", "updated_at")
     return changed if limit is None else changed.orderBy("updated_at", key).limit(limit)
 
 
-def next_watermark(changes: DataFrame, since: Column) -> DataFrame:
-    return changes.agg(F.coalesce(F.max("updated_at"), since).alias("watermark"))
+def next_watermark(changes: DataFrame, since: Column | datetime | str) -> DataFrame:
+    return changes.agg(F.coalesce(F.max("updated_at"), _instant(since)).alias("watermark"))
 
 
 def apply_updates(target: DataFrame, changes: DataFrame, key: str = "order_id") -> DataFrame:

@@ -28,14 +28,13 @@ def order_products(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"))
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     joined = line.join(part, line.l_partkey == part.p_partkey)
-    place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    first_line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "p_name")
     per_type = joined.groupBy("l_orderkey", "p_type").agg(
-        F.min(place).alias("place"),
-        F.min_by("p_name", place).alias("product_name"),
+        F.min(first_line).alias("place"),
         F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).cast("decimal(12,2)").alias("taxful_price"),
         F.sum("l_quantity").cast("int").alias("quantity"),
         F.collect_set("p_brand").alias("brands"))
-    entry = F.struct("place", "product_name", F.col("p_type").alias("category"), "taxful_price")
+    entry = F.struct("place", F.col("place.p_name").alias("product_name"), F.col("p_type").alias("category"), "taxful_price")
     return per_type.groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(entry)).alias("entries"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("brands")))).alias("brands"),
