@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import text, vectors
 from tidemark.functions.scale import top_per_group
+from tidemark.session import cut_lineage
 
 MAX_QUERIES = 1000
 SCORE_DIGITS = 6
@@ -158,9 +159,10 @@ def rrf_inner(chunks: DataFrame, query_text: str, query_vector: Sequence[float],
     ranks are found by counting the rows before each candidate, without a global sort.
     """
     matched = chunks.filter(text.match_any("content", query_text))
-    rows = with_bm25(matched, [("q", query_text)], corpus=chunks).select(
+    # Three narrow columns of the matching rows, scored once and read several times.
+    rows = cut_lineage(with_bm25(matched, [("q", query_text)], corpus=chunks).select(
         "row_id", vectors.distance_to("content_embedding", query_vector).alias("distance"),
-        (-F.col("scores")[0]["score"]).alias("loss"))
+        (-F.col("scores")[0]["score"]).alias("loss")))
     by_vector, by_text = F.struct("distance", "row_id"), F.struct("loss", "row_id")
     head = k + 2 * limit
     candidates = (rows.orderBy("distance", "row_id").limit(head)

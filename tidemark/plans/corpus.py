@@ -10,6 +10,7 @@ from tidemark.operators import corpus as C, graph as G
 from tidemark.operators.retrieval import scoped
 from tidemark.plans.register import Registry
 from tidemark.plans.views_sql import sql
+from tidemark.session import cut_lineage
 from tidemark.sources import testmodel as m
 
 register = Registry()
@@ -20,6 +21,11 @@ named AS (SELECT * FROM mentions WHERE strlen(entity_name) > 2)
 SEED, SECOND = "Eriner", "Nicht"  # entity names that occur at every scale
 
 
+def _triples(spark, sf):
+    """The stored triple index that the graph queries read."""
+    return cut_lineage(G.triple_index(m.chunks(spark, sf)))
+
+
 def _join(column: str, sep: str = "|"):
     return F.array_join(column, sep).alias(column)
 
@@ -82,7 +88,7 @@ def r18(spark, sf):
 , hop1 AS (SELECT target_entity, chunk_id FROM triples WHERE source_entity = '{SEED}')
 SELECT * FROM hop1 UNION SELECT t.target_entity, t.chunk_id FROM triples t JOIN hop1 h ON t.source_entity = h.target_entity"""))
 def r19(spark, sf):
-    return G.bfs2(G.triple_index(m.chunks(spark, sf)), SEED)
+    return G.bfs2(_triples(spark, sf), SEED)
 
 
 _HOPS = f""", s AS (SELECT unnest(['{SEED}', '{SECOND}']) AS e),
@@ -95,13 +101,13 @@ edges AS (SELECT source_entity, relation_type, target_entity, chunk_id, hop FROM
 @register("r20_subgraph_edges", sql("triples", _HOPS + """
 SELECT source_entity, relation_type, target_entity, min(hop) AS hop FROM edges GROUP BY 1, 2, 3"""))
 def r20(spark, sf):
-    return G.subgraph_edges(G.hop_edges(G.triple_index(m.chunks(spark, sf)), [SEED, SECOND], hops=2))
+    return G.subgraph_edges(G.hop_edges(_triples(spark, sf), [SEED, SECOND], hops=2))
 
 
 @register("r20_subgraph_chunks", sql("triples", _HOPS + """
 SELECT chunk_id, min(hop) AS hop, count(*) AS edges FROM edges GROUP BY 1 ORDER BY 2, 3 DESC, 1 LIMIT 15"""))
 def r20_chunks(spark, sf):
-    return G.subgraph_chunks(G.hop_edges(G.triple_index(m.chunks(spark, sf)), [SEED, SECOND], hops=2))
+    return G.subgraph_chunks(G.hop_edges(_triples(spark, sf), [SEED, SECOND], hops=2))
 
 
 _NODES = """, seen AS (SELECT DISTINCT row_id, unnest(entity_names) AS name FROM chunks),
@@ -118,7 +124,7 @@ links AS (SELECT DISTINCT replace(source_entity, ' ', '_') AS source, relation_t
 
 def _graph(spark, sf):
     chunks = m.chunks(spark, sf)
-    triples = G.triple_index(chunks)
+    triples = _triples(spark, sf)
     return chunks, triples, G.graph_nodes(chunks, triples)
 
 
@@ -144,7 +150,7 @@ def r21_totals(spark, sf):
 SELECT DISTINCT target_entity AS entity_name, relation_type AS relationship, 'outgoing' AS direction FROM triples WHERE source_entity = '{SEED}'
 UNION SELECT DISTINCT source_entity, relation_type, 'incoming' FROM triples WHERE target_entity = '{SEED}'"""))
 def r22(spark, sf):
-    return G.related_entities(G.triple_index(m.chunks(spark, sf)), SEED)
+    return G.related_entities(_triples(spark, sf), SEED)
 
 
 @register("r22_linked_chunks", sql("chunks", f"""
