@@ -6,8 +6,10 @@ searched, ``content_embedding``. Query texts and vectors are request parameters.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import text, vectors
@@ -16,6 +18,7 @@ from tidemark.session import cut_lineage
 
 MAX_QUERIES = 1000
 SCORE_DIGITS = 6
+MATRIX_CELLS = 4_000_000  # bounds the memory of one matrix in a task
 
 
 def scoped(chunks: DataFrame, tenant: str | None = None, corpus: str | None = None) -> DataFrame:
@@ -96,32 +99,58 @@ def bm25(chunks: DataFrame, queries: Sequence[tuple[str, str]], k: int = 5, k1:
     return top_per_group(scored, "query_id", [F.desc("score"), F.asc("row_id")], k, ["row_id"], rank="rank")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """Term, chunk, term frequency and chunk length: the table behind keyword ranking."""
-    toks = chunks.select("row_id", text.tokens("content").alias("_t"))
-    return (toks.select("row_id", F.size("_t").alias("length"), F.explode_outer("_t").alias("term"))
-            .filter("term IS NOT NULL")
-            .groupBy("term", "row_id", "length").agg(F.count("*").alias("tf")))
-
-
 def bm25_batch(chunks: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 for a table of queries ``(query_id, query)`` of any size.
+    """BM25 for a table of query texts ``(query_id, query)``, checked to be a small set of requests.
 
-    Postings are pruned to query terms before they are counted. The join on the
-    term is left to AQE, which splits the partitions of very frequent terms.
+    A chunk keeps only its query tokens. Each Arrow batch becomes a chunk × term
+    matrix that is multiplied with the term × query weights, and only the ``k`` best
+    chunks per query leave the task: frequent terms never multiply postings by queries.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(text.tokens("query"))).alias("term"))
+    rows = queries.select("query_id", "query").limit(MAX_QUERIES + 1).collect()
+    if len(rows) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries: send them in several requests")
+    asked = [(r["query_id"], set(text.query_tokens(r["query"]))) for r in rows]
+    terms = sorted(set().union(*(words for _, words in asked)))
     toks = chunks.select("row_id", text.tokens("content").alias("_t"))
-    stats = toks.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg(F.size("_t")).alias("mean_length"))).scalar()
-    hits = (toks.select("row_id", F.size("_t").alias("length"), F.explode_outer("_t").alias("term"))
-            .join(wanted.select("term").distinct(), "term", "left_semi")
-            .groupBy("term", "row_id", "length").agg(F.count("*").cast("double").alias("tf")))
-    frequency = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    weighted = wanted.join(frequency, "term")
-    scored = hits.join(weighted, "term").withColumn("_s", stats)
-    part = _idf(F.col("_s.n"), F.col("df")) * _saturation(F.col("tf"), F.col("length"), F.col("_s.mean_length"), k1, b)
-    totals = scored.groupBy("query_id", "row_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score")).filter("score > 0")
-    return top_per_group(totals, "query_id", [F.desc("score"), F.asc("row_id")], k, ["row_id"], rank="rank")
+    hits = toks.select("row_id", F.size("_t").alias("length"), F.filter("_t", lambda t: t.isin(*terms)).alias("hits"))
+
+    totals = toks.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("mean")).first()
+    seen = (hits.select(F.explode_outer(F.array_distinct("hits")).alias("term")).filter("term IS NOT NULL")
+            .groupBy("term").agg(F.count("*").alias("df")))
+    frequency = {r["term"]: r["df"] for r in seen.collect()}  # at most one row per query term
+    place = {t: i for i, t in enumerate(terms)}
+    df = np.array([frequency.get(t, 0) for t in terms], dtype=np.float64)
+    idf = np.log(1.0 + (totals["n"] - df + 0.5) / (df + 0.5))
+    weights = np.zeros((len(terms), len(asked)))
+    for q, (_, words) in enumerate(asked):
+        for w in words:
+            weights[place[w], q] = idf[place[w]]
+    names, mean, vocabulary = [qid for qid, _ in asked], totals["mean"], np.array(terms)
+
+    slice_rows = max(1, MATRIX_CELLS // max(len(terms), len(asked)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, slice_rows) for whole in batches for at in range(0, whole.num_rows, slice_rows)):
+            ids, length, found = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
+            tf = np.zeros((batch.num_rows, len(vocabulary)))
+            words = found.flatten().to_numpy(zero_copy_only=False).astype(str)
+            owner = np.repeat(np.arange(batch.num_rows), found.value_lengths().to_numpy(zero_copy_only=False))
+            np.add.at(tf, (owner, np.searchsorted(vocabulary, words)), 1.0)
+            tf = tf * (k1 + 1.0) / (tf + (k1 * (1.0 - b + b * length / mean))[:, None])
+            scores = np.round(tf @ weights, SCORE_DIGITS)
+            order_ids = np.asarray(ids.to_pylist())
+            for q, name in enumerate(names):
+                s = scores[:, q]
+                keep = np.flatnonzero(s > 0)
+                if len(keep) > 4 * k:
+                    keep = np.flatnonzero((s > 0) & (s >= -np.partition(-s, k - 1)[k - 1]))
+                if len(keep):
+                    best = keep[np.lexsort((order_ids[keep], -s[keep]))[:k]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(best), pa.string()), ids.take(pa.array(best)), pa.array(s[best])],
+                        names=["query_id", "row_id", "score"])
+    scored = hits.filter(F.col("length") > 0).mapInArrow(scan, "query_id string, row_id string, score double")
+    return top_per_group(scored, "query_id", [F.desc("score"), F.asc("row_id")], k, ["row_id"], rank="rank")
 
 
 def knn(df: DataFrame, queries: Sequence[tuple[str, Sequence[float]]], k: int = 5, row_id: str = "row_id",

@@ -112,11 +112,12 @@ def s7(spark, sf):
 
 
 @register("s8_latency_percentiles", sql("bench_events", """
-SELECT event_type, quantile_cont(lat, 0.5) AS p50, quantile_cont(lat, 0.9) AS p90, quantile_cont(lat, 0.95) AS p95,
-  quantile_cont(lat, 0.99) AS p99, quantile_cont(lat, 0.999) AS p999, min(lat) AS min_ms
+SELECT event_type, round(quantile_cont(lat, 0.5), 6) AS p50, round(quantile_cont(lat, 0.9), 6) AS p90, round(quantile_cont(lat, 0.95), 6) AS p95,
+  round(quantile_cont(lat, 0.99), 6) AS p99, round(quantile_cont(lat, 0.999), 6) AS p999, min(lat) AS min_ms
 FROM (SELECT event_type, event_id % 1000 + 200 AS lat FROM bench_events) GROUP BY 1"""))
 def s8(spark, sf):
-    return S.latency_percentiles(m.bench_events(spark, sf), ["event_type"])
+    found = S.latency_percentiles(m.bench_events(spark, sf), ["event_type"])
+    return found.withColumns({p: F.round(p, 6) for p in ("p50", "p90", "p95", "p99", "p999")})
 
 
 @register("s9_steady_state", """
