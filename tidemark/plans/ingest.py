@@ -14,9 +14,6 @@ from tidemark.sources import testmodel as m
 
 register = Registry()
 
-# The replica lags: it holds the orders that were already due for shipping by this date.
-_CUT = "2000-01-01"
-
 
 def _replica(spark, sf):
     """A copy that is behind by key and still holds orders the source has lost."""
