@@ -1,0 +1,25 @@
+"""Tokenising by units: a text splits at single spaces, and what a unit gives is kept for its next occurrence."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+
+class UnitCache:
+    """Results of units by a function that takes many at once; memory is bounded by count and unit length."""
+
+    def __init__(self, compute: Callable[[list], list], limit: int = 400_000, longest: int = 64):
+        self.compute, self.limit, self.longest = compute, limit, longest
+        self.known: dict = {}
+
+    def __call__(self, units: list) -> list:
+        get = self.known.get
+        found = list(map(get, units))
+        if None in found:
+            missing = list(dict.fromkeys(u for u, f in zip(units, found) if f is None))
+            made = dict(zip(missing, self.compute(missing)))
+            found = [made[u] if f is None else f for u, f in zip(units, found)]
+            if len(self.known) + len(made) > self.limit:
+                self.known.clear()
+            self.known.update((u, v) for u, v in made.items() if len(u) <= self.longest)
+        return found
