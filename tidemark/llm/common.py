@@ -90,8 +90,8 @@ _POWER = powers(1 << 16)
 _INVERSE = powers(1 << 16, np.uint64(pow(int(BASE), -1, 1 << 64)))
 
 
-def words(offsets: np.ndarray, data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs of bytes other than 0x20 and 0x09-0x0D) of consecutive texts.
+def words(offsets: np.ndarray, data: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes other than 0x20 and 0x09-0x0D, or other than those marked in ``space``) of consecutive texts.
 
     Returns for each word its hash, first byte and end in ``data``, and for each text the number of its first word
     (with the total at the end). Words never cross texts.
@@ -100,7 +100,7 @@ def words(offsets: np.ndarray, data: np.ndarray, lower: bool = False) -> tuple[n
     if not n:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     edges = offsets[1:-1]
@@ -112,7 +112,6 @@ def words(offsets: np.ndarray, data: np.ndarray, lower: bool = False) -> tuple[n
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     codes = _BYTE[_LOWER[data] if lower else data]
     codes[~inside] = 0
-    # Prefix sums of code * BASE**(position mod 2**16) within blocks would break at block ends; global powers are cheap to extend.
     power, inverse = (_POWER, _INVERSE) if n < len(_POWER) else _long_powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(codes * power[:n], out=sums[1:])
@@ -171,3 +170,69 @@ def drop_scratch(df: DataFrame) -> None:
     for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Id that stands for a null id: after all others.
+LAST_ID = 2**63 - 1
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers with their bytes dealt into planes, so that bytes that are always zero cost nothing in a shuffle."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def from_planes(blob: bytes, at: int, count: int, kind) -> np.ndarray:
+    """Undo ``planes`` for ``count`` numbers that start at byte ``at``."""
+    size = np.dtype(kind).itemsize
+    parts = np.frombuffer(blob, np.uint8, count * size, at).reshape(size, count)
+    return np.ascontiguousarray(parts.T).reshape(-1).view(kind)
+
+
+def volume(docs: DataFrame, text: str) -> tuple[int, int]:
+    """Rows and text bytes of a table; sizes the groups of later steps."""
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    return rows, size or 0
+
+
+def sorted_by_id(batch: pa.RecordBatch, column: str) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The batch in the order of its ids, and the ids with null last."""
+    ids = pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.int64()), LAST_ID).to_numpy(zero_copy_only=False)
+    if (ids[1:] < ids[:-1]).any():
+        order = np.argsort(ids, kind="stable")
+        return batch.take(pa.array(order)), ids[order]
+    return batch, ids
+
+
+def meet(docs: DataFrame, doc_id: str, rows: DataFrame, key: str, groups: int, work: Callable, schema) -> DataFrame:
+    """Documents and the rows about them, met in ``groups`` groups of documents by the hash of the id.
+
+    ``work`` takes the two Arrow tables of a group. The documents' shuffle is the same in every call, so Spark reuses it
+    within one plan.
+    """
+    def group(column):
+        return F.pmod(F.xxhash64(F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))), F.lit(groups))
+
+    left = docs.withColumn("_group", group(doc_id)).groupBy("_group")
+    right = rows.withColumn("_group", group(key)).groupBy("_group")
+    return left.cogroup(right).applyInArrow(work, schema)
+
+
+def runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and length of each run, given where a new run begins (the first entry must)."""
+    first = np.flatnonzero(breaks)
+    return first, np.diff(np.append(first, len(breaks)))
+
+
+def within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for every range, one after the other."""
+    total = int(sizes.sum())
+    before = np.cumsum(sizes) - sizes
+    return np.arange(total) + np.repeat(starts - before, sizes)
+
+
+def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """True at every place below n that some range covers."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, np.minimum(starts, n), 1)
+    np.add.at(change, np.minimum(ends, n), -1)
+    return np.cumsum(change[:-1]) > 0

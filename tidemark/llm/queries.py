@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import common, language_id, packing, pieces, pseudonyms
+from tidemark.llm import (bit_sliced_search, common, language_id, near_duplicates, packing, pieces, pseudonyms, repeat_groups,
+                          substring_dedup, toxicity, vector_links)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +50,82 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+@query("op7_near_duplicates", sql=rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[k:k + 2], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * i >= 85 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON r.v = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = d.doc_id
+""")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf, "documents"), width=3, percent=85)
+
+
+@query("op1_substring_dedup", sql=rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+e AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM w WHERE len(w) >= 20)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS n FROM e) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS k FROM r),
+kept AS (SELECT x.doc_id, x.k, x.word FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w) x ANTI JOIN gone USING (doc_id, k))
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, len(w.w)::BIGINT - count(k.k) AS n_removed, sha256(coalesce(string_agg(k.word, ' ' ORDER BY k.k), '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id GROUP BY w.doc_id, w.w
+""")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs, window=20, kept_text=False).drop("text")
+
+
+@query("op5_repeat_groups")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return repeat_groups.remove_repeats(docs, window=400, kept=False).drop("text")
+
+
+@query("op4_bit_sliced_search", sql="""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT vec_id, unnest(x) AS x, unnest(range(1, len(x) + 1)) AS d, len(x) AS n FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score FROM e q JOIN e c ON q.d = c.d AND q.n = c.n AND q.vec_id <> c.vec_id
+      WHERE q.vec_id % 20 = 0 GROUP BY 1, 2)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+""")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return bit_sliced_search.top_k(table(spark, sf, "embeddings"), k=20, every=20)
+
+
+@query("op9_vector_links", sql="""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+      WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT vec_id AS v, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.v = l.a),
+m AS (SELECT v, min(c) AS c FROM r GROUP BY v)
+SELECT e.vec_id, count(l.b) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept
+FROM embeddings e JOIN m ON m.v = e.vec_id LEFT JOIN l ON l.a = e.vec_id GROUP BY e.vec_id, m.c
+""")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_links.vector_links(table(spark, sf, "embeddings"), threshold=0.93)
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    network = toxicity.fit(docs, labels.filter(~common.held_out("doc_id")))
+    scored = toxicity.score(docs, network)
+    return scored.select("doc_id", common.held_out("doc_id").alias("held_out"), "score", "predicted")
