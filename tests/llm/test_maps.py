@@ -191,3 +191,14 @@ def test_pseudonyms_over_table(spark, odd, docs):
             assert before[r["doc_id"]][s["start"]:s["end"]] not in r["text"]
     assert changed
     assert pseudonyms.pseudonymise(docs.limit(0), "k").count() == 0
+
+
+def test_batches_agree_with_single_texts(docs):
+    model, batch = pieces._load(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [t or "" for t in ODD] + [r["text"] for r in docs.limit(60).collect()]
+    fast, slow = ({o: [] for o in pieces.OUTPUTS} for _ in range(2))
+    pieces._put(fast, model, batch, texts)
+    pieces._put(slow, model, None, texts)
+    for name in pieces.OUTPUTS:
+        for a, b in zip(fast[name], slow[name], strict=True):
+            assert np.array_equal(a, b), name
