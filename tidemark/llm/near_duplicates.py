@@ -164,7 +164,7 @@ def candidate_links(classes: DataFrame, similarity: float) -> DataFrame | None:
         for level in range(LEVELS):
             paths = common.scratch(_step(frontier, similarity), "paths")
             sizes = paths.groupBy("node").count().filter("count > 1")
-            paths = common.scratch(paths.join(sizes, "node").select("id", "node", "count"), "paths")
+            paths = common.scratch(paths.join(sizes.hint("merge"), "node").select("id", "node", "count"), "paths")
             levels.append(paths.filter(F.col("count") <= NODE).select("id", "node"))
             large = paths.filter(F.col("count") > NODE).select("id", "node")
             if large.isEmpty():
@@ -184,7 +184,7 @@ def candidate_links(classes: DataFrame, similarity: float) -> DataFrame | None:
         a, b = _alike(table["id"].to_numpy(), table["node"].to_numpy(), _matrix(table["tokens"]), least)
         return pa.table({"a": a, "b": b})
 
-    compared = (small.join(classes, "id").withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(buckets)))
+    compared = (small.join(classes.hint("merge"), "id").withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(buckets)))
                 .groupBy("bucket").applyInArrow(compare, "a long, b long"))
     for more in links:
         compared = compared.unionByName(more)
@@ -256,7 +256,7 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: i
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     members = clusters.join(sizes, "cluster").withColumnRenamed("id", "member")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = (texts.join(members, F.col("id") == F.col("member")).select("id", "cluster", "n", "text")
+    rows = (texts.join(members.hint("merge"), F.col("id") == F.col("member")).select("id", "cluster", "n", "text")
             .mapInArrow(build, "id long, cluster long, n long, items binary"))
     # A large cluster is compared block against block: a document goes to every pair of blocks that holds its own.
     blocks = F.ceil(F.col("n") / BLOCK)
@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
         reached = components(confirmed_links(docs, clusters, width, percent, text, doc_id), "a", "b")
     found = classes.join(reached, F.col("id") == F.col("vertex"), "left").select(*key, F.coalesce("component_id", "id").alias("component_id"))
     full = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    linked = all_signed.filter(full).drop("tokens").join(found, key)
+    linked = all_signed.filter(full).drop("tokens").join(found.hint("merge"), key)
     alone = all_signed.filter(~full).drop("tokens").withColumn("component_id", F.col("doc_id"))
     return linked.unionByName(alone).select(
         "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
