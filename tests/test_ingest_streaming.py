@@ -151,3 +151,57 @@ def test_cdc_loop_equals_passes(spark):
     want = rows(expected, "order_id", "order_status")
     assert rows(jobs.cdc_view(spark, out, base), "order_id", "order_status") == want
     assert rows(jobs.compact(spark, out, base, work_path(spark, "base")), "order_id", "order_status") == want
+
+
+def test_tied_updates_are_all_applied(spark):
+    """150 changes at one instant: at once without a limit, in three limited passes with the key in the mark."""
+    source = spark.createDataFrame([(i, "shipped", T0, T0 + timedelta(hours=1)) for i in range(150)], ORDER)
+    start = F.lit(str(T0)).cast("timestamp_ntz")
+    assert ingest.pending_updates(source, start).count() == 150
+    seen, mark, key = set(), start, None
+    for _ in range(3):
+        changes = ingest.pending_updates(source, mark, limit=60, since_key=key)
+        seen |= {r["order_id"] for r in changes.collect()}
+        last = ingest.next_watermark(changes, mark).first()
+        mark, key = F.lit(str(last["watermark"])).cast("timestamp_ntz"), last["watermark_key"]
+    assert seen == set(range(150))
+    assert ingest.detect_deletes(source.select("order_id"), source.filter("order_id >= 140")).count() == 140
+
+
+def test_batches_end_with_a_key(spark):
+    source = spark.createDataFrame([(k // 5, k) for k in range(40)], "k long, v long")
+    got = ingest.incremental_new(source, source.filter("k < 2"), "k", batch=7)
+    assert rows(got, "v") == [(v,) for v in range(10, 20)]
+
+
+def test_cdc_loop_over_a_moving_source(spark):
+    """A row changes between the reads of a tick: nothing is lost, and the next tick applies it."""
+    base = spark.createDataFrame([(i, "pending", T0, T0) for i in range(20)], ORDER)
+    hour = timedelta(hours=1)
+    early = spark.createDataFrame([(i, "shipped" if i < 5 else "pending", T0, T0 + (hour if i < 5 else timedelta())) for i in range(20)], ORDER)
+    late = spark.createDataFrame([(i, "shipped" if i < 9 else "pending", T0, T0 + (hour if i < 9 else timedelta())) for i in range(22)], ORDER)
+    reads = iter([early, late, late])
+    ticks, out = work_path(spark, "ticks"), work_path(spark, "cdc")
+    in_files(spark.range(30), ticks, "id", 3)
+    jobs.cdc_loop(parquet_stream(spark, ticks, spark.range(1).schema, max_files=1), lambda: next(reads, late), base, out,
+                  str(T0), every=None).awaitTermination()
+    assert rows(jobs.cdc_view(spark, out, base), "order_id", "order_status") == rows(late, "order_id", "order_status")
+    counts = spark.read.parquet(f"{out}/counts").groupBy("step").agg(F.sum("rows").alias("n"))
+    assert rows(counts, "step", "n") == [("deleted", 0), ("new", 2), ("updated", 9)]
+    new_base = jobs.compact(spark, out, base, work_path(spark, "base"))
+    assert jobs.cdc_view(spark, out, new_base).count() == 22
+
+
+def test_status_requests_do_not_double_orders(spark):
+    orders = spark.createDataFrame([(1, "pending", T0), (2, "pending", T0)], "order_id long, order_status string, updated_at timestamp_ntz")
+    asked = spark.createDataFrame([(1, "shipped", 1), (1, "cancelled", 2), (1, "lost", 3), (9, "shipped", 4)], "order_id long, new_status string, request int")
+    now = F.lit("2024-05-01 00:00:00").cast("timestamp_ntz")
+    after = commerce.apply_status(orders, commerce.set_status(orders, asked), version="request", now=now)
+    assert rows(after, "order_id", "order_status", "updated_at") == [(1, "cancelled", datetime(2024, 5, 1)), (2, "pending", T0)]
+
+
+def test_absent_vectors_stay_null(spark, tmp_path):
+    path = tmp_path / "chunks.json"
+    path.write_text(json.dumps([{"row_id": "a", "content_embedding": [1.0, 2.0]}, {"row_id": "b"}, {"row_id": "c", "content_embedding": []}]))
+    loaded = ingest.load_chunks(spark, str(path), "t", "c")
+    assert rows(loaded, "row_id", "content_embedding") == [("a", [1.0, 2.0]), ("b", None), ("c", None)]

@@ -115,11 +115,12 @@ def highlight(c: Column | str, query: str) -> Column:
     return F.regexp_replace(text, f"(?iu)({'|'.join(_starting(w) for w in words)}){_END}", "<mark>$1</mark>")
 
 
-def entity_words(content: Column | str, n: int = 8) -> Column:
-    """The first ``n`` distinct capitalised words of more than four characters."""
+def entity_words(content: Column | str, n: int | None = None) -> Column:
+    """The distinct capitalised words of more than four characters, the first ``n`` if given."""
     words = F.filter(F.split(_col(content), r"\s+"),
                      lambda w: (F.length(w) > 4) & w.rlike("^[A-Z]"))
-    return F.slice(F.array_distinct(words), 1, n)
+    distinct = F.array_distinct(words)
+    return distinct if n is None else F.slice(distinct, 1, n)
 
 
 def extract_entities(content: Column | str, n: int = 8) -> Column:
@@ -152,10 +153,11 @@ def preview(content: Column | str, terms: Sequence[str] = (), n: int = 250) -> C
     return F.concat(shown, F.when(F.length(text) > n, "...").otherwise(""))
 
 
-def clean_entities(names: Column | str, n: int = 12) -> Column:
-    """Entity names without noise, first ``n`` distinct."""
+def clean_entities(names: Column | str, n: int | None = 12) -> Column:
+    """Entity names without noise, first ``n`` distinct (all for None)."""
     kept = F.filter(_col(names), lambda e: F.length(e).between(3, 35) & ~e.rlike(ENTITY_NOISE))
-    return F.slice(F.array_distinct(kept), 1, n)
+    distinct = F.array_distinct(kept)
+    return distinct if n is None else F.slice(distinct, 1, n)
 
 
 def token_estimate(content: Column | str) -> Column:

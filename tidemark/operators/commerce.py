@@ -114,8 +114,8 @@ def summary_stats(orders: DataFrame, hours: int = 24, as_of=None, partners: Data
         F.coalesce(revenue / F.nullif(orders_n, F.lit(0)), F.lit(0.0)).alias("avg_order_value"))
 
 
-def hourly_breakdown(orders: DataFrame, hours: int = 24, as_of=None, max_buckets: int | None = 24) -> DataFrame:
-    """Revenue and orders per hour with an ISO label, newest ``max_buckets`` first."""
+def hourly_breakdown(orders: DataFrame, hours: int = 24, as_of=None, max_buckets: int | None = None) -> DataFrame:
+    """Revenue and orders per hour with an ISO label, newest first; ``max_buckets`` keeps only the newest ones."""
     hourly = (_since(orders, "order_date", hours, "hour", as_of)
               .groupBy("partner_id", times.floor_time("order_date", 1, "hour").alias("_hour"))
               .agg(F.coalesce(_revenue(), F.lit(0.0)).alias("revenue"), F.count("*").alias("orders")))
@@ -153,9 +153,21 @@ def revenue_per_minute(orders: DataFrame, minutes: int = 30, as_of=None) -> Data
             .orderBy("partner_id", "minute"))
 
 
+def _positive(limit: int) -> None:
+    if limit < 1:
+        raise ValueError("limit must be positive")
+
+
+def newest_keys(orders: DataFrame, limit: int) -> DataFrame:
+    """Keys of the newest orders of each partner, ranked on narrow rows before wide ones are built or read."""
+    _positive(limit)
+    narrow = orders.select("partner_id", "order_date", "order_id")
+    return top_per_group(narrow, "partner_id", [F.desc("order_date"), F.desc("order_id")], limit, ["order_id"])
+
+
 def recent_orders(orders: DataFrame, limit: int = 20) -> DataFrame:
-    """The newest orders of each partner with per-column defaults for nulls."""
-    limit = limit if 0 < limit <= 100 else 20
+    """The newest ``limit`` orders of each partner with per-column defaults for nulls."""
+    _positive(limit)
     newest = top_per_group(orders, "partner_id", [F.desc("order_date"), F.desc("order_id")], limit, ["order_id"])
     text = ["customer_first_name", "customer_last_name", "customer_full_name", "customer_gender", "email"]
     return newest.select(
@@ -170,8 +182,8 @@ def recent_orders(orders: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def recent_clickstream(clicks: DataFrame, limit: int = 50) -> DataFrame:
-    """The newest events of each partner with their product fields as a JSON text."""
-    limit = limit if 0 < limit <= 100 else 50
+    """The newest ``limit`` events of each partner with their product fields as a JSON text."""
+    _positive(limit)
     newest = top_per_group(clicks, "partner_id", [F.desc("event_time"), F.desc("event_id")], limit, ["event_id"])
     props = F.concat(
         F.lit('{"product_name":"'), F.coalesce("product_name", F.lit("")),
@@ -194,8 +206,10 @@ def parse_json_columns(orders: DataFrame) -> DataFrame:
 
 def lookup_orders(keys: DataFrame, orders: DataFrame) -> DataFrame:
     """For every wanted ``order_id``: is it present, and with which date."""
-    dates = orders.groupBy("order_id").agg(F.max("order_date").alias("order_date"))
-    return (keys.select("order_id").distinct().join(dates, "order_id", "left")
+    wanted = keys.select("order_id").distinct()
+    known = orders.select("order_id", "order_date").join(wanted, "order_id", "left_semi")
+    dates = known.groupBy("order_id").agg(F.max("order_date").alias("order_date"))
+    return (wanted.join(dates, "order_id", "left")
             .withColumn("found", F.col("order_date").isNotNull()))
 
 
@@ -231,7 +245,7 @@ def recent_legacy_orders(orders: DataFrame, limit: int = 20) -> DataFrame:
 def catalogue_lookup(df: DataFrame, product_id: str) -> DataFrame:
     """Product name and category by id modulo the catalogue."""
     entries = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(n).alias("name")) for c, n in PRODUCT_CATALOGUE])
-    entry = F.element_at(entries, (F.col(product_id) % len(PRODUCT_CATALOGUE) + 1).cast("int"))
+    entry = F.element_at(entries, (F.pmod(F.col(product_id), F.lit(len(PRODUCT_CATALOGUE))) + 1).cast("int"))
     return df.select("*", entry["name"].alias("catalogue_name"), entry["category"].alias("catalogue_category"))
 
 
@@ -283,15 +297,23 @@ def set_status(orders: DataFrame, updates: DataFrame, allowed: Sequence[str] = t
     old = orders.select("order_id", F.col("order_status").alias("old_status"))
     outcome = (F.when(~F.col("new_status").isin(*allowed), "invalid_status")
                .when(F.col("old_status").isNull(), "not_found").otherwise("updated"))
-    return (updates.select("order_id", "new_status").join(old, "order_id", "left")
-            .withColumn("outcome", outcome))
+    return updates.join(old, "order_id", "left").withColumn("outcome", outcome)
+
 
+def apply_status(orders: DataFrame, outcomes: DataFrame, version: str | None = None, now: Column | None = None) -> DataFrame:
+    """The order table after the accepted changes, each order once.
 
-def apply_status(orders: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The order table after the accepted changes."""
-    accepted = outcomes.filter("outcome = 'updated'").select("order_id", "new_status")
-    return (orders.join(accepted, "order_id", "left")
-            .withColumn("order_status", F.coalesce("new_status", "order_status")).drop("new_status"))
+    Of several accepted changes to one order the one with the highest ``version`` counts (a request number or time that
+    ``outcomes`` carries), equal ones by status. ``now`` stamps ``updated_at`` of the changed orders, which change
+    capture relies on.
+    """
+    accepted = outcomes.filter("outcome = 'updated'")
+    order = F.struct(*([version] if version else []), "new_status")
+    last = accepted.groupBy("order_id").agg(F.max(order).alias("_last")).select("order_id", F.col("_last.new_status").alias("_new"))
+    changed = orders.join(last, "order_id", "left")
+    if now is not None and "updated_at" in orders.columns:
+        changed = changed.withColumn("updated_at", F.when(F.col("_new").isNotNull(), now).otherwise(F.col("updated_at")))
+    return changed.withColumn("order_status", F.coalesce("_new", "order_status")).select(*orders.columns)
 
 
 def delete_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

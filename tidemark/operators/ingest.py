@@ -27,19 +27,24 @@ def fill_sync_nulls(df: DataFrame) -> DataFrame:
     return df.select(*[filled(f) for f in df.schema.fields])
 
 
-def incremental_new(source: DataFrame, target: DataFrame, key: str, batch: int = NORMAL,
-                    inclusive: bool = False) -> DataFrame:
-    """The next ``batch`` source rows above the target's highest key.
+def incremental_new(source: DataFrame, target: DataFrame, key: str, batch: int | None = None,
+                    inclusive: bool = False, mark: Column | None = None) -> DataFrame:
+    """The source rows above the target's highest key, or above ``mark`` where the caller keeps that key.
 
-    Rows that arrive late with a smaller key are never taken. ``inclusive`` also
-    re-reads the highest key and drops what the target already has.
+    Rows that arrive late with a smaller key are never taken. ``batch`` limits a pass to about so many rows; it ends
+    with the last key it takes, so rows that share a key are never parted. ``inclusive`` also re-reads the highest key
+    and drops what the target already has.
     """
-    mark = target.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
+    if mark is None:
+        mark = target.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
     if inclusive:
         rows = source.filter(F.col(key) >= mark).join(target.select(key), key, "left_anti")
     else:
         rows = source.filter(F.col(key) > mark)
-    return fill_sync_nulls(rows.orderBy(key).limit(batch))
+    if batch is not None:
+        last = rows.select(F.col(key).alias("_key")).orderBy("_key").limit(batch).agg(F.max("_key")).scalar()
+        rows = rows.filter(F.col(key) <= last)
+    return fill_sync_nulls(rows)
 
 
 def _instant(value: Column | datetime | str) -> Column:
@@ -47,15 +52,27 @@ def _instant(value: Column | datetime | str) -> Column:
 
 
 def pending_updates(source: DataFrame, since: Column | datetime | str, key: str = "order_id",
-                    limit: int | None = 100) -> DataFrame:
-    """Oldest changed rows after the watermark; ties with the watermark are not seen."""
-    changed = source.filter((F.col("updated_at") > _instant(since)) & (F.col("updated_at") > F.col("created_at")))
-    changed = changed.select(key, "order_status", "updated_at")
+                    limit: int | None = None, since_key: Column | int | None = None) -> DataFrame:
+    """Changed rows after the mark ``(since, since_key)``, all of them or the ``limit`` oldest.
+
+    With a limit, a pass may end between rows that share an instant; hand its ``next_watermark`` with the key to the
+    next pass, which then goes on inside that instant.
+    """
+    after = F.col("updated_at") > _instant(since)
+    if since_key is not None:
+        after |= (F.col("updated_at") == _instant(since)) & (F.col(key) > since_key)
+    changed = source.filter(after & (F.col("updated_at") > F.col("created_at"))).select(key, "order_status", "updated_at")
     return changed if limit is None else changed.orderBy("updated_at", key).limit(limit)
 
 
-def next_watermark(changes: DataFrame, since: Column | datetime | str) -> DataFrame:
-    return changes.agg(F.coalesce(F.max("updated_at"), _instant(since)).alias("watermark"))
+def next_watermark(changes: DataFrame, since: Column | datetime | str, key: str = "order_id",
+                   since_key: Column | int | None = None) -> DataFrame:
+    """The mark after these changes: the newest instant and the highest key changed at it."""
+    last = F.max(F.struct("updated_at", key))
+    kept = F.lit(since_key) if not isinstance(since_key, Column) else since_key
+    return changes.agg(last.alias("_last")).select(
+        F.coalesce(F.col("_last.updated_at"), _instant(since)).alias("watermark"),
+        F.coalesce(F.col(f"_last.{key}"), kept).alias("watermark_key"))
 
 
 def apply_updates(target: DataFrame, changes: DataFrame, key: str = "order_id") -> DataFrame:
@@ -66,9 +83,11 @@ def apply_updates(target: DataFrame, changes: DataFrame, key: str = "order_id")
             .select(*target.columns))
 
 
-def detect_deletes(target: DataFrame, source: DataFrame, key: str = "order_id", window: int = 1000) -> DataFrame:
-    """Keys among the newest ``window`` target keys that the source no longer has."""
-    newest = target.select(key).orderBy(F.desc(key)).limit(window)
+def detect_deletes(target: DataFrame, source: DataFrame, key: str = "order_id", window: int | None = None) -> DataFrame:
+    """Target keys that the source no longer has, among all of them or only the newest ``window``."""
+    newest = target.select(key)
+    if window is not None:
+        newest = newest.orderBy(F.desc(key)).limit(window)
     return newest.join(source.select(key), key, "left_anti")
 
 
@@ -77,8 +96,8 @@ def apply_deletes(target: DataFrame, deleted: DataFrame, key: str = "order_id")
 
 
 def cdc_pass(target: DataFrame, source: DataFrame, since: Column | str, key: str = "order_id",
-             batch: int = NORMAL, update_limit: int | None = 100,
-             window: int = 1000) -> tuple[DataFrame, DataFrame]:
+             batch: int | None = None, update_limit: int | None = None,
+             window: int | None = None) -> tuple[DataFrame, DataFrame]:
     """One pass: new rows, then status changes, then deletes; ``(target', counts)``."""
     new = incremental_new(source.select(*target.columns), target, key, batch)
     grown = target.unionByName(new)
@@ -94,13 +113,22 @@ def cdc_pass(target: DataFrame, source: DataFrame, since: Column | str, key: str
 def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """Last write per key wins; equal versions are settled by the row's own values.
 
-    A map-side ``max`` keeps one candidate per key and task, so a key with very
-    many versions costs no more than any other.
+    Only the changes are reduced, to one per key with a map-side ``max``, so a key with very many versions costs no more
+    than any other. The base, which holds a key at most once, meets them in one join and is not aggregated.
     """
     rest = [c for c in base.columns if c not in (*keys, version)]
-    merged = base.unionByName(changes.select(*base.columns))
-    last = merged.groupBy(*keys).agg(F.max(F.struct(version, *rest)).alias("_last"))
-    return last.select(*[c if c in keys else F.col(f"_last.{c}").alias(c) for c in base.columns])
+    row = [version, *rest]
+    last = changes.groupBy(*keys).agg(F.max(F.struct(*row)).alias("_last"))
+    old = base.select(*keys, F.struct(*row).alias("_base"))
+    # Null keys are keys of their own, as in a grouping.
+    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    on = same[0]
+    for more in same[1:]:
+        on &= more
+    met = old.alias("b").join(last.alias("c"), on, "full_outer")
+    winner = F.greatest("_base", "_last")
+    found = met.select(*[F.coalesce(F.col(f"b.{k}"), F.col(f"c.{k}")).alias(k) for k in keys], winner.alias("_row"))
+    return found.select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in base.columns])
 
 
 def replication_lag(source: DataFrame, target: DataFrame, key: str = "order_id",
@@ -178,7 +206,7 @@ def read_chunk_files(spark: SparkSession, path: str, json_array: bool = True) ->
 
 
 def chunk_defaults(raw: DataFrame, tenant: str, corpus: str) -> DataFrame:
-    """Tenant and corpus overridden, defaults for absent columns, JSON columns as text."""
+    """Tenant and corpus overridden, defaults for absent columns, JSON columns as text; an absent vector stays null."""
     def empty(name: str, element: str) -> Column:
         return F.coalesce(name, F.array().cast(f"array<{element}>")).alias(name)
 
@@ -190,7 +218,7 @@ def chunk_defaults(raw: DataFrame, tenant: str, corpus: str) -> DataFrame:
         F.lit(tenant).alias("tenant_id"), F.lit(corpus).alias("corpus_id"), "row_id",
         F.coalesce("content_type", F.lit("text")).alias("content_type"),
         F.coalesce("content", F.lit("")).alias("content"),
-        empty("content_embedding", "float"), empty("entity_names", "string"), empty("entity_types", "string"),
+        F.when(F.size("content_embedding") > 0, F.col("content_embedding")).alias("content_embedding"), empty("entity_names", "string"), empty("entity_types", "string"),
         as_json("entities", "[]"), as_json("relationships", "[]"), as_json("multimodal_data", "{}"),
         empty("neighbor_ids", "string"), empty("related_entity_names", "string"),
         F.coalesce("doc_id", F.lit("")).alias("doc_id"),

@@ -142,7 +142,8 @@ def fill_gaps(hist: DataFrame, start: Column, end: Column, n: int, unit: str) ->
         days = bounds.select("_first", "_end", F.explode(F.sequence(F.to_date("_first"), F.to_date("_end"))).alias("_day"))
         opened = F.col("_day").cast("timestamp_ntz")
         closed = F.timestamp_add("DAY", F.lit(1), opened) - F.expr("INTERVAL 1 SECOND")
-        grid = days.select("_first", "_end", F.explode(F.sequence(opened, closed, step)).alias("bucket"))
+        # One row per day so far: dealt out before the steps of each day are made.
+        grid = days.repartition("_day").select("_first", "_end", F.explode(F.sequence(opened, closed, step)).alias("bucket"))
     else:
         grid = bounds.select("_first", "_end", F.explode(F.sequence("_first", "_end", step)).alias("bucket"))
     lone = (F.col("bucket") == F.col("_first"))
@@ -165,11 +166,12 @@ def surrounding(df: DataFrame, anchor: Column, n: int = 5, ts: str = "timestamp"
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).orderBy(ts, tie)
 
 
-def top_values(df: DataFrame, field: str, sample: int = 500, k: int = 5, ts: str = "timestamp",
+def top_values(df: DataFrame, field: str, sample: int | None = None, k: int = 5, ts: str = "timestamp",
                tie: str = "log_id") -> DataFrame:
-    """The most frequent values among the newest ``sample`` rows, with their share."""
-    newest = df.select(ts, tie, F.coalesce(path(field).cast("string"), F.lit("")).alias("value")) \
-        .orderBy(F.desc(ts), F.desc(tie)).limit(sample)
+    """The most frequent values, with their share, among all rows or the newest ``sample``."""
+    newest = df.select(ts, tie, F.coalesce(path(field).cast("string"), F.lit("")).alias("value"))
+    if sample is not None:
+        newest = newest.orderBy(F.desc(ts), F.desc(tie)).limit(sample)
     total = newest.agg(F.count("*")).scalar()
     counts = newest.groupBy("value").agg(F.count("*").alias("count"))
     return (counts.withColumn("pct", F.round(F.col("count") * 100 / total, 1))

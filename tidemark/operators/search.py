@@ -28,7 +28,7 @@ class Search:
         """``text_fields`` limits token search to indexed columns; ``implicit`` serves bare terms."""
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.text_fields = set(self.strings() if text_fields is None else text_fields)
-        self.implicit = list(implicit) if implicit is not None else self.strings()[:10]
+        self.implicit = list(implicit) if implicit is not None else self.strings()
 
     def strings(self) -> list[str]:
         return [n for n, t in self.types.items() if isinstance(t, (T.StringType, T.VarcharType, T.CharType))]

@@ -64,7 +64,9 @@ SELECT partner_id, name, coalesce(category, 'Uncategorized') AS category, revenu
   CASE WHEN prev_revenue > 0 THEN (revenue - prev_revenue) / prev_revenue ELSE 0 END AS growth_rate
 FROM ranked WHERE current_rank <= 20"""))
 def e4(spark, sf):
-    return E.product_ranking(m.ecommerce(spark, sf), k=20, days=90)
+    headers = m.order_headers(spark, sf)
+    window = headers.filter(F.col("order_date") >= E.times.ago(E.times.as_of(headers, "order_date"), 180, "day"))
+    return E.product_ranking(m.ecommerce(spark, sf, window), k=20, days=90)
 
 
 @register("e5_summary_stats", sql("order_headers", f"""
@@ -80,10 +82,10 @@ def e5(spark, sf):
 
 @register("e6_hourly_breakdown", sql("order_headers", f"""
 SELECT partner_id, strftime(h, '%Y-%m-%dT%H:00:00Z') AS hour, revenue, orders FROM (
-  SELECT *, row_number() OVER (PARTITION BY partner_id ORDER BY h DESC) AS rn FROM (
+  SELECT * FROM (
     SELECT partner_id, date_trunc('hour', order_date) AS h, CAST(sum(taxful_total_price) AS DOUBLE) AS revenue, count(*) AS orders
     FROM order_headers WHERE order_date >= (SELECT max(order_date) FROM order_headers) - INTERVAL {HOURS} HOUR
-    GROUP BY 1, 2)) WHERE rn <= 24"""))
+    GROUP BY 1, 2))"""))
 def e6(spark, sf):
     return E.hourly_breakdown(m.order_headers(spark, sf), hours=HOURS)
 
@@ -96,7 +98,9 @@ SELECT partner_id, category, revenue, orders FROM (
       WHERE order_date >= (SELECT max(order_date) FROM ecommerce) - INTERVAL {HOURS} HOUR)
     GROUP BY 1, 2)) WHERE rn <= 10"""))
 def e7(spark, sf):
-    return E.top_categories(m.ecommerce(spark, sf), hours=HOURS)
+    headers = m.order_headers(spark, sf)
+    window = headers.filter(F.col("order_date") >= E.times.ago(E.times.as_of(headers, "order_date"), HOURS, "hour"))
+    return E.top_categories(m.ecommerce(spark, sf, window), hours=HOURS)
 
 
 @register("e8_events_per_minute", sql("clickstream", """
@@ -128,7 +132,9 @@ SELECT {_ORDER_COLUMNS} FROM (
   SELECT *, row_number() OVER (PARTITION BY partner_id ORDER BY order_date DESC, order_id DESC) AS rn FROM ecommerce)
 WHERE rn <= 20"""))
 def e10(spark, sf):
-    return E.recent_orders(m.ecommerce(spark, sf), limit=20)
+    headers = m.order_headers(spark, sf)
+    newest = headers.join(E.newest_keys(headers, 20).select("order_id"), "order_id", "left_semi")
+    return E.recent_orders(m.ecommerce(spark, sf, newest), limit=20)
 
 
 @register("e11_recent_clickstream", sql("clickstream", """
@@ -277,6 +283,19 @@ def e21_apply(spark, sf):
     return E.apply_status(orders, E.set_status(orders, _status_updates(spark, sf)))
 
 
+@register("e21_repeated_requests", sql("order_headers", """
+SELECT o.order_id, CASE WHEN o.order_id % 34 = 0 THEN 'shipped' WHEN o.order_id % 17 = 0 THEN 'cancelled' ELSE order_status END AS order_status,
+  CASE WHEN o.order_id % 17 = 0 THEN TIMESTAMP '2030-01-01 00:00:00' ELSE updated_at END AS updated_at FROM order_headers o"""))
+def e21_repeated(spark, sf):
+    """Every seventeenth order is cancelled, then each second one of these shipped after all."""
+    orders = m.order_headers(spark, sf).select("order_id", "order_status", "updated_at")
+    ids = orders.filter("order_id % 17 = 0").select("order_id")
+    asked = ids.withColumn("new_status", F.lit("cancelled")).withColumn("request", F.lit(1)).unionByName(
+        ids.filter("order_id % 34 = 0").withColumn("new_status", F.lit("shipped")).withColumn("request", F.lit(2)))
+    now = F.lit("2030-01-01 00:00:00").cast("timestamp_ntz")
+    return E.apply_status(orders, E.set_status(orders, asked), version="request", now=now)
+
+
 @register("e22_delete_keys", """
 SELECT 'header' AS part, count(*) AS rows FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey * 17 FROM customer)
 UNION ALL SELECT 'line', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT c_custkey * 17 FROM customer)""")

@@ -217,13 +217,13 @@ _KINDS = "[" + ", ".join(f"'{t}'" for t in ENTITY_TYPES) + "]"
 
 @register("r28_entities_by_type", sql("chunks", f"""
 SELECT {_KINDS}[(i - 1) % 4 + 1] AS entity_type, count(*) AS mentions, count(DISTINCT entity_names[i]) AS names
-FROM chunks, UNNEST(range(1, len(entity_names) + 1)) AS t(i) GROUP BY 1"""))
+FROM chunks, UNNEST(range(1, least(len(entity_names), 8) + 1)) AS t(i) GROUP BY 1"""))
 def r28_entities(spark, sf):
     return C.entities_by_type(m.chunks(spark, sf))
 
 
 @register("r29_extract_entities", sql("chunks", f"""
-SELECT row_id, coalesce(array_to_string(list_transform(entity_names, lambda x, i: x || ':' || {_KINDS}[(i - 1) % 4 + 1]), '|'), '') AS entities FROM chunks"""))
+SELECT row_id, coalesce(array_to_string(list_transform(entity_names[1:8], lambda x, i: x || ':' || {_KINDS}[(i - 1) % 4 + 1]), '|'), '') AS entities FROM chunks"""))
 def r29(spark, sf):
     found = F.transform(text.extract_entities("content"), lambda e: F.concat_ws(":", e["name"], e["type"]))
     return m.chunks(spark, sf).select("row_id", F.array_join(found, "|").alias("entities"))

@@ -34,12 +34,10 @@ _PAIR = """, top AS (SELECT CAST(trunc(max(order_id) * 9 / 10) AS BIGINT) AS k F
 replica AS (SELECT * FROM order_headers WHERE order_id <= (SELECT k FROM top)),
 source AS (SELECT * REPLACE (CASE WHEN updated_at > created_at THEN 'shipped' ELSE order_status END AS order_status)
   FROM order_headers WHERE order_id IN (SELECT l_orderkey FROM lineitem)),
-newer AS (SELECT * FROM source WHERE order_id > (SELECT max(order_id) FROM replica) ORDER BY order_id LIMIT 1000),
-changes AS (SELECT * FROM source WHERE updated_at > (SELECT max(updated_at) FROM source) - INTERVAL 30 DAY AND updated_at > created_at
-  ORDER BY updated_at, order_id LIMIT 100),
+newer AS (SELECT * FROM source WHERE order_id > (SELECT max(order_id) FROM replica) ),
+changes AS (SELECT * FROM source WHERE updated_at > (SELECT max(updated_at) FROM source) - INTERVAL 30 DAY AND updated_at > created_at),
 grown AS (SELECT * FROM replica UNION ALL SELECT * FROM newer),
-gone AS (SELECT order_id FROM (SELECT order_id FROM grown ORDER BY order_id DESC LIMIT 1000)
-  WHERE order_id NOT IN (SELECT order_id FROM source))
+gone AS (SELECT order_id FROM grown WHERE order_id NOT IN (SELECT order_id FROM source))
 """
 
 
@@ -50,7 +48,7 @@ def _since(source):
 @register("w1_incremental_new", sql("order_headers", _PAIR + """
 SELECT order_id, partner_id, order_status, CAST(taxful_total_price AS DOUBLE) AS price, order_date FROM newer"""))
 def w1(spark, sf):
-    new = W.incremental_new(_source(spark, sf), _replica(spark, sf), "order_id", 1000)
+    new = W.incremental_new(_source(spark, sf), _replica(spark, sf), "order_id")
     return new.select("order_id", "partner_id", "order_status",
                       F.col("taxful_total_price").cast("double").alias("price"), "order_date")
 
@@ -59,17 +57,22 @@ def w1(spark, sf):
 WITH items AS (SELECT l_orderkey * 8 + l_linenumber AS item_id, l_partkey, l_extendedprice FROM lineitem),
 mark AS (SELECT max(item_id) AS k FROM items WHERE item_id <= (SELECT max(item_id) * 9 // 10 FROM items))
 SELECT item_id, l_partkey AS product_id, l_extendedprice AS unit_price FROM items
-WHERE item_id > (SELECT k FROM mark) ORDER BY item_id, l_partkey, l_extendedprice LIMIT 1000""")
+WHERE item_id > (SELECT k FROM mark)""")
 def w2(spark, sf):
     items = m.table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("item_id"),
         F.col("l_partkey").alias("product_id"), F.col("l_extendedprice").alias("unit_price"))
     mark = items.agg(F.floor(F.max("item_id") * 9 / 10)).scalar()
-    # Line numbers repeat in this table, so the key is completed to a total order.
-    target = items.filter(F.col("item_id") <= mark)
-    ordered = items.withColumn("key", F.struct("item_id", "product_id", "unit_price"))
-    top = target.agg(F.max("item_id")).scalar()
-    return W.fill_sync_nulls(ordered.filter(F.col("item_id") > top).orderBy("key").limit(1000).drop("key"))
+    return W.incremental_new(items, items.filter(F.col("item_id") <= mark), "item_id")
+
+
+@register("w2_incremental_orders", sql("order_headers", _PAIR + """
+SELECT order_id, partner_id, order_status, CAST(taxful_total_price AS DOUBLE) AS price, order_date FROM source
+WHERE order_id >= (SELECT max(order_id) FROM replica) AND order_id NOT IN (SELECT order_id FROM replica)"""))
+def w2_orders(spark, sf):
+    new = W.incremental_new(_source(spark, sf), _replica(spark, sf), "order_id", inclusive=True)
+    return new.select("order_id", "partner_id", "order_status",
+                      F.col("taxful_total_price").cast("double").alias("price"), "order_date")
 
 
 @register("w3_apply_updates", sql("order_headers", _PAIR + """
@@ -84,12 +87,11 @@ def w3(spark, sf):
 @register("w3_next_watermark", sql("order_headers", _PAIR + "SELECT max(updated_at) AS watermark FROM changes"))
 def w3_mark(spark, sf):
     source = _source(spark, sf)
-    return W.next_watermark(W.pending_updates(source, _since(source)), _since(source))
+    return W.next_watermark(W.pending_updates(source, _since(source)), _since(source)).select("watermark")
 
 
 @register("w4_detect_deletes", sql("order_headers", _PAIR + """
-SELECT order_id FROM (SELECT order_id FROM replica ORDER BY order_id DESC LIMIT 1000)
-WHERE order_id NOT IN (SELECT order_id FROM source)"""))
+SELECT order_id FROM replica WHERE order_id NOT IN (SELECT order_id FROM source)"""))
 def w4(spark, sf):
     return W.detect_deletes(_replica(spark, sf), _source(spark, sf))
 

@@ -210,11 +210,19 @@ def l20(spark, sf):
 
 
 @register("l21_top_values", sql("logs", """
+SELECT value, count(*) AS count, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM logs), 1) AS pct FROM (
+  SELECT coalesce(json_extract_string(attributes, '$.k'), '') AS value FROM logs)
+GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"""))
+def l21_all(spark, sf):
+    return L.top_values(m.logs(spark, sf), "attributes.k")
+
+
+@register("l21_top_values_newest", sql("logs", """
 SELECT value, count(*) AS count, round(count(*) * 100.0::DOUBLE / 500, 1) AS pct FROM (
   SELECT coalesce(json_extract_string(attributes, '$.k'), '') AS value FROM logs ORDER BY timestamp DESC, log_id DESC LIMIT 500)
 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"""))
 def l21(spark, sf):
-    return L.top_values(m.logs(spark, sf), "attributes.k")
+    return L.top_values(m.logs(spark, sf), "attributes.k", sample=500)
 
 
 @register("l22_highlight", f"""

@@ -79,7 +79,7 @@ _CTES = {
     "chunks": """chunks AS (
   SELECT tenant_id, corpus_id, doc_key || '-' || chunk_index AS row_id, content_type, content,
          CAST(doc_key AS VARCHAR) AS doc_id, chunk_index, CAST(chunk_index // 4 + 1 AS INTEGER) AS page_number, doc_key,
-         list_transform(w[1:8], lambda x: regexp_replace(x, '[^a-zA-Z0-9]', '', 'g')) AS entity_names
+         list_transform(w, lambda x: regexp_replace(x, '[^a-zA-Z0-9]', '', 'g')) AS entity_names
   FROM (SELECT *, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS w FROM (
     SELECT *, list_filter(string_split_regex(content, '\\s+'), lambda x: length(x) > 4 AND regexp_matches(x, '^[A-Z]')) AS ws
     FROM (SELECT source AS tenant_id, lang AS corpus_id, doc_id AS doc_key,

@@ -18,14 +18,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def order_products(spark: SparkSession, sf: str) -> DataFrame:
-    """Per order: product and brand lists as JSON, item totals.
+def order_products(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
+    """Per order: product and brand lists as JSON, item totals; ``only`` names the orders wanted.
 
     Lines are first combined per (order, product type), so the lists below are
     bounded by the type and brand vocabularies, however many lines an order has.
     """
     line = spread(table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"))
+    if only is not None:
+        line = line.join(only.select(F.col("order_id").alias("l_orderkey")), "l_orderkey", "left_semi")
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     joined = line.join(part, line.l_partkey == part.p_partkey)
     first_line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "p_name")
@@ -68,13 +70,13 @@ def order_headers(spark: SparkSession, sf: str) -> DataFrame:
         F.timestamp_add("HOUR", hours, order_date).alias("updated_at"))
 
 
-def ecommerce(spark: SparkSession, sf: str) -> DataFrame:
-    """Full order rows, including customer attributes and the JSON columns."""
+def ecommerce(spark: SparkSession, sf: str, headers: DataFrame | None = None) -> DataFrame:
+    """Full order rows, including customer attributes and the JSON columns, of all orders or of the given headers."""
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
     geo = F.concat(F.lit('{"country_iso_code":"N'), F.col("c_nationkey").cast("string"), F.lit('"'),
                    F.when(F.col("c_acctbal") < 0, "").otherwise("}"))
-    products = order_products(spark, sf)
-    return (order_headers(spark, sf)
+    products = order_products(spark, sf, headers)
+    return ((order_headers(spark, sf) if headers is None else headers)
             .join(c, F.col("customer_id") == c.c_custkey)
             .join(products, F.col("order_id") == products.l_orderkey, "left")
             .select(

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import times
@@ -124,27 +125,38 @@ def index_views(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def cdc_loop(ticks: DataFrame, read_source: Callable[[], DataFrame], base: DataFrame, folder: str, since,
-             every: str | None = "1 second", key: str = "order_id", batch: int = ingest.NORMAL,
-             update_limit: int | None = 100, window: int = 1000) -> StreamingQuery:
+             every: str | None = "1 second", key: str = "order_id", batch: int | None = None,
+             update_limit: int | None = None, window: int | None = None) -> StreamingQuery:
     """Run a change-capture pass per tick and log only the rows it touched.
 
-    The base table is never rewritten: a tick costs what it changes plus a scan of
-    the key column, and a replayed tick replaces its own log folder. ``cdc_view``
-    merges base and log; ``compact`` turns them into a new base now and then.
+    A tick reads the source once for each of its three sets (new rows, changes, lost keys), stores them, and derives log,
+    counts and marks from what it stored, so a source that moves meanwhile cannot carry a mark past a change that was
+    not applied. Changes at the mark's own instant are read again and dropped if an earlier tick had them. The marks
+    hold the highest key too. A replayed tick replaces its own folders. ``cdc_view`` merges base and log; ``compact``
+    turns them into a new base now and then.
     """
     def apply(_: DataFrame, batch_id: int) -> None:
         spark = base.sparkSession
         if batch_id == 0:
-            target, mark = base, since
+            target, mark = base, F.lit(since) if not isinstance(since, Column) else since
+            top, earlier = base.agg(F.coalesce(F.max(key), F.lit(0))).scalar(), None
         else:
             target = cdc_view(spark, folder, base, key, before=batch_id)
-            marks = _versions(spark, folder, "watermark").filter(F.col("batch_id") == batch_id - 1)
-            mark = marks.select("watermark").scalar()
-        source = read_source().select(*base.columns)
-        new = ingest.incremental_new(source, target, key, batch)
+            marks = spark.read.parquet(f"{folder}/watermark/batch_id={batch_id - 1}")
+            mark, top = marks.select("watermark").scalar(), marks.select("top_key").scalar()
+            earlier = _upto(spark, folder, "changes", batch_id - 1).filter(F.col("updated_at") >= mark)
+
+        def stored(rows: DataFrame, name: str) -> DataFrame:
+            _save(rows, folder, name, batch_id)
+            return spark.read.schema(rows.schema).parquet(f"{folder}/{name}/batch_id={batch_id}")
+        changed = ingest.pending_updates(read_source().select(*base.columns), mark, key, update_limit,
+                                         since_key=None if earlier is None else F.lit(-2**62))
+        if earlier is not None:
+            changed = changed.join(earlier, [key, "order_status", "updated_at"], "left_anti")
+        changes = stored(changed, "changes")
+        new = stored(ingest.incremental_new(read_source().select(*base.columns), target, key, batch, mark=top), "new")
         grown = target.unionByName(new)
-        changes = ingest.pending_updates(source, mark, key, update_limit)
-        gone = ingest.detect_deletes(grown, source, key, window)
+        gone = stored(ingest.detect_deletes(grown, read_source(), key, window), "gone")
         touched = new.select(key).union(changes.select(key)).union(gone.select(key)).distinct()
         rows = ingest.apply_updates(grown.join(touched, key, "left_semi"), changes, key)
         dropped = gone.select(key, F.lit(True).alias("_gone"))
@@ -154,14 +166,19 @@ def cdc_loop(ticks: DataFrame, read_source: Callable[[], DataFrame], base: DataF
         for step, df in (("updated", changes), ("deleted", gone)):
             counts = counts.unionByName(df.agg(F.lit(step).alias("step"), F.count("*").alias("rows")))
         _save(counts, folder, "counts", batch_id)
-        _save(ingest.next_watermark(changes, mark), folder, "watermark", batch_id)
+        last = ingest.next_watermark(changes, mark, key).select("watermark")
+        highest = new.agg(F.coalesce(F.max(key), top).alias("top_key"))
+        _save(last.withColumn("top_key", highest.scalar()), folder, "watermark", batch_id)
     return _start(ticks, folder, every).foreachBatch(apply).start()
 
 
 def cdc_view(spark: SparkSession, folder: str, base: DataFrame, key: str = "order_id",
              before: int | None = None) -> DataFrame:
     """Base without the touched keys, plus the newest logged version of each touched key."""
-    log = _versions(spark, folder, "log")
+    try:
+        log = _versions(spark, folder, "log")
+    except AnalysisException:  # compacted, and no tick since
+        return base
     if before is not None:
         log = log.filter(F.col("batch_id") < before)
     newest = latest_per_key(log, [key])
@@ -170,8 +187,13 @@ def cdc_view(spark: SparkSession, folder: str, base: DataFrame, key: str = "orde
 
 
 def compact(spark: SparkSession, folder: str, base: DataFrame, path: str, key: str = "order_id") -> DataFrame:
-    """Write base and log as a new base at a new path; the old one stays readable meanwhile."""
+    """Write base and log as a new base at a new path, then drop the log; the old base stays readable.
+
+    Run it between ticks, and go on with the new base: later ticks read only the log written since.
+    """
     cdc_view(spark, folder, base, key).write.mode("errorifexists").parquet(path)
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/log")
+    log.getFileSystem(spark._jsc.hadoopConfiguration()).delete(log, True)
     return spark.read.parquet(path)
 
 
