@@ -28,8 +28,10 @@ def _with_text(docs: DataFrame, made: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without a letter or of doubtful language go."""
     model = language_id.fit(docs.filter(~common.held_out("doc_id")))
-    found = language_id.identify(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), model)
-    return found.filter((F.col("lang_pred") != language_id.NONE) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    aside = {f.name: f"_documents_{f.name}" for f in language_id.FIELDS if f.name in docs.columns}
+    found = language_id.identify(docs.withColumnsRenamed(aside), model)
+    kept = found.filter((F.col("lang_pred") != language_id.NONE) & (F.col("score") >= LEAST_SCORE))
+    return kept.drop(*[f.name for f in language_id.FIELDS]).withColumnsRenamed({b: a for a, b in aside.items()}).select(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

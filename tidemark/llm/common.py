@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.session import shared_dir
 
 #: Bytes of text that the numpy steps take at once; bounds their temporary arrays, not the texts.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +134,28 @@ def _long_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return powers(n), powers(n, _INVERSE[1])
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: its process waits for later stages beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        pass
+
+
+#: Rows and bytes of a batch on its way to a task's Python; texts may be long, and two tasks share an executor.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to what these operators are sized for; never raise them."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        have = spark.conf.get(name, None)
+        number = int(re.sub(r"\D", "", have) or 0) if have else 0
+        if not 0 < number <= most or not have.isdigit():
+            spark.conf.set(name, most)
+
+
 def append(df: DataFrame, needs: list[str], fields: list[T.StructField], make: Callable) -> DataFrame:
     """All columns of ``df`` and the new ``fields``; a column with the name of a new field is replaced.
 
@@ -148,7 +172,9 @@ def append(df: DataFrame, needs: list[str], fields: list[T.StructField], make: C
             made = compute(*[batch.column(batch.schema.get_field_index(c)) for c in needs])
             old = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays(old + list(made), names=names)
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(task, schema)
 
 
@@ -190,6 +216,7 @@ def from_planes(blob: bytes, at: int, count: int, kind) -> np.ndarray:
 
 def volume(docs: DataFrame, text: str) -> tuple[int, int]:
     """Rows and text bytes of a table; sizes the groups of later steps."""
+    small_batches(docs.sparkSession)
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
     return rows, size or 0
 

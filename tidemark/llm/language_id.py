@@ -32,46 +32,39 @@ class LanguageModel:
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """Row of each three symbol context, and code lengths in bits by row, symbol and language."""
         size, langs = self.size, len(self.langs)
-        seen = np.unique(np.concatenate([c // size for c in self.codes])) if langs else np.zeros(0, np.int64)
-        bits = np.full((1, size, langs), 8.0)
-        contexts = np.zeros(1, np.int64)
-        rows, base, depth_rows = [], 0, []
-        for order in range(4):
-            kept = np.unique(seen % size**order)
-            parent = np.searchsorted(contexts, kept % size**max(order - 1, 0))
-            level = bits[parent] if order else bits.copy()
-            for lang, (codes, counts) in enumerate(zip(self.codes, self.counts)):
-                local = np.zeros((len(kept), size))
-                np.add.at(local, (np.searchsorted(kept, (codes // size) % size**order), codes % size), counts)
-                total, distinct = local.sum(1, keepdims=True), (local > 0).sum(1, keepdims=True)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    hit = -np.log2(local / (total + distinct))
-                    miss = level[:, :, lang] - np.log2(distinct / (total + distinct))
-                level[:, :, lang] = np.where(local > 0, hit, np.where(total > 0, miss, level[:, :, lang]))
-            bits, contexts = level, kept
-            depth_rows.append((kept, base))
-            rows.append(level.astype(np.float32))
-            base += len(kept)
+        seen = np.unique(np.concatenate([c // size for c in self.codes]))
+        kept = [np.unique(seen % size**order) for order in range(4)]
+        base = np.cumsum([0, *map(len, kept)])
+        table = np.full((base[-1], size, langs), 8, np.float32)
         row = np.zeros(size**3, np.int32)
-        for order, (kept, start) in enumerate(depth_rows):
-            if order == 3:
-                row[kept] = start + np.arange(len(kept))
-            else:
-                by_suffix = np.full(size**order, -1, np.int64)
-                by_suffix[kept] = start + np.arange(len(kept))
-                spread = np.tile(by_suffix, size ** (3 - order))
-                row = np.where(spread >= 0, spread, row).astype(np.int32)
-        return row, np.concatenate(rows).reshape(-1, langs)
+        for order, known in enumerate(kept):
+            here = table[base[order]:base[order + 1]]
+            if order:
+                parent = base[order - 1] + np.searchsorted(kept[order - 1], known % size ** (order - 1))
+                for k in range(0, len(known), 4096):
+                    here[k:k + 4096] = table[parent[k:k + 4096]]
+            for lang, (codes, counts) in enumerate(zip(self.codes, self.counts)):
+                cell, place = np.unique(codes % size ** (order + 1), return_inverse=True)
+                count = np.bincount(place, counts)
+                at = np.searchsorted(known, cell // size)
+                total, distinct = np.bincount(at, count, len(known)), np.bincount(at, minlength=len(known))
+                used = np.flatnonzero(total)
+                escape = -np.log2(distinct[used] / (total[used] + distinct[used]))
+                here[used, :, lang] += escape[:, None].astype(np.float32)
+                here[at, cell % size, lang] = -np.log2(count / (total[at] + distinct[at]))
+            # All three symbol contexts that end with a known one; longer known ones overwrite them later.
+            row.reshape(-1, size**order)[:, known] = base[order] + np.arange(len(known), dtype=np.int32)
+        return row, table.reshape(-1, langs)
 
 
 def contexts(starts: np.ndarray, symbols: np.ndarray, size: int) -> np.ndarray:
     """The three symbols before each position as one number, never across the start of a text."""
-    code = np.zeros(len(symbols), np.int64)
-    before = symbols.astype(np.int64)
+    code = np.zeros_like(symbols)
+    before = symbols
     for factor in (1, size, size * size):
-        before = np.concatenate([[0], before[:-1]])
+        before = np.concatenate([before[:1], before[:-1]])
         before[starts] = 0
-        code += factor * before
+        code += before * symbols.dtype.type(factor)
     return code
 
 
@@ -117,12 +110,13 @@ def scorer(model: LanguageModel) -> Callable[[pa.Array], tuple[pa.Array, pa.Arra
     """A function from texts to predicted language, probability and bits a byte."""
     row, bits = model.tables() if model.langs else (None, None)
     langs = np.array(model.langs + [NONE], object)
+    symbol = model.symbol.astype(np.int32)
 
     def score(texts: pa.Array):
         offsets, data = common.utf8(texts)
         rows = len(texts)
         best, sure, rate = np.full(rows, len(model.langs)), np.zeros(rows), np.full(rows, np.nan)
-        for first, last in common.slices(offsets):
+        for first, last in common.slices(offsets, common.SLICE_BYTES // 4):
             part = data[offsets[first]:offsets[last]]
             local = offsets[first:last] - offsets[first]
             sizes = np.diff(offsets[first:last + 1])
@@ -130,7 +124,7 @@ def scorer(model: LanguageModel) -> Callable[[pa.Array], tuple[pa.Array, pa.Arra
             if not len(full) or not model.langs:
                 continue
             starts = local[full]
-            symbols = model.symbol[part]
+            symbols = symbol[part]
             cell = row[contexts(starts, symbols, model.size)].astype(np.int64) * model.size + symbols
             lengths = np.add.reduceat(bits[cell], starts, axis=0, dtype=np.float64)
             letter = np.add.reduceat(_LETTER[part], starts, dtype=np.int64) > 0

@@ -66,6 +66,7 @@ def signatures(docs: DataFrame, width: int, text: str = "text", doc_id: str = "d
                     made.append(tokens(items) if len(items) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
                                               pa.array(made, pa.binary())], names=["doc_id", "n_shingles", "sum_a", "sum_b", "tokens"])
+        common.give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(
         task, "doc_id long, n_shingles long, sum_a long, sum_b long, tokens binary")
@@ -182,6 +183,7 @@ def candidate_links(classes: DataFrame, similarity: float) -> DataFrame | None:
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("node", "ascending"), ("id", "ascending")])
         a, b = _alike(table["id"].to_numpy(), table["node"].to_numpy(), _matrix(table["tokens"]), least)
+        common.give_back()
         return pa.table({"a": a, "b": b})
 
     compared = (small.join(classes.hint("merge"), "id").withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(buckets)))
@@ -252,6 +254,7 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: i
                 local = offsets[first:last + 1] - offsets[first]
                 made += [s.tobytes() for s in shingle_sets(local, data[offsets[first]:offsets[last]], width)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], names=["id", "cluster", "n", "items"])
+        common.give_back()
 
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     members = clusters.join(sizes, "cluster").withColumnRenamed("id", "member")
@@ -278,6 +281,7 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: i
             _, rows_kept = np.unique(ids[start:stop], return_index=True)
             sets = [np.frombuffer(items[int(start + k)].as_py(), np.uint64) for k in rows_kept]
             links += _confirmed(ids[start:stop][rows_kept].tolist(), sets, percent)
+        common.give_back()
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return rows.withColumn("unit", unit).select("unit", "cluster", "id", "items").groupBy("unit").applyInArrow(confirm, "a long, b long")
@@ -293,6 +297,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     alone: component null, kept. Whole texts count; other columns take no part; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     all_signed = common.scratch(signatures(docs, width, text, doc_id), "signed")
     key = ["n_shingles", "sum_a", "sum_b"]
     signed = all_signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))

@@ -105,6 +105,7 @@ def tokenizer(path: str) -> Callable[[str], bytes]:
                 and not spec["pre_tokenizer"]["add_prefix_space"] and not spec.get("normalizer"):
             ranks = {bytes(byte_of[c] for c in piece): n for piece, n in order.items() if piece not in special}
             fast = tiktoken.Encoding("vocabulary", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        del spec, order, merges
 
         def encode(text: str) -> bytes:
             if fast and not _PLAIN.search(text) and not any(t in text for t in special):
@@ -141,6 +142,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
         for _, pieces in packer.open:
             packer.emit(pieces, task=here)
         yield packer.take()
+        common.give_back()
 
     def merge(key, table):
         group = key[0].as_py()
@@ -171,6 +173,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
                 left -= power
         return pa.Table.from_batches([packer.take()])
 
+    common.small_batches(docs.sparkSession)
     # Written once: the closed pieces and the leftovers are both read from it.
     packed = common.scratch(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(task, SCHEMA), "packed")
     merged = (packed.filter(F.col("task").isNotNull()).withColumn("group", F.floor(F.col("task") / merge_tasks))

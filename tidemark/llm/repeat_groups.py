@@ -110,6 +110,7 @@ def _runs(docs: DataFrame, window: int, gram: int, buckets: int, text: str, doc_
                 one = run[np.sort(one)]
                 rows += [(b, RUNS, blob) for b, blob in _by_bucket((one["anchor"] % np.uint64(buckets)).astype(np.int64), one)]
             yield from _batch(rows).to_batches()
+        common.give_back()
 
     return docs.select(doc_id, text).mapInArrow(task, BLOBS)
 
@@ -253,6 +254,7 @@ def _settle(table: pa.Table, window: int) -> pa.Table:
     found = np.array(sorted(out), _SPAN) if out else np.zeros(0, _SPAN)
     spans.append(_joined(found["doc"], found["start"], found["end"]))
     spans = np.concatenate(spans)
+    common.give_back()
     return pa.table({n: spans[n] for n in _SPAN.names})
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tidemark.llm import common
 
 GRAM = 8  # words of a minimiser
-PER_BUCKET = 500_000  # edges that one bucket holds about
+PER_BUCKET = 250_000  # edges that one bucket holds about
 PER_GROUP = 1 << 20  # text bytes of one group of documents about
 SPANS = "doc long, start int, n int, src_doc long, src_start int"
 _SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("src_doc", "<i8"), ("src_start", "<i4")])
@@ -76,6 +76,7 @@ def paths(docs: DataFrame, window: int, buckets: int, text: str, doc_id: str) ->
                 spans = _spans(doc[at], place[at], doc[source[at]], place[source[at]], np.diff(at) == 1)
                 made.append((least[~again], doc[~again], place[~again], value[~again], np.flatnonzero(~again), spans))
             yield _blobs(made, buckets)
+        common.give_back()
 
     return docs.select(doc_id, text).mapInArrow(task, "bucket long, edges binary, spans binary")
 
@@ -141,6 +142,7 @@ def _resolve(table: pa.Table) -> pa.Table:
         at = np.flatnonzero((doc[source] != doc) | (place[source] != place))
         found.append(_spans(doc[at], place[at], doc[source[at]], place[source[at]], np.diff(at) == 1))
     spans = np.concatenate(found) if found else np.zeros(0, _SPAN)
+    common.give_back()
     return pa.table({n: spans[n] for n in _SPAN.names})
 
 
@@ -243,6 +245,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", doc_id
                 columns[3].append(b"".join([raw[:starts[0]], *(raw[limit[a]:limit[b]] for a, b in stays)]).decode("utf-8", "replace"))
             else:
                 columns[3].append(raw.decode("utf-8", "replace"))
+        common.give_back()
         made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))][:len(fields)]
         kept = [texts[c] for c in keep]
         return pa.Table.from_arrays(kept + made, names=keep + [f.name for f in fields])
