@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from tidemark import plans
 from compare import compare, duck
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = plans.all_queries(), plans.all_oracles()
 
 
 @pytest.fixture(scope="session")

@@ -74,10 +74,32 @@ def test_rrf_inner_equals_full_ranking(docs):
     assert [(r["row_id"], r["vec_rank"], r["bm25_rank"]) for r in got] == [(r, by_vec[r], by_text[r]) for r in best]
 
 
-def test_query_list_is_bounded(spark):
-    many = spark.range(retrieval.MAX_QUERIES + 1).selectExpr("cast(id as string) query_id", "array(0.0) vector")
-    with pytest.raises(ValueError):
-        retrieval.query_list(many)
+def test_any_number_of_queries(spark, monkeypatch):
+    """Several blocks, the last one partial: every query gets its rows."""
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    points = spark.range(30).selectExpr("id row_id", "array(double(id), 0D) v")
+    asked = spark.range(24).selectExpr("string(id) query_id", "array(double(id), 0D) vector")
+    got = retrieval.knn(points, asked, 1, "row_id", "v").collect()
+    assert {r["query_id"]: r["row_id"] for r in got} == {str(i): i for i in range(24)}
+    assert retrieval.knn(points, asked.limit(0), 1, "row_id", "v").count() == 0
+    texts = spark.range(30).selectExpr("string(id) row_id", "concat('word', id, ' common') content")
+    words = spark.range(24).selectExpr("string(id) query_id", "concat('word', id) query")
+    expected = {str(i): str(i) for i in range(24)}
+    assert {r["query_id"]: r["row_id"] for r in retrieval.bm25_batch(texts, words, 1).collect()} == expected
+    monkeypatch.setattr(retrieval, "MATRIX_CELLS", 9)
+    assert {r["query_id"]: r["row_id"] for r in retrieval.bm25_batch(texts, words, 1).collect()} == expected
+
+
+def test_absent_and_ragged_vectors(spark):
+    rows = [("a", [3.0, 4.0, 0.0, 0.0]), ("b", []), ("c", None), ("d", [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "row_id string, content_embedding array<double>").coalesce(1)
+    assert [(r["row_id"], r["distance"]) for r in retrieval.knn(df, [("q", [0.0] * 4)]).collect()] == [("a", 5.0)]
+    stats = {r["row_id"]: r["s"] for r in df.select("row_id", vectors.vector_stats("content_embedding").alias("s")).collect()}
+    assert stats["b"] is None and stats["c"] is None and stats["a"]["mean"] == 1.75 and stats["d"]["total"] == 2.0
+    far = {r["row_id"]: r["d"] for r in df.select("row_id", vectors.distance_to("content_embedding", [0.0, 0.0]).alias("d")).collect()}
+    assert far == {"a": None, "b": None, "c": None, "d": round(2 ** 0.5, 6)}
+    sample = {r["row_id"]: r["x"] for r in df.select("row_id", vectors.vector_sample("content_embedding").alias("x")).collect()}
+    assert sample["b"] is None and sample["c"] is None and sample["d"] == [0.0, 0.0] and len(sample["a"]) == 4
 
 
 def test_neighbours_and_context_of_a_long_document(spark):

@@ -9,17 +9,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 DIGITS = 6
-QUERY_BLOCK = 512
-
 
 def matrix(values: pa.Array) -> np.ndarray:
     """A list array of equal lengths as float64 rows."""
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
+    lengths = np.unique(values.value_lengths().to_numpy(zero_copy_only=False))
+    if len(lengths) > 1 or np.isnan(lengths).any():
+        raise ValueError("vectors of one batch differ in length")
     flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(values), -1) if len(values) else flat.reshape(0, 0)
 
 
+def by_length(values: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and matrix of each vector length; null and empty vectors are left out."""
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
+    lengths = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    for length in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == length)
+        yield at, matrix(values.take(pa.array(at)))
+
+
 def l2_rows(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - q) ** 2).sum(axis=1))
 
@@ -33,12 +44,16 @@ METRICS = {"l2": l2_rows, "cosine": cosine_rows}
 
 
 def distance_to(column: str, vector: Sequence[float], metric: str = "l2") -> Column:
-    """Distance of each row's vector to one query vector."""
+    """Distance of each row's vector to one query vector; null where the row has none of that length."""
     q, rows = np.asarray(vector, dtype=np.float64), METRICS[metric]
 
     @F.arrow_udf("double")
     def distance(v: pa.Array) -> pa.Array:
-        return pa.array(np.round(rows(matrix(v), q), DIGITS) if len(v) else [], pa.float64())
+        out = np.full(len(v), np.nan)
+        for at, x in by_length(v):
+            if x.shape[1] == len(q):
+                out[at] = np.round(rows(x, q), DIGITS)
+        return pa.array(out, pa.float64(), mask=np.isnan(out))
     return distance(F.col(column))
 
 
@@ -46,60 +61,59 @@ def nearest(df: DataFrame, row_id: str, vector: str, queries: Sequence[tuple[str
             metric: str = "l2") -> DataFrame:
     """Per Arrow batch, the ``k`` best rows for each query: ``(query_id, row_id, distance)``.
 
-    Only batch winners leave the task, never a row per (query, vector) pair.
-    Large query sets are scanned block by block.
+    Only batch winners leave the task, never a row per (query, vector) pair. Rows whose vector is null or of another
+    length than the queries' take no part.
     """
     id_type = df.schema[row_id].dataType.simpleString()
     schema = f"query_id string, {row_id} {id_type}, distance double"
     rows = METRICS[metric]
 
-    def scan_for(block):
-        names = [str(name) for name, _ in block]
-        targets = [np.asarray(v, dtype=np.float64) for _, v in block]
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column(0)
-                order_ids = np.asarray(ids.to_pylist()) if pa.types.is_string(ids.type) else ids.to_numpy(zero_copy_only=False)
-                x = matrix(batch.column(1))
-                out_q, out_i, out_d = [], [], []
-                for name, q in zip(names, targets):
-                    d = np.round(rows(x, q), DIGITS)
-                    if len(d) > 4 * k:
-                        # Everything up to the k-th distance, ties included, then the exact order.
-                        keep = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                    else:
-                        keep = np.arange(len(d))
-                    best = keep[np.lexsort((order_ids[keep], d[keep]))[:k]]
-                    out_q += [name] * len(best)
-                    out_i.append(best)
-                    out_d.append(d[best])
-                taken = pa.array(np.concatenate(out_i))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_q, pa.string()), ids.take(taken), pa.array(np.concatenate(out_d))],
-                    names=["query_id", row_id, "distance"])
-        return scan
-
-    source = df.select(row_id, vector).filter(F.col(vector).isNotNull())
-    out = None
-    for start in range(0, len(queries), QUERY_BLOCK):
-        part = source.mapInArrow(scan_for(list(queries[start:start + QUERY_BLOCK])), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    names = [str(name) for name, _ in queries]
+    targets = [np.asarray(v, dtype=np.float64) for _, v in queries]
+    width = len(targets[0])
+    if any(len(q) != width for q in targets):
+        raise ValueError("query vectors differ in length")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0)
+            order_ids = np.asarray(ids.to_pylist()) if pa.types.is_string(ids.type) else ids.to_numpy(zero_copy_only=False)
+            x = matrix(batch.column(1))
+            out_q, out_i, out_d = [], [], []
+            for name, q in zip(names, targets):
+                d = np.round(rows(x, q), DIGITS)
+                if len(d) > 4 * k:
+                    # Everything up to the k-th distance, ties included, then the exact order.
+                    keep = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                else:
+                    keep = np.arange(len(d))
+                best = keep[np.lexsort((order_ids[keep], d[keep]))[:k]]
+                out_q += [name] * len(best)
+                out_i.append(best)
+                out_d.append(d[best])
+            taken = pa.array(np.concatenate(out_i))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out_q, pa.string()), ids.take(taken), pa.array(np.concatenate(out_d))],
+                names=["query_id", row_id, "distance"])
+
+    source = df.select(row_id, vector).filter(F.size(vector) == width)
+    return source.mapInArrow(scan, schema)
 
 
 def vector_stats(column: str, first: int = 512, near_zero: float = 0.01) -> Column:
-    """Mean, range, population deviation and sum; norm and sparsity over the first dimensions."""
+    """Mean, range, population deviation and sum; norm and sparsity over the first dimensions; null without a vector."""
     @F.arrow_udf("struct<mean:double,min:double,max:double,std_dev:double,total:double,l2_norm:double,sparsity_pct:double>")
     def stats(v: pa.Array) -> pa.Array:
-        x = matrix(v)
-        head = x[:, :first]
-        parts = [x.mean(axis=1), x.min(axis=1), x.max(axis=1), x.std(axis=1), x.sum(axis=1),
-                 np.sqrt((head * head).sum(axis=1)), (np.abs(head) < near_zero).mean(axis=1) * 100]
         names = ["mean", "min", "max", "std_dev", "total", "l2_norm", "sparsity_pct"]
-        return pa.StructArray.from_arrays([pa.array(p) for p in parts], names=names)
+        out, known = np.zeros((len(names), len(v))), np.zeros(len(v), dtype=bool)
+        for at, x in by_length(v):
+            head = x[:, :first]
+            out[:, at] = [x.mean(axis=1), x.min(axis=1), x.max(axis=1), x.std(axis=1), x.sum(axis=1),
+                          np.sqrt((head * head).sum(axis=1)), (np.abs(head) < near_zero).mean(axis=1) * 100]
+            known[at] = True
+        return pa.StructArray.from_arrays([pa.array(p) for p in out], names=names, mask=pa.array(~known))
     return stats(F.col(column))
 
 
@@ -107,13 +121,16 @@ def vector_sample(column: str, buckets: int = 128) -> Column:
     """At most ``buckets`` means of equal runs (a trailing rest is ignored), scaled to 0..1."""
     @F.arrow_udf("array<double>")
     def sample(v: pa.Array) -> pa.Array:
-        x = matrix(v)
-        step = max(1, x.shape[1] // buckets)
-        n = min(buckets, x.shape[1] // step)
-        means = x[:, :n * step].reshape(len(x), n, step).mean(axis=2)
-        low, high = means.min(axis=1, keepdims=True), means.max(axis=1, keepdims=True)
-        span = np.where(high - low == 0, 1.0, high - low)
-        return pa.array(list((means - low) / span), pa.list_(pa.float64()))
+        out = np.full(len(v), None, dtype=object)
+        for at, x in by_length(v):
+            step = max(1, x.shape[1] // buckets)
+            n = min(buckets, x.shape[1] // step)
+            means = x[:, :n * step].reshape(len(x), n, step).mean(axis=2)
+            low, high = means.min(axis=1, keepdims=True), means.max(axis=1, keepdims=True)
+            span = np.where(high - low == 0, 1.0, high - low)
+            for i, scaled in zip(at, (means - low) / span):
+                out[i] = scaled
+        return pa.array(out.tolist(), pa.list_(pa.float64()))
     return sample(F.col(column))
 
 

@@ -19,7 +19,7 @@ PAGE_CHUNKS = 500
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """Documents, chunks and vectors per corpus, counted per document first."""
     per_doc = chunks.groupBy("tenant_id", "corpus_id", "doc_id").agg(
-        F.count("*").alias("_chunks"), F.count("content_embedding").alias("_vectors"))
+        F.count("*").alias("_chunks"), F.count_if(F.size("content_embedding") > 0).alias("_vectors"))
     return per_doc.groupBy("tenant_id", "corpus_id").agg(
         F.count("*").alias("documents"), F.sum("_chunks").alias("chunks"), F.sum("_vectors").alias("vectors"))
 

@@ -7,6 +7,7 @@ searched, ``content_embedding``. Query texts and vectors are request parameters.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from tidemark.functions import text, vectors
 from tidemark.functions.scale import top_per_group
 from tidemark.session import cut_lineage
 
-MAX_QUERIES = 1000
+QUERY_BLOCK = 1000
 SCORE_DIGITS = 6
 MATRIX_CELLS = 4_000_000  # bounds the memory of one matrix in a task
 
@@ -29,12 +30,24 @@ def scoped(chunks: DataFrame, tenant: str | None = None, corpus: str | None = No
     return chunks
 
 
-def query_list(queries: DataFrame) -> list[tuple[str, list[float]]]:
-    """A checked, small set of query vectors ``(query_id, vector)`` as request parameters."""
-    rows = queries.select("query_id", "vector").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors: send them in several requests")
-    return sorted((r["query_id"], [float(x) for x in r["vector"]]) for r in rows)
+def query_blocks(queries: DataFrame, payload: str) -> Iterator[list[tuple]]:
+    """All rows of ``(query_id, payload)`` in blocks of at most ``QUERY_BLOCK``, so that any number of queries can be asked.
+
+    The driver holds one block at a time; a task meets one block per scan.
+    """
+    block = []
+    for row in queries.select("query_id", payload).filter(F.col(payload).isNotNull()).toLocalIterator():
+        block.append((row[0], row[1]))
+        if len(block) == QUERY_BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def query_vector(queries: DataFrame, query_id: str) -> list[float]:
+    """The vector of one query; only its row leaves the table."""
+    return [float(x) for x in queries.filter(F.col("query_id") == query_id).select("vector").first()[0]]
 
 
 def keyword_match(chunks: DataFrame, query: str, how: str = "match_any", tenant: str | None = None,
@@ -50,25 +63,17 @@ def _saturation(tf: Column, length: Column, mean_length: Column, k1: float, b: f
     return tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * length / mean_length))
 
 
-def with_bm25(chunks: DataFrame, queries: Sequence[tuple[str, str]], k1: float = 1.2, b: float = 0.75,
-              corpus: DataFrame | None = None) -> DataFrame:
-    """Chunks with ``scores``: one ``(query_id, score)`` entry per query.
-
-    The query terms are parameters, so their counts are array expressions in the
-    scan and the corpus statistics are one aggregate row. Nothing is exploded.
-    """
-    per_query = [(qid, list(dict.fromkeys(text.query_tokens(q)))) for qid, q in queries]
-    terms = list(dict.fromkeys(t for _, words in per_query for t in words))
+def _hits(df: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """Adds ``_len``, the number of tokens, and ``_hits``, the tokens that are query terms."""
+    wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    return df.withColumn("_toks", text.tokens("content")).withColumns({
+        "_len": F.size("_toks"), "_hits": F.filter("_toks", lambda t: F.array_contains(wanted, t))}).drop("_toks")
 
-    def counted(df: DataFrame) -> DataFrame:
-        wanted = F.array(*[F.lit(t) for t in terms])
-        toks = df.withColumn("_toks", text.tokens("content"))
-        return toks.withColumns({
-            "_len": F.size("_toks"),
-            "_hits": F.filter("_toks", lambda t: F.array_contains(wanted, t)),
-        }).drop("_toks")
 
-    counts = counted(corpus if corpus is not None else chunks).agg(
+def _scored(rows: DataFrame, counted: DataFrame, per_query: list[tuple[str, list[str]]], terms: list[str], k1: float,
+            b: float) -> DataFrame:
+    """``scores`` of rows with hits, from the statistics of ``counted``, which are one aggregate row."""
+    counts = counted.agg(
         F.count("*").cast("double").alias("n"), F.avg("_len").alias("mean_length"),
         *[F.count_if(F.array_contains("_hits", t)).cast("double").alias(f"df{i}") for i, t in enumerate(terms)])
 
@@ -78,7 +83,7 @@ def with_bm25(chunks: DataFrame, queries: Sequence[tuple[str, str]], k1: float =
     model = counts.select(F.struct(
         "mean_length", F.array(*[F.struct(F.lit(qid).alias("query_id"), weights(words).alias("terms"))
                                  for qid, words in per_query]).alias("queries"))).scalar()
-    rows = counted(chunks).withColumn("_m", model)
+    rows = rows.withColumn("_m", model)
 
     def score(query: Column) -> Column:
         def part(total: Column, t: Column) -> Column:
@@ -89,35 +94,75 @@ def with_bm25(chunks: DataFrame, queries: Sequence[tuple[str, str]], k1: float =
     return rows.withColumn("scores", scores).drop("_hits", "_len", "_m")
 
 
+def _terms(queries: Sequence[tuple[str, str]]) -> tuple[list[tuple[str, list[str]]], list[str]]:
+    per_query = [(qid, list(dict.fromkeys(text.query_tokens(q)))) for qid, q in queries]
+    return per_query, list(dict.fromkeys(t for _, words in per_query for t in words))
+
+
+def with_bm25(chunks: DataFrame, queries: Sequence[tuple[str, str]], k1: float = 1.2, b: float = 0.75,
+              corpus: DataFrame | None = None) -> DataFrame:
+    """Chunks with ``scores``: one ``(query_id, score)`` entry per query.
+
+    The query terms are parameters, so their counts are array expressions in the
+    scan and the corpus statistics are one aggregate row. Nothing is exploded.
+    """
+    per_query, terms = _terms(queries)
+    counted = _hits((chunks if corpus is None else corpus).select("content"), terms)
+    return _scored(_hits(chunks, terms), counted, per_query, terms, k1, b)
+
+
 def bm25(chunks: DataFrame, queries: Sequence[tuple[str, str]], k: int = 5, k1: float = 1.2,
          b: float = 0.75) -> DataFrame:
-    """The ``k`` best chunks per query text."""
+    """The ``k`` best chunks per query text. Lengths and hits are stored once, for the statistics and the scores."""
+    per_query, terms = _terms(queries)
+    hits = cut_lineage(_hits(chunks.select("row_id", "content"), terms).drop("content"))
+    found = _scored(hits.filter(F.size("_hits") > 0), hits, per_query, terms, k1, b)
     # The outer form keeps the optimizer from testing the array's size first, which
     # would compute every score twice.
-    scored = (with_bm25(chunks, queries, k1, b)
-              .select("row_id", F.inline_outer("scores")).filter("score > 0"))
+    scored = found.select("row_id", F.inline_outer("scores")).filter("score > 0")
     return top_per_group(scored, "query_id", [F.desc("score"), F.asc("row_id")], k, ["row_id"], rank="rank")
 
 
+def _matrix_blocks(queries: DataFrame) -> Iterator[list[tuple[str, set[str]]]]:
+    """Query texts as term sets, in blocks whose terms × queries matrix has at most ``MATRIX_CELLS`` cells.
+
+    A single longer query is a block of its own.
+    """
+    block, terms = [], set()
+    for rows in query_blocks(queries, "query"):
+        for qid, query in rows:
+            words = set(text.query_tokens(query))
+            if block and (len(block) + 1) * len(terms | words) > MATRIX_CELLS:
+                yield block
+                block, terms = [], set()
+            block.append((qid, words))
+            terms |= words
+        yield block
+        block, terms = [], set()
+
+
 def bm25_batch(chunks: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 for a table of query texts ``(query_id, query)``, checked to be a small set of requests.
+    """BM25 for a table of query texts ``(query_id, query)`` of any length, block by block.
 
-    A chunk keeps only its query tokens. Each Arrow batch becomes a chunk × term
+    A chunk keeps only its query tokens, stored once a block. Each Arrow batch becomes a chunk × term
     matrix that is multiplied with the term × query weights, and only the ``k`` best
     chunks per query leave the task: frequent terms never multiply postings by queries.
     """
-    rows = queries.select("query_id", "query").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: send them in several requests")
-    asked = [(r["query_id"], set(text.query_tokens(r["query"]))) for r in rows]
-    terms = sorted(set().union(*(words for _, words in asked)))
-    toks = chunks.select("row_id", text.tokens("content").alias("_t"))
-    hits = toks.select("row_id", F.size("_t").alias("length"), F.filter("_t", lambda t: t.isin(*terms)).alias("hits"))
+    parts = [_bm25_block(chunks, block, k, k1, b) for block in _matrix_blocks(queries)]
+    schema = "query_id string, row_id string, score double"
+    scored = reduce(DataFrame.unionByName, parts) if parts else chunks.sparkSession.createDataFrame([], schema)
+    return top_per_group(scored, "query_id", [F.desc("score"), F.asc("row_id")], k, ["row_id"], rank="rank")
+
 
-    totals = toks.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("mean")).first()
-    seen = (hits.select(F.explode_outer(F.array_distinct("hits")).alias("term")).filter("term IS NOT NULL")
+def _bm25_block(chunks: DataFrame, asked: list[tuple[str, set[str]]], k: int, k1: float, b: float) -> DataFrame:
+    """The ``k`` best rows of every Arrow batch for each query of a block."""
+    terms = sorted(set().union(*(words for _, words in asked)))
+    hits = cut_lineage(chunks.select("row_id", text.tokens("content").alias("_t")).select(
+        "row_id", F.size("_t").alias("length"), F.filter("_t", lambda t: t.isin(*terms)).alias("hits")))
+    totals = hits.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    seen = (hits.select(F.explode(F.array_distinct("hits")).alias("term"))
             .groupBy("term").agg(F.count("*").alias("df")))
-    frequency = {r["term"]: r["df"] for r in seen.collect()}  # at most one row per query term
+    frequency = {r["term"]: r["df"] for r in seen.collect()}  # at most one row per term of the block
     place = {t: i for i, t in enumerate(terms)}
     df = np.array([frequency.get(t, 0) for t in terms], dtype=np.float64)
     idf = np.log(1.0 + (totals["n"] - df + 0.5) / (df + 0.5))
@@ -149,15 +194,20 @@ def bm25_batch(chunks: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name] * len(best), pa.string()), ids.take(pa.array(best)), pa.array(s[best])],
                         names=["query_id", "row_id", "score"])
-    scored = hits.filter(F.col("length") > 0).mapInArrow(scan, "query_id string, row_id string, score double")
-    return top_per_group(scored, "query_id", [F.desc("score"), F.asc("row_id")], k, ["row_id"], rank="rank")
+    return hits.filter((F.col("length") > 0) & (F.size("hits") > 0)).mapInArrow(
+        scan, "query_id string, row_id string, score double")
 
 
-def knn(df: DataFrame, queries: Sequence[tuple[str, Sequence[float]]], k: int = 5, row_id: str = "row_id",
+def knn(df: DataFrame, queries: Sequence[tuple[str, Sequence[float]]] | DataFrame, k: int = 5, row_id: str = "row_id",
         vector: str = "content_embedding", metric: str = "l2") -> DataFrame:
-    """The ``k`` nearest rows per query vector, exact."""
-    found = vectors.nearest(df, row_id, vector, queries, k, metric)
-    return top_per_group(found, "query_id", [F.asc("distance"), F.asc(row_id)], k, [row_id], rank="rank")
+    """The ``k`` nearest rows per query vector, exact; ``queries`` may be a table ``(query_id, vector)`` of any length."""
+    blocks = query_blocks(queries, "vector") if isinstance(queries, DataFrame) else [list(queries)]
+    found = [vectors.nearest(df, row_id, vector, block, k, metric) for block in blocks if block]
+    if not found:
+        kind = df.schema[row_id].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"query_id string, {row_id} {kind}, distance double, rank int")
+    return top_per_group(reduce(DataFrame.unionByName, found), "query_id", [F.asc("distance"), F.asc(row_id)], k, [row_id],
+                         rank="rank")
 
 
 def hybrid_weighted(chunks: DataFrame, query_text: str, query_vector: Sequence[float], where: Column | None = None,
@@ -226,9 +276,12 @@ def rrf_outer(vector_list: DataFrame, keyword_list: DataFrame, k: int = 60, miss
 
 def search_all(chunks: DataFrame, queries: Sequence[tuple[str, str, Sequence[float]]], k: int = 5,
                depth: int = 20) -> DataFrame:
-    """Vector, keyword and hybrid lists of the same queries: ``(query_id, method, rank, row_id, score)``."""
-    vector_list = knn(chunks, [(qid, v) for qid, _, v in queries], depth)
-    keyword_list = bm25(chunks, [(qid, t) for qid, t, _ in queries], depth)
+    """Vector, keyword and hybrid lists of the same queries: ``(query_id, method, rank, row_id, score)``.
+
+    The two lists, queries × depth rows each, are stored once, as several branches read them.
+    """
+    vector_list = cut_lineage(knn(chunks, [(qid, v) for qid, _, v in queries], depth))
+    keyword_list = cut_lineage(bm25(chunks, [(qid, t) for qid, t, _ in queries], depth))
     fused = top_per_group(rrf_outer(vector_list, keyword_list), "query_id", [F.desc("rrf"), F.asc("row_id")],
                           k, ["row_id"], rank="rank", salts=1)
     shaped = [

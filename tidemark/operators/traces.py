@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import times
 from tidemark.functions.fixed_values import SPAN_DURATION_METRIC
+from tidemark.session import cut_lineage
 
 ERROR, OK = "STATUS_CODE_ERROR", "STATUS_CODE_OK"
 _MS = {"ms": 1.0, "us": 0.001, "s": 1000.0}
@@ -109,7 +110,7 @@ def trace_search(spans: DataFrame, service: str | None = None, operation: str |
                  sort: str = "most-recent", page: int = 1, page_size: int = 1000) -> DataFrame:
     """A page of traces that match, with the total number of matches on each row.
 
-    One aggregation per trace answers both "does it match" and "what is shown".
+    The spans that match choose the traces, whose facts are then aggregated.
     Root spans are joined afterwards: traces without a matching root drop out,
     and equal roots multiply the span counts.
     """
@@ -117,8 +118,10 @@ def trace_search(spans: DataFrame, service: str | None = None, operation: str |
     hit = in_time & span_filter(service, operation, status, tags)
     bounded = F.timestamp_diff("MICROSECOND", F.min(F.when(in_time, F.col("timestamp"))),
                                F.max(F.when(in_time, F.col("end_time")))) / 1000
-    per_trace = spans.groupBy("trace_id").agg(
-        F.max(F.coalesce(hit, F.lit(False))).alias("_hit"), bounded.alias("_bounded"), *_trace_facts()).filter("_hit")
+    # Matching spans first: only their traces are shuffled in full width.
+    chosen = spans.filter(hit).select("trace_id").distinct()
+    per_trace = spans.join(chosen, "trace_id", "left_semi").groupBy("trace_id").agg(
+        bounded.alias("_bounded"), *_trace_facts())
     low, high = parse_duration(min_duration), parse_duration(max_duration)
     if low > 0:
         per_trace = per_trace.filter(F.col("_bounded") >= low)
@@ -127,10 +130,11 @@ def trace_search(spans: DataFrame, service: str | None = None, operation: str |
     roots = (spans.filter(is_root() & span_filter(service, operation))
              .groupBy("trace_id", F.col("span_name").alias("operation"), F.col("service_name").alias("root_service"))
              .agg(F.count("*").alias("_copies")))
-    found = (per_trace.join(roots, "trace_id")
-             .withColumn("spans", F.col("spans") * F.col("_copies"))
-             .withColumn("error_spans", F.col("error_spans") * F.col("_copies"))
-             .drop("_hit", "_bounded", "_copies"))
+    # One narrow row per trace and root, stored once for the page and the total.
+    found = cut_lineage(per_trace.join(roots, "trace_id")
+                        .withColumn("spans", F.col("spans") * F.col("_copies"))
+                        .withColumn("error_spans", F.col("error_spans") * F.col("_copies"))
+                        .drop("_bounded", "_copies"))
     way, column = _SORTS[sort]
     order = [way(column), F.asc("trace_id"), F.asc("operation"), F.asc("root_service")]
     shown = found.orderBy(*order).offset((page - 1) * page_size).limit(page_size)

@@ -39,7 +39,7 @@ _VECTOR = """, dist AS (SELECT query_id, row_id, round(list_distance(v, q), 6) A
 
 
 def _vector(spark, sf, label):
-    return dict(R.query_list(m.query_vectors(spark, sf)))[label]
+    return R.query_vector(m.query_vectors(spark, sf), label)
 
 
 @register("r1_keyword_match", sql("chunks", f"""
@@ -67,7 +67,7 @@ SELECT * FROM (SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTIT
   FROM (SELECT query_id, vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), q), 6) AS distance FROM embeddings, query_vectors))
 WHERE rank <= 10"""))
 def r3(spark, sf):
-    return R.knn(m.vectors(spark, sf), R.query_list(m.query_vectors(spark, sf)), 10, "vec_id", "embedding")
+    return R.knn(m.vectors(spark, sf), m.query_vectors(spark, sf), 10, "vec_id", "embedding")
 
 
 @register("r4_hybrid_weighted", sql("embedded query_vectors", _scores("(VALUES ('q', 'the'), ('q', 'token')) q(query_id, term)") + """
@@ -113,7 +113,8 @@ explained AS (SELECT query_id, row_id, vector_rank, bm25_rank, hybrid_rank,
 
 
 def _queries(spark, sf):
-    vectors = dict(R.query_list(m.query_vectors(spark, sf)))
+    asked = m.query_vectors(spark, sf).filter(F.col("query_id").isin([qid for qid, _ in TEXTS])).select("query_id", "vector")
+    vectors = {qid: [float(x) for x in v] for qid, v in asked.collect()}  # one row per text
     return [(qid, words, vectors[qid]) for qid, words in TEXTS]
 
 

@@ -29,10 +29,12 @@ def build_session(app: str = "tidemark", master: str | None = None,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a throw-away one only where none is set."""
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
+    """The cluster's checkpoint folder; local sessions, as in tests, get a throw-away one where none is set."""
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set(CHECKPOINT_CONF, local)
     return local
