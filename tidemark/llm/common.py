@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidemark.session import shared_dir
 
@@ -183,6 +183,18 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def least_draws(rows: DataFrame, group: str, draw: str, n: int) -> DataFrame:
+    """Rows that can be among the ``n`` of least ``draw``, a 64-bit hash, in their group: all of those, and few others.
+
+    Ranges of the hash are counted first; only rows of the ranges that hold the first ``n`` go on, so no group gathers.
+    """
+    cut = F.shiftright(draw, 52)  # 4096 ranges in the order of the hash
+    before = F.sum("count").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    first = (rows.groupBy(group, cut.alias("_range")).count().withColumn("_before", F.coalesce(before, F.lit(0)))
+             .filter(F.col("_before") < n).select(group, "_range"))
+    return rows.withColumn("_range", cut).join(first, [group, "_range"], "left_semi").drop("_range")
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write a step below the shared folder and read it back: recomputation stops here when executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -252,7 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
               .agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("label")).withColumn("draw", F.xxhash64("id", F.lit(2))))
     total = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     order = Window.partitionBy("label").orderBy("draw", "id")
-    picked = marked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows_per_label).select("id", "label", "place")
+    near = common.least_draws(marked, "label", "draw", rows_per_label)
+    picked = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows_per_label).select("id", "label", "place")
     # At most twice rows_per_label ids: small enough to send to every task.
     sample = (docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
               .join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.min("text").alias("text")).orderBy("label", "id").collect())
