@@ -177,6 +177,18 @@ def test_pseudonyms_keep_format_and_invert():
     assert len(spans) == 2 and re.fullmatch(r'token = "[0-9a-f]{40}" password=[0-9a-f]{18}', out)
 
 
+def test_pseudonyms_of_adjacent_values():
+    feistel = pseudonyms.Feistel("k")
+    phone, ip, iban, card = "+1 (826) 555-4081", "190.137.223.204", "AT61 1904 3002 3457 3201", "4111 1111 1111 1111"
+    for values in [(phone, ip), (phone, "2024"), (phone, "2024-02-29"), (phone, card), (phone, phone), (iban, "1234 5678"), (iban, "ABC"),
+                   ("BE68 5390 0754 7034", "2024"), ("+18265554081", "2024"), ("+49 30 123456", ip), ("+1 (826) 555-4081é",), ("DE12", "3456 7890 1234 5678")]:
+        alone = [pseudonyms.replace(v, feistel) for v in values]
+        out, spans = pseudonyms.replace(" ".join(values), feistel)
+        assert out == " ".join(a[0] for a in alone), values
+        assert [s[0] for s in spans] == [s[0] for a in alone for s in a[1]] and spans
+        assert pseudonyms.replace(out, feistel, undo=True)[0] == " ".join(values)
+
+
 def test_pseudonyms_over_table(spark, odd, docs):
     made = pseudonyms.pseudonymise(odd, "k").collect()
     assert [r["text"] for r in made] == [r["text"] for r in odd.collect()] and {r["n_values"] for r in made} == {0}

@@ -23,19 +23,33 @@ ROUNDS = 10
 KINDS = ("email", "phone", "card", "account", "ip", "ssn", "iban", "date", "secret")
 
 # Fixed patterns and prefixes of the recognised formats.
-_FOUND = re.compile(r"""
-    (?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})
-  | (?P<secret>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])
-      | (?<![A-Za-z0-9])(?:ghp|gho|ghs|sk|pk|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,}
-      | (?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?(?P<value>[A-Za-z0-9+/_.-]{8,}))
-  | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-  | (?P<phone>(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,5}){1,4}(?![0-9A-Za-z])
-      | (?<![0-9A-Za-z])(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z]))
-  | (?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
-  | (?P<date>(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4})(?![0-9A-Za-z]))
-  | (?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))
-  | (?P<card>(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9A-Za-z]) | (?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z]))
+_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+_PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,5}){1,4}(?![0-9A-Za-z])"
+_FOUND = re.compile(rf"""
+    (?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]{{0,63}}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?\.)+[A-Za-z]{{2,24}})
+  | (?P<secret>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![A-Za-z0-9])
+      | (?<![A-Za-z0-9])(?:ghp|gho|ghs|sk|pk|xoxb|xoxp)[_-][A-Za-z0-9_-]{{16,}}
+      | (?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)["']?\s{{0,3}}[=:]\s{{0,3}}["']?(?P<value>[A-Za-z0-9+/_.-]{{8,}}))
+  | (?P<iban>{_IBAN})
+  | (?P<phone>{_PHONE}
+      | (?<![0-9A-Za-z])(?:\([0-9]{{3}}\)[ ]?|[0-9]{{3}}[.-])[0-9]{{3}}[.-][0-9]{{4}}(?![0-9A-Za-z]))
+  | (?P<ip>(?<![0-9.])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?![0-9]|\.[0-9]))
+  | (?P<date>(?<![0-9A-Za-z])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}|[0-9]{{2}}[./-][0-9]{{2}}[./-][0-9]{{4}})(?![0-9A-Za-z]))
+  | (?P<ssn>(?<![0-9A-Za-z-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z-]))
+  | (?P<card>(?<![0-9A-Za-z])(?:[0-9]{{4}}[ -]){{3}}[0-9]{{1,7}}(?![0-9A-Za-z]) | (?<![0-9A-Za-z])[0-9]{{13,19}}(?![0-9A-Za-z]))
 """, re.VERBOSE)
+#: Patterns whose greedy match can run into a following value.
+_OPEN = {"iban": re.compile(_IBAN), "phone": re.compile(_PHONE)}
+_EDGE = re.compile("(?<=[0-9A-Za-z])(?![0-9A-Za-z])")
+#: Length of an account number by country, and least and most national digits of a phone number by calling code (public plans).
+_IBAN_SIZES = {c[:2]: int(c[2:]) for c in """
+    AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18
+    FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27
+    MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27
+    SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30""".split()}
+_NATIONAL = {"1": (10, 10), "7": (10, 10), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "41": (9, 9), "44": (9, 10),
+             "45": (8, 8), "47": (8, 8), "48": (9, 9), "52": (10, 10), "55": (10, 11), "61": (9, 9), "65": (8, 8), "81": (9, 10),
+             "86": (10, 11), "90": (10, 10), "91": (10, 10), "351": (9, 9), "420": (9, 9), "421": (9, 9), "852": (8, 8)}
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # to 2099-12-31
 _DATE_FORMS = ("%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%d/%m/%Y", "%d-%m-%Y", "%m/%d/%Y", "%m-%d-%Y", "%m.%d.%Y")
 
@@ -102,11 +116,8 @@ def check_digit(digits: str) -> str:
     return str(-total % 10)
 
 
-def classify(match: re.Match) -> str | None:
-    """The kind of a match after validation; None leaves it alone."""
-    kind, value = match.lastgroup, match[0]
-    if match["secret"]:
-        return "secret"
+def classify(kind: str, value: str) -> str | None:
+    """The kind of a found value after validation; None if it is no such value."""
     digits = re.sub(r"\D", "", value)
     if kind == "ip":
         return "ip" if all(int(p) < 256 and p == str(int(p)) for p in value.split(".")) else None
@@ -173,17 +184,46 @@ def pseudonym(feistel: Feistel, kind: str, value: str, undo: bool = False) -> st
     return feistel.text(value, kind, undo, keep=range(4) if re.match("AKIA|ASIA", value) else ())
 
 
+def _whole_phone(value: str) -> bool:
+    """Whether a number has the length of its plan. Only what a pseudonym keeps is looked at, so that ``undo`` agrees."""
+    code = re.match(r"\+([0-9]{1,3})[ .(-]", value)
+    if not code:  # written in one piece, the calling code cannot be told
+        return re.fullmatch(r"\+[0-9]{11,15}", value) is not None
+    digits = len(re.sub(r"\D", "", re.sub(r"\([0-9]\)", "", value[code.end() - 1:])))  # no "(0)"
+    least, most = _NATIONAL.get(code[1], (16, 0))
+    return least <= digits <= most
+
+
+def _validated(text: str, match: re.Match) -> tuple[str | None, int]:
+    """Kind of a match and its end: of all ends where a value of its kind can stop, that of the value's own plan, else the last."""
+    kind, (start, end) = match.lastgroup, match.span()
+    if match["secret"]:
+        return "secret", end
+    if kind not in _OPEN or kind == "phone" and text[start] != "+":
+        return classify(kind, match[0]), end
+    stops = [e for e in range(end, start + 7, -1) if _EDGE.match(text, e)]
+    stops = [e for e in stops if _OPEN[kind].fullmatch(text, start, e) and classify(kind, text[start:e])]
+    if kind == "iban":
+        size = _IBAN_SIZES.get(text[start:start + 2])
+        best = [e for e in stops if len(text[start:e].replace(" ", "")) == size]
+    else:
+        clean = [e for e in stops if not re.match("[.-][0-9]", text[e:e + 2])]  # not within a following value
+        best = [e for e in clean or stops if _whole_phone(text[start:e])] or [e for e in stops if _whole_phone(text[start:e])] or clean
+    return (kind, (best or stops)[0]) if stops else (None, end)
+
+
 def replace(text: str, feistel: Feistel, undo: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """Text with stand-ins, and (kind, start, end) of each in characters of the input."""
-    out, at, spans = [], 0, []
-    for match in _FOUND.finditer(text):
-        kind = classify(match)
+    out, at, spans, look = [], 0, [], 0
+    while match := _FOUND.search(text, look):
+        kind, last = _validated(text, match)
         if not kind:
+            look = match.start() + 1
             continue
-        start, end = match.span("value") if match["value"] else match.span()
+        start, end = match.span("value") if match["value"] else (match.start(), last)
         out += [text[at:start], pseudonym(feistel, kind, text[start:end], undo)]
         spans.append((kind, start, end))
-        at = end
+        at = look = end
     if not spans:
         return text, spans
     return "".join([*out, text[at:]]), spans
@@ -201,7 +241,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", undo: bool = Fal
 
     Whole texts are searched. A null text stays null with no spans, an empty one stays empty; texts without values are
     unchanged, repeated rows get equal results. ``n_values`` and ``spans`` replace columns of these names, all others
-    pass through. The leftmost match wins; at one place the order of the patterns decides.
+    pass through. The leftmost value wins; at one place the order of the patterns decides. What fails validation is tried
+    with shorter ends and then searched for values inside. A phone number ends where its calling code's plan says; under a
+    plan of open length a short number behind a space counts as part of it. ``undo`` can miss where new digits by chance
+    (one in 97) make a valid IBAN of what was none.
     """
     fields = [T.StructField(text, T.StringType()), *FIELDS]
 
