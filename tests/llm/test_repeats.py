@@ -104,6 +104,36 @@ def test_bytes(spark, rows, frame, monkeypatch, window, scan, slice_bytes):
     assert repeat_groups.remove_repeats(frame.limit(0), window).count() == 0
 
 
+def _without_ids():
+    """Rows that share an id or have none: (id, text, number of the document that it is)."""
+    draw = random.Random(3)
+    own = [" ".join(draw.choices([f"v{k}" for k in range(400)], k=40)) for _ in range(12)]
+    shared, other, third = (" ".join(draw.choices([f"u{k}" for k in range(400)], k=30)) for _ in range(3))
+    # The shared passage starts at the same place in two rows without id; two more are equal; an id has two texts.
+    rows = [(None, f"{shared} {own[0]}"), (None, f"{shared} {own[1]}"), (None, own[2]), (None, own[2]), (None, f"{own[3]} {other}"),
+            (None, f"{own[4]} {own[5]}"), (7, f"{other} {own[6]}"), (7, f"{own[7]} {own[8]}"), (8, f"{own[9]} {third}"), (None, f"{third} {own[10]}")]
+    number = {}
+    return [(i, t, number.setdefault((i, t), len(number))) for i, t in rows]
+
+
+def test_bytes_of_rows_without_ids(spark):
+    rows = _without_ids()
+    want = brute_bytes([(d, t) for d, t in {n: t for _, t, n in rows}.items()], 60)
+    assert sum(w[1] > 0 for w in want.values()) == 6
+    got = repeat_groups.remove_repeats(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3), 60).collect()
+    texts = sorted((r["text"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got)
+    assert texts == sorted((t, *want[n][1:4]) for _, t, n in rows)
+
+
+def test_words_of_rows_without_ids(spark):
+    rows = [r for r in _without_ids() if r[0] != 7]
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    got = {r["text"]: r["n_removed"] for r in substring_dedup.remove_repeats(frame, 20).collect()}
+    # One of the two copies in rows without id goes, equal rows stay, and what an id has comes first.
+    assert sorted([got[rows[0][1]], got[rows[1][1]]]) == [0, 30] and got[rows[-1][1]] == 30
+    assert sum(got.values()) == 60
+
+
 def test_interval_tree_and_maximal_repeats():
     strings = sorted([b"banana", b"bandana", b"bandit", b"cab", b"cabin", b"x"])
     prefixes = [len(__import__("os").path.commonprefix([a, b])) for a, b in zip(strings, strings[1:])]

@@ -21,6 +21,7 @@ from tidemark.llm import common
 
 PER_BUCKET = 200_000  # runs that one bucket holds about
 PER_GROUP = 1 << 20  # text bytes of one group of documents about
+KEY = "_repeat_key"  # digest of id and text: rows that differ in either are documents of their own
 SCAN = 256  # different runs of an anchor that one scan takes
 _RUN = np.dtype([("anchor", "<u8"), ("digest", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("at", "<i4")])
 _SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
@@ -81,11 +82,11 @@ def _repeated(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.n
     return repeated, order[new] if len(order) else order
 
 
-def _runs(docs: DataFrame, window: int, gram: int, buckets: int, text: str, doc_id: str) -> DataFrame:
+def _runs(docs: DataFrame, window: int, gram: int, buckets: int, text: str) -> DataFrame:
     """Blobs of runs by anchor, one for each run value in a slice of a task; runs seen twice there as spans."""
     def task(batches):
         for batch in batches:
-            batch, ids = common.sorted_by_id(batch, doc_id)
+            ids = batch.column(batch.schema.get_field_index(KEY)).to_numpy()
             offsets, data = common.utf8(batch.column(batch.schema.get_field_index(text)))
             rows: list = []
             for first, last in common.slices(offsets):
@@ -112,7 +113,7 @@ def _runs(docs: DataFrame, window: int, gram: int, buckets: int, text: str, doc_
             yield from _batch(rows).to_batches()
         common.give_back()
 
-    return docs.select(doc_id, text).mapInArrow(task, BLOBS)
+    return docs.select(KEY, text).mapInArrow(task, BLOBS)
 
 
 def _as_spans(run: np.ndarray, window: int) -> np.ndarray:
@@ -259,12 +260,12 @@ def _settle(table: pa.Table, window: int) -> pa.Table:
 
 
 def repeated_spans(docs: DataFrame, window: int, text: str, doc_id: str, size: int, groups: int) -> DataFrame:
-    """``doc, start, end`` of all bytes that some window covers which also starts elsewhere."""
+    """``doc, start, end`` of all bytes that some window covers which also starts elsewhere; ``doc`` is the ``KEY`` of the rows."""
     gram = max(1, window * 2 // 5)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, size // max(1, (window - gram) // 2) // PER_BUCKET)
     later = max(partitions, size >> 26)
-    asked = _runs(docs, window, gram, buckets, text, doc_id).groupBy("bucket").applyInArrow(lambda t: _meet_runs(t, window), _ASK)
+    asked = _runs(docs, window, gram, buckets, text).groupBy("bucket").applyInArrow(lambda t: _meet_runs(t, window), _ASK)
 
     def read(texts: pa.Table, about: pa.Table) -> pa.Table:
         columns = [about[c].to_numpy() for c in _ASKED]
@@ -279,7 +280,7 @@ def repeated_spans(docs: DataFrame, window: int, text: str, doc_id: str, size: i
         for k in np.flatnonzero(~known).tolist():
             mine.setdefault(int(doc[k]), []).append(k)
         texts = texts.combine_chunks()
-        ids = texts[doc_id].cast(pa.int64()).fill_null(common.LAST_ID).to_pylist()
+        ids = texts[KEY].to_pylist()
         offsets, data = common.utf8(texts[text].combine_chunks())
         parts: dict[int, list[bytes]] = {}
         windows = []
@@ -310,7 +311,7 @@ def repeated_spans(docs: DataFrame, window: int, text: str, doc_id: str, size: i
             rows += [(b, WINDOWS, blob) for b, blob in _by_bucket((one["digest"] % np.uint64(later)).astype(np.int64), one)]
         return _batch(rows)
 
-    met = common.meet(docs.select(doc_id, text), doc_id, asked, "doc", groups, read, BLOBS)
+    met = common.meet(docs.select(*dict.fromkeys([doc_id, text, KEY])), KEY, asked, "doc", groups, read, BLOBS)
     return met.groupBy("bucket").applyInArrow(lambda t: _settle(t, window), "doc long, start int, end int")
 
 
@@ -323,21 +324,21 @@ def remove_repeats(docs: DataFrame, window: int = 400, text: str = "text", doc_i
 
     A byte of the UTF-8 text is removed if a string of ``window`` bytes that covers it also starts anywhere else, in the
     same text too; overlaps count, matches never cross texts, and strings are judged on the input. A null or empty text
-    has no bytes; a null id is an id of its own. Rows that repeat an id are one document, not copies of each other. New
-    columns replace those of their names, all others pass through.
+    has no bytes. Rows of equal id (or both of none) and equal text are one document, not copies of each other; rows
+    that differ in id or text are different documents. New columns replace those of their names, all others pass through.
     """
     rows, size = common.volume(docs, text)
     groups = max(1, size // PER_GROUP, rows // 20_000)
     fields = FIELDS if kept else FIELDS[:4]
     keep = [c for c in docs.columns if c not in {f.name for f in fields}]
-    docs = docs.select(*keep)
+    docs = docs.select(*keep, F.xxhash64(doc_id, text).alias(KEY))
 
     def cut(texts: pa.Table, about: pa.Table) -> pa.Table:
         texts = texts.combine_chunks()
         doc, start, end = (about[c].to_numpy() for c in _SPAN.names)
         order = np.argsort(doc, kind="stable")
         doc, start, end = doc[order], start[order].astype(np.int64), end[order].astype(np.int64)
-        ids = texts[doc_id].cast(pa.int64()).fill_null(common.LAST_ID).to_numpy()
+        ids = texts[KEY].to_numpy()
         column = texts[text]
         offsets, data = common.utf8(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
         columns: list[list] = [[], [], [], [], []]
@@ -356,4 +357,4 @@ def remove_repeats(docs: DataFrame, window: int = 400, text: str = "text", doc_i
         return pa.Table.from_arrays([texts[c] for c in keep] + made, names=keep + [f.name for f in fields])
 
     spans = repeated_spans(docs, window, text, doc_id, size, groups)
-    return common.meet(docs, doc_id, spans, "doc", groups, cut, T.StructType([docs.schema[c] for c in keep] + fields))
+    return common.meet(docs, KEY, spans, "doc", groups, cut, T.StructType([docs.schema[c] for c in keep] + fields))

@@ -22,6 +22,7 @@ from tidemark.llm import common
 GRAM = 8  # words of a minimiser
 PER_BUCKET = 250_000  # edges that one bucket holds about
 PER_GROUP = 1 << 20  # text bytes of one group of documents about
+KEY = "_dedup_key"  # number of a row where some have no id
 SPANS = "doc long, start int, n int, src_doc long, src_start int"
 _SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("src_doc", "<i8"), ("src_start", "<i4")])
 
@@ -182,6 +183,17 @@ def _digest(raw: bytes, starts: np.ndarray, ends: np.ndarray, first: int, last:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, str]:
+    """The table and the column that numbers its documents: the id, but where ids are null, numbers above all ids for those rows."""
+    number = F.col(doc_id).cast("long")
+    most, nulls = docs.agg(F.max(number), F.count_if(number.isNull())).first()
+    most = max(most or 0, 0)
+    if not nulls or most == common.LAST_ID:
+        return docs, doc_id
+    above = F.lit(most + 1) + F.pmod(F.xxhash64(text), F.lit(common.LAST_ID - most))
+    return docs.withColumn(KEY, F.coalesce(number, above)), KEY
+
+
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
           T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
 
@@ -192,15 +204,16 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", doc_id
 
     A word is a run of bytes other than 0x20 and 0x09-0x0D. It is removed if a window of ``window`` words that covers it
     also starts earlier: at a smaller id, or earlier in the same text. Windows are judged on the input. A null or empty
-    text has no words (null stays null as ``kept_text``); a null id counts as the largest. Rows that repeat an id are
-    one document, not copies of each other. Columns of the new names are replaced, all others pass through.
+    text has no words (null stays null as ``kept_text``); a null id counts as larger than all others, and rows without an
+    id are ordered by a digest of their texts. Rows that repeat an id, or have none and equal texts, are one document, not
+    copies of each other. Columns of the new names are replaced, all others pass through.
     """
     rows, size = common.volume(docs, text)
     groups = max(1, size // PER_GROUP, rows // 20_000)
     fields = FIELDS if kept_text else FIELDS[:3]
     keep = [c for c in docs.columns if c not in {f.name for f in fields}]
-    docs = docs.select(*keep)
-    spans = repeated_spans(docs, window, text, doc_id, size)
+    docs, key = _keyed(docs.select(*keep), text, doc_id)
+    spans = repeated_spans(docs, window, text, key, size)
 
     def mark(texts: pa.Table, about: pa.Table) -> pa.Table:
         wanted: dict[int, dict] = {}
@@ -208,7 +221,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", doc_id
         for k, src in enumerate(columns[3].tolist()):
             wanted.setdefault(src, {}).setdefault((int(columns[4][k]), int(columns[2][k])), []).append(k)
         out = [None] * about.num_rows
-        for _, doc, raw, starts, ends in _texts(texts, text, doc_id):
+        for _, doc, raw, starts, ends in _texts(texts, text, key):
             if doc in wanted:
                 raw = bytes(raw)
                 for (start, n), spans_of in wanted.pop(doc).items():
@@ -225,7 +238,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", doc_id
             mine.setdefault(doc, []).append(k)
         columns = [[], [], [], []]
         valid = texts[text].is_valid().to_pylist()
-        for row, doc, raw, starts, ends in _texts(texts, text, doc_id):
+        for row, doc, raw, starts, ends in _texts(texts, text, key):
             n, raw = len(starts), bytes(raw)
             gone = np.zeros(n, bool)
             if doc in mine:
@@ -250,5 +263,5 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", doc_id
         kept = [texts[c] for c in keep]
         return pa.Table.from_arrays(kept + made, names=keep + [f.name for f in fields])
 
-    marked = common.meet(docs, doc_id, spans, "src_doc", groups, mark, "doc long, start int, n int, digest binary")
-    return common.meet(docs, doc_id, marked, "doc", groups, cut, T.StructType([docs.schema[c] for c in keep] + fields))
+    marked = common.meet(docs, key, spans, "src_doc", groups, mark, "doc long, start int, n int, digest binary")
+    return common.meet(docs, key, marked, "doc", groups, cut, T.StructType([docs.schema[c] for c in keep] + fields))
