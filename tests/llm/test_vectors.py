@@ -97,3 +97,24 @@ def test_top_k(spark, monkeypatch, shard, block):
             want[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
     assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in want.items() if v}
     assert len(want) > 8 and bit_sliced_search.top_k(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shard", [65536, 40])
+def test_top_k_of_large_components(spark, monkeypatch, shard):
+    monkeypatch.setattr(bit_sliced_search, "SHARD", shard)
+    large = [(500, [2.0**25] + [0.5] * 15, 0), (501, [-2.0**25] + [1.0] * 15, 0), (502, [0.0, 2.0**40] + [1.0] * 14, 0), (503, [0.0, -2.0**40] + [1.0] * 14, 0),
+             (504, [2.0**24] + [-1.0] * 15, 0)]
+    rows = rows_of(2) + large
+    frame = spark.createDataFrame([(*r, "s", "x") for r in rows], SCHEMA).repartition(3)
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v, _ in rows if fine(v)]
+    got = {}
+    for r in bit_sliced_search.top_k(frame, 20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, v in good:
+        if q % 20 == 0 and len(v) == 16:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q and len(w) == len(v))[:20]
+            assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    assert {r[1] for found in got.values() for r in found} >= {500, 501, 502, 503, 504} and 500 in got
+    for vectors, problem in [([(20, [2.0**40]), (21, [2.0**40])], "a score of query 20"), ([(20, [2.0**60]), (21, [1.0])], "a quantised component")]:
+        with pytest.raises(Exception, match=problem):
+            bit_sliced_search.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>")).collect()

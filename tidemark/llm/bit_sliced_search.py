@@ -25,7 +25,7 @@ class Slices:
     def __init__(self, values: np.ndarray):
         self.rows = len(values)
         self.low = values.min(0)
-        shifted = (values - self.low).astype(np.uint64)
+        shifted = values.view(np.uint64) - self.low.view(np.uint64)  # right for any two longs
         self.bits = [int(m).bit_length() for m in shifted.max(0)]
         self.words = -(-self.rows // 64)
         self.maps = [[self._pack((shifted[:, d] >> np.uint64(b)) & np.uint64(1)) for b in range(n)] for d, n in enumerate(self.bits)]
@@ -97,14 +97,19 @@ class Slices:
 
 
 def quantised(vectors: DataFrame, vector: str, vec_id: str) -> DataFrame:
-    """``id, size, values``: floor(64 * x) of each component of the vectors that take part."""
-    values = F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE))
+    """``id, size, values``: floor(64 * x) of each component of the vectors that take part; it must fit a long."""
+    def long(x):
+        x = x.cast("double") * SCALE
+        fits = (x >= -float(1 << 63)) & (x < float(1 << 63))
+        return F.when(fits, F.floor(x)).otherwise(F.raise_error(F.lit("a quantised component does not fit a long")).cast("long"))
 
     def finite(x):
         x = x.cast("double")
-        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(1 << 24))
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+    values = F.transform(vector, long)
     return (vectors.filter(F.coalesce(F.forall(vector, finite) & (F.size(vector) > 0), F.lit(False)) & F.col(vec_id).isNotNull())
-            .select(F.col(vec_id).cast("long").alias("id"), F.size(vector).alias("size"), values.cast("array<int>").alias("values")))
+            .select(F.col(vec_id).cast("long").alias("id"), F.size(vector).alias("size"), values.cast("array<bigint>").alias("values")))
 
 
 def _matrix(column) -> np.ndarray:
@@ -116,8 +121,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, vector: str = "embed
     """``query_id, rank, vec_id, score``: for each id divisible by ``every``, the ``k`` rows of highest inner product of the
     quantised vectors (all, if there are fewer), ties to the smaller id.
 
-    A vector that is null or empty, holds a null, NaN or infinite component, or one of 2**24 or more in size, takes no part, nor does a
-    row with a null id. Vectors of other lengths than the query's are no candidates for it. Rows that repeat an id are
+    A vector that is null or empty or holds a null, NaN or infinite component takes no part, nor does a row with a null id.
+    A quantised component, or a score among the best, that does not fit a long is an error. Vectors of other lengths than the query's are no candidates for it. Rows that repeat an id are
     candidates of their own, never for that id's query, which is asked once. Other columns take no part.
     """
     spark = vectors.sparkSession
@@ -142,6 +147,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, vector: str = "embed
             for query, values in zip(queries["id"].to_numpy(), _matrix(queries["values"])):
                 own = np.arange(np.searchsorted(ids, query), np.searchsorted(ids, query, "right"))
                 found, scores = slices.top(values, k, own)
+                if scores and not -(1 << 63) <= min(scores) <= max(scores) < 1 << 63:
+                    raise OverflowError(f"a score of query {query} does not fit a long")
                 out[0] += [int(query)] * len(found)
                 out[1] += ids[found].tolist()
                 out[2] += scores
