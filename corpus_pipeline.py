@@ -26,7 +26,7 @@ def _with_text(docs: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those without a letter or of doubtful language go."""
+    """Documents with a letter. ``LEAST_SCORE`` rejects hardly any other: for texts of more than a few words the score is about 1."""
     model = language_id.fit(docs.filter(~common.held_out("doc_id")))
     aside = {f.name: f"_documents_{f.name}" for f in language_id.FIELDS if f.name in docs.columns}
     found = language_id.identify(docs.withColumnsRenamed(aside), model)
