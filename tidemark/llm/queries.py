@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import (bit_sliced_search, common, language_id, near_duplicates, packing, pieces, pseudonyms, repeat_groups,
-                          substring_dedup, toxicity, vector_links)
+from tidemark.llm import (bit_sliced_search, common, conversation_repair, language_id, masked_ranking, near_duplicates, packing,
+                          permutation_index, pieces, pseudonyms, repeat_groups, substring_dedup, toxicity, vector_links)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,71 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     network = toxicity.fit(docs, labels.filter(~common.held_out("doc_id")))
     scored = toxicity.score(docs, network)
     return scored.select("doc_id", common.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query("op11_conversation_repair", sql=r"""
+WITH RECURSIVE
+keys AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key,
+  coalesce(role, ' ') AS r, coalesce(text, ' ') AS t FROM conversations),
+harm AS (SELECT *, xor(4294967295, list_reduce(list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::BIGINT),
+  lambda c, b: list_reduce(range(8), lambda x, j: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295)) % 20 AS h FROM keys),
+rows AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE r END AS role,
+  CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END AS text
+  FROM harm, (VALUES (1), (2)) AS c(copy) WHERE h <> 0 AND (copy = 1 OR h = 3)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM rows),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS seen,
+  lag(role[1]) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM ordered),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM placed),
+n AS (SELECT c.conv_id, count(f.k) AS rows, coalesce(max(f.turn) - min(f.turn) + 1 - count(DISTINCT f.turn), 0) AS gaps,
+  count(*) FILTER (f.fault = 'blank') AS blank, count(*) FILTER (f.fault = 'duplicate') AS duplicate,
+  count(*) FILTER (f.fault = 'truncated') AS truncated,
+  count(*) FILTER (f.before IS NOT NULL AND f.before || f.role[1] NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+-- Survivors before row k + 1: start, after system, user, assistant. c is the cost, a the audit, o the repaired lines.
+v AS (SELECT conv_id, 0::BIGINT AS k, {'c': 0, 'a': '', 'o': []::VARCHAR[]} AS p, {'c': 999999999, 'a': '', 'o': []::VARCHAR[]} AS s,
+    {'c': 999999999, 'a': '', 'o': []::VARCHAR[]} AS u, {'c': 999999999, 'a': '', 'o': []::VARCHAR[]} AS e FROM n
+  UNION ALL
+  SELECT conv_id, k + 1, {'c': p.c + 4, 'a': p.a || 'D', 'o': p.o},
+    least({'c': s.c + 4, 'a': s.a || 'D', 'o': s.o}, {'c': p.c + CASE WHEN role[1] = 's' THEN keep ELSE 999999999 END, 'a': p.a || 'K', 'o': list_append(p.o, line)}),
+    least({'c': u2.c + 4, 'a': u2.a || 'D', 'o': u2.o}, {'c': x.c + keep + CASE WHEN role[1] = 'u' THEN 0 ELSE 3 END,
+      'a': x.a || CASE WHEN role[1] = 'u' THEN 'K' ELSE 'R' END, 'o': list_append(x.o, CASE WHEN role[1] = 'u' THEN line ELSE 'user:' || text END)}),
+    least({'c': e2.c + 4, 'a': e2.a || 'D', 'o': e2.o}, {'c': u2.c + keep + CASE WHEN role[1] = 'a' THEN 0 ELSE 3 END,
+      'a': u2.a || CASE WHEN role[1] = 'a' THEN 'K' ELSE 'R' END, 'o': list_append(u2.o, CASE WHEN role[1] = 'a' THEN line ELSE 'assistant:' || text END)})
+  FROM (SELECT *, least(p, s, e2) AS x FROM (SELECT *, least(e, {'c': u2.c + 3, 'a': u2.a || 'I', 'o': list_append(u2.o, 'assistant:')}) AS e2
+    FROM (SELECT v.*, f.role, f.text, f.role || ':' || f.text AS line,
+      CASE f.fault WHEN '' THEN 0 WHEN 'truncated' THEN 3 ELSE 999999999 END AS keep,
+      least(v.u, {'c': y.c + 3, 'a': y.a || 'I', 'o': list_append(y.o, 'user:')}) AS u2
+      FROM (SELECT *, least(p, s, e) AS y FROM v) v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.k = v.k + 1)))),
+last AS (SELECT v.conv_id, least(v.p, v.e, {'c': u2.c + 3, 'a': u2.a || 'I', 'o': list_append(u2.o, 'assistant:')}) AS best
+  FROM (SELECT *, least(u, {'c': least(p, s, e).c + 3, 'a': least(p, s, e).a || 'I', 'o': list_append(least(p, s, e).o, 'user:')}) AS u2 FROM v) v
+  JOIN n ON n.conv_id IS NOT DISTINCT FROM v.conv_id AND n.rows = v.k)
+SELECT n.conv_id, gaps::BIGINT AS gaps, blank, duplicate, truncated, illegal, best.c::BIGINT AS cost, best.a AS audit,
+  sha256(array_to_string(best.o, chr(10))) AS repaired_sha256
+FROM n JOIN last ON n.conv_id IS NOT DISTINCT FROM last.conv_id
+""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_repair.report(conversation_repair.damage(table(spark, sf, "conversations")))
+
+
+@query("op12_masked_ranking", sql=r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+t AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY 1, 2),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM t GROUP BY 1),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, g GROUP BY term),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM i JOIN t USING (term) JOIN w USING (term) JOIN d USING (doc_id), g GROUP BY 1, 2)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return masked_ranking.rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=50)
+
+
+@query("op13_permutation_index")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf, "embeddings"), k=20, every=20)
