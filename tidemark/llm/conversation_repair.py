@@ -102,8 +102,20 @@ class Survivors:
         for _, node in self.best.values():
             self._release(node)
         self.best = to
+        self._give_up()
         return self._sure()
 
+    def _give_up(self) -> None:
+        """Drop survivors that can no longer win, else deleting everything would stay one for ever.
+
+        Whatever follows SYSTEM can as well follow ASSISTANT at the same cost, and whatever follows START can at a cost of at
+        most one more deletion, of the system row that START might still keep; USER is one insertion from ASSISTANT.
+        """
+        reach = min((self.best[s][0] + more for s, more in ((ASSISTANT, 0), (USER, INSERT)) if s in self.best), default=float("inf"))
+        for state, more in ((SYSTEM, 0), (START, DELETE)):
+            if state in self.best and self.best[state][0] > reach + more:
+                self._release(self.best.pop(state)[1])
+
     def _path(self, node: _Node) -> list[_Node]:
         path = []
         while node is not self.root:
