@@ -102,8 +102,9 @@ def test_stream_funnel_and_minutes_over_batches(spark, clicks):
     cols = ("partner_id", "views", "carts", "purchases")
     assert rows(jobs.funnel_view(spark, f"{out}/funnel"), *cols) == rows(commerce.conversion_funnel(clicks), *cols)
 
-    jobs.keep_updated(jobs.minute_counts(stream, "30 days"), f"{out}/minutes").awaitTermination()
-    now = jobs.current(spark, f"{out}/minutes", ["partner_id", "minute_start"])
+    keys = ["partner_id", "minute_start"]
+    jobs.keep_updated(jobs.minute_counts(stream, "30 days"), f"{out}/minutes", keys).awaitTermination()
+    now = jobs.current(spark, f"{out}/minutes", keys)
     assert now.agg(F.sum("count"), F.sum("revenue")).first()[:] == (400, float(sum(range(400))))
 
     jobs.store(jobs.distinct_events(stream.unionByName(stream), lateness="30 days"), f"{out}/distinct").awaitTermination()
@@ -117,7 +118,9 @@ def test_stream_json_ingest_over_batches(spark, tmp_path):
     out = work_path(spark, "facts")
     for _ in range(2):  # a restart finds nothing new
         jobs.ingest_clickstream(text_stream(spark, str(tmp_path), 1), out).awaitTermination()
-    assert spark.read.parquet(f"{out}/facts").count() == 60
+    assert jobs.facts(spark, out).count() == 60
+    assert rows(jobs.rejects(spark, out), "value") == [("{broken",)] * 3
+    assert rows(jobs.counters(spark, out), "batch_id", "consumed", "loaded", "errors") == [(k, 21, 20, 1) for k in range(3)]
 
 
 def test_stream_indexes_over_batches(spark):

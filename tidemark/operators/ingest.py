@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions import times
+from tidemark.sources.parted import PartedTable
 
 FAST, NORMAL, IDLE = 5000, 1000, 500
 
@@ -47,7 +48,7 @@ def incremental_new(source: DataFrame, target: DataFrame, key: str, batch: int |
     return fill_sync_nulls(rows)
 
 
-def _instant(value: Column | datetime | str) -> Column:
+def instant(value: Column | datetime | str) -> Column:
     return value if isinstance(value, Column) else F.lit(str(value)).cast("timestamp_ntz")
 
 
@@ -58,9 +59,9 @@ def pending_updates(source: DataFrame, since: Column | datetime | str, key: str
     With a limit, a pass may end between rows that share an instant; hand its ``next_watermark`` with the key to the
     next pass, which then goes on inside that instant.
     """
-    after = F.col("updated_at") > _instant(since)
+    after = F.col("updated_at") > instant(since)
     if since_key is not None:
-        after |= (F.col("updated_at") == _instant(since)) & (F.col(key) > since_key)
+        after |= (F.col("updated_at") == instant(since)) & (F.col(key) > since_key)
     changed = source.filter(after & (F.col("updated_at") > F.col("created_at"))).select(key, "order_status", "updated_at")
     return changed if limit is None else changed.orderBy("updated_at", key).limit(limit)
 
@@ -71,7 +72,7 @@ def next_watermark(changes: DataFrame, since: Column | datetime | str, key: str
     last = F.max(F.struct("updated_at", key))
     kept = F.lit(since_key) if not isinstance(since_key, Column) else since_key
     return changes.agg(last.alias("_last")).select(
-        F.coalesce(F.col("_last.updated_at"), _instant(since)).alias("watermark"),
+        F.coalesce(F.col("_last.updated_at"), instant(since)).alias("watermark"),
         F.coalesce(F.col(f"_last.{key}"), kept).alias("watermark_key"))
 
 
@@ -131,6 +132,25 @@ def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str], version: st
     return found.select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in base.columns])
 
 
+def upsert_parts(table: PartedTable, changes: DataFrame, keys: Sequence[str], version: str, part: Column, number: int) -> list[int]:
+    """Upsert into a stored table: only the parts that hold a changed key are read and written again; returns them.
+
+    ``part`` must depend on the keys alone (``key_part``) and stay the same for a table; ``number`` is the version to
+    publish, so a repeated call repeats its result. The list of touched parts is at most as long as the table's.
+    """
+    touched = sorted(r[0] for r in changes.select(part).distinct().collect())
+    base = table.read(touched, before=number)
+    if base is None:
+        base = changes.limit(0)
+    table.replace(upsert(base, changes, keys, version), part, number, touched)
+    return touched
+
+
+def key_part(keys: Sequence[str], parts: int) -> Column:
+    """Part of a row by the hash of its keys."""
+    return F.pmod(F.xxhash64(*keys), F.lit(parts))
+
+
 def replication_lag(source: DataFrame, target: DataFrame, key: str = "order_id",
                     done: Column | int | None = None) -> DataFrame:
     """Key distance of target to source, the batch size it calls for, and progress."""
@@ -151,22 +171,22 @@ MESSAGE_SCHEMA = """event_id string, session_id string, partner_id int, user_id
   event_properties struct<product_name: string, category: string, price: variant, referrer: string>, _bad string"""
 
 
-def parse_clickstream(messages: DataFrame, value: str = "value") -> DataFrame:
-    """JSON messages flattened to fact rows; malformed ones keep ``is_valid = false``.
+def parse_clickstream(messages: DataFrame, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """JSON messages flattened to fact rows; malformed ones keep ``is_valid = false``. Columns in ``keep`` stay.
 
     Each message is parsed once. It is malformed when it is not a JSON object or a
     field has the wrong type. Prices count only if they are JSON numbers. Campaign
     parameters are dropped.
     """
     parsed = F.from_json(value, MESSAGE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    rows = messages.select(F.ltrim(value).startswith("{").alias("_object"), parsed.alias("m"))
+    rows = messages.select(*keep, F.ltrim(value).startswith("{").alias("_object"), parsed.alias("m"))
 
     def text(field: str) -> Column:
         return F.coalesce(F.col(f"m.{field}"), F.lit(""))
     price = F.col("m.event_properties.price")
     is_number = F.schema_of_variant(price).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     return rows.select(
-        F.coalesce(F.col("_object") & F.col("m").isNotNull() & F.col("m._bad").isNull(), F.lit(False)).alias("is_valid"),
+        *keep, F.coalesce(F.col("_object") & F.col("m").isNotNull() & F.col("m._bad").isNull(), F.lit(False)).alias("is_valid"),
         text("event_id").alias("event_id"),
         F.try_to_timestamp(text("event_timestamp")).cast("timestamp_ntz").alias("event_time"),
         F.coalesce("m.partner_id", F.lit(0)).alias("partner_id"), text("session_id").alias("session_id"),

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import times
 from tidemark.operators import ingest as W
+from tidemark.operators.digests import RangedTable
 from tidemark.plans.commerce import _legacy_items
 from tidemark.plans.register import Registry
 from tidemark.plans.views_sql import sql
 from tidemark.session import work_path
 from tidemark.sources import testmodel as m
+from tidemark.sources.parted import PartedTable
 
 register = Registry()
 
@@ -96,6 +98,18 @@ def w4(spark, sf):
     return W.detect_deletes(_replica(spark, sf), _source(spark, sf))
 
 
+@register("w4_ranged_deletes", sql("order_headers", _PAIR + """
+SELECT order_id FROM replica WHERE order_id NOT IN (SELECT order_id FROM source)"""))
+def w4_ranged(spark, sf):
+    """Both sides kept in key ranges with digest trees: only ranges that differ are read for the comparison."""
+    folder = work_path(spark, "w4")
+    ours, theirs = RangedTable(spark, f"{folder}/target", "order_id"), RangedTable(spark, f"{folder}/source", "order_id")
+    ours.replace(_replica(spark, sf).select("order_id"), 0)
+    theirs.replace(_source(spark, sf).select("order_id"), 0)
+    ranges = ours.tree.differing(theirs.tree)
+    return W.detect_deletes(ours.read(ranges), theirs.read(ranges))
+
+
 @register("w5_cdc_pass", sql("order_headers", _PAIR + """
 SELECT g.order_id, coalesce(c.order_status, g.order_status) AS order_status FROM grown g
 LEFT JOIN changes c ON g.order_id = c.order_id WHERE g.order_id NOT IN (SELECT order_id FROM gone)"""))
@@ -124,6 +138,23 @@ def w6(spark, sf):
     return W.upsert(base, later, ["order_id", "partner_id"], "version")
 
 
+@register("w6_parted_upsert", sql("order_headers", """
+SELECT order_id, partner_id, max(updated_at) AS version,
+  CASE WHEN bool_or(updated_at > created_at) THEN 'shipped' ELSE any_value(order_status) END AS order_status
+FROM order_headers GROUP BY 1, 2"""))
+def w6_parted(spark, sf):
+    """The base stored in parts by key hash, the changes upserted in two loads."""
+    keys = ["order_id", "partner_id"]
+    table, part = PartedTable(spark, work_path(spark, "w6")), W.key_part(keys, 32)
+    headers = m.order_headers(spark, sf)
+    base = headers.select(*keys, F.col("created_at").alias("version"), "order_status")
+    later = headers.filter("updated_at > created_at").select(*keys, F.col("updated_at").alias("version"), F.lit("shipped").alias("order_status"))
+    table.replace(base, part, 0)
+    for number in (1, 2):
+        W.upsert_parts(table, later.filter(F.col("partner_id") % 2 == number - 1), keys, "version", part, number)
+    return table.read()
+
+
 @register("w7_replication_lag", sql("order_headers", _PAIR + """
 SELECT *, s - t AS lag, 'fast_forward' AS mode, 5000 AS batch_size, 100.0::DOUBLE * (1.0::DOUBLE - (s - t) / (s - t + n)) AS progress_pct
 FROM (SELECT (SELECT max(order_id) FROM source) AS s, max(order_id) AS t, count(*) AS n FROM replica)""")

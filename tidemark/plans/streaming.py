@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph, latency as S
+from tidemark.operators.digests import RangedTable
 from tidemark.plans.corpus import _MENTIONS, _NEAR
 from tidemark.plans.ingest import _PAIR, _replica, _since, _source
 from tidemark.plans.register import Registry
@@ -38,17 +39,28 @@ FROM (SELECT CAST(value AS JSON) AS j FROM clickstream_json WHERE json_valid(val
 def s1(spark, sf):
     folder = work_path(spark, "s1")
     jobs.ingest_clickstream(m.clickstream_json_from_events(_stream(spark, sf, "events")), folder).awaitTermination()
-    facts = spark.read.parquet(f"{folder}/facts")
+    facts = jobs.facts(spark, folder)
     return facts.select("event_id", "event_time", "partner_id", "event_type", "product_price")
 
 
+@register("s1_ingest_counters", sql("clickstream_json", """
+SELECT count(*) AS consumed, count(*) FILTER (json_valid(value)) AS loaded, count(*) FILTER (NOT json_valid(value)) AS errors,
+  count(*) FILTER (NOT json_valid(value)) AS rejects FROM clickstream_json"""))
+def s1_counters(spark, sf):
+    folder = work_path(spark, "s1c")
+    jobs.ingest_clickstream(m.clickstream_json_from_events(_stream(spark, sf, "events")), folder).awaitTermination()
+    refused = jobs.rejects(spark, folder).agg(F.count("*")).scalar()
+    return jobs.counters(spark, folder).agg(*[F.sum(c).alias(c) for c in ("consumed", "loaded", "errors")]).withColumn("rejects", refused)
+
+
 @register("s2_stream_minutes", sql("clickstream", """
 SELECT partner_id, date_trunc('minute', event_time) AS minute_start, count(*) AS count, CAST(sum(product_price) AS DOUBLE) AS revenue
 FROM clickstream GROUP BY 1, 2"""))
 def s2(spark, sf):
     folder = work_path(spark, "s2")
-    jobs.keep_updated(jobs.minute_counts(_clicks(spark, sf)), folder).awaitTermination()
-    return jobs.current(spark, folder, ["partner_id", "minute_start"]).withColumn("revenue", F.col("revenue").cast("double"))
+    keys = ["partner_id", "minute_start"]
+    jobs.keep_updated(jobs.minute_counts(_clicks(spark, sf)), folder, keys).awaitTermination()
+    return jobs.current(spark, folder, keys).withColumn("revenue", F.col("revenue").cast("double"))
 
 
 @register("s3_stream_funnel", sql("clickstream", """
@@ -86,8 +98,9 @@ def s5(spark, sf):
     points = jobs.span_metrics(spans, BOUNDS, 10, "minute").select(
         F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "service_name",
         F.col("attributes")["span.name"].alias("span_name"), "count", "sum", "bucket_counts")
-    jobs.keep_updated(points, folder).awaitTermination()
-    now = jobs.current(spark, folder, ["timestamp", "service_name", "span_name"])
+    keys = ["timestamp", "service_name", "span_name"]
+    jobs.keep_updated(points, folder, keys).awaitTermination()
+    now = jobs.current(spark, folder, keys)
     return now.withColumn("bucket_counts", F.array_join(F.col("bucket_counts").cast("array<string>"), ","))
 
 
@@ -102,6 +115,25 @@ def s6(spark, sf):
     return jobs.cdc_view(spark, folder, base).select("order_id", "order_status")
 
 
+@register("s6_cdc_ranges", sql("order_headers", _PAIR + """
+SELECT g.order_id, coalesce(c.order_status, g.order_status) AS order_status FROM grown g
+LEFT JOIN changes c ON g.order_id = c.order_id WHERE g.order_id NOT IN (SELECT order_id FROM gone)"""))
+def s6_ranges(spark, sf):
+    """The source moves between ticks: first nothing was updated yet, then states change, then orders come and go."""
+    folder = work_path(spark, "s6r")
+    source, base = _source(spark, sf), _replica(spark, sf)
+    moved, copy = RangedTable(spark, f"{folder}/source", "order_id"), RangedTable(spark, f"{folder}/target", "order_id")
+    copy.replace(base, 0)
+    changed = base.join(source.select("order_id", F.col("order_status").alias("_now")), "order_id", "left").withColumn(
+        "order_status", F.coalesce("_now", "order_status")).drop("_now")
+    ticks = f"{folder}/ticks"
+    for tick, state in enumerate((base.withColumn("updated_at", F.col("created_at")), changed, source)):
+        moved.replace(state.select(*base.columns), tick)
+        spark.range(tick, tick + 1).write.mode("append").parquet(ticks)
+        jobs.cdc_ranges(parquet_stream(spark, ticks, spark.range(1).schema), moved, copy, folder, _since(source), every=None).awaitTermination()
+    return copy.read().select("order_id", "order_status")
+
+
 @register("s7_late_rows", """
 SELECT CASE WHEN CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-18' THEN 'accepted' ELSE 'rejected' END AS state,
   CAST(ts AS DATE) AS event_date, count(*) AS rows FROM events GROUP BY 1, 2""")

@@ -7,18 +7,19 @@ with overwrite, so a replayed batch replaces itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from datetime import datetime, timedelta
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions import times
-from tidemark.operators import commerce, graph, ingest, traces
+from tidemark.functions.fixed_values import FUNNEL_LABELS
+from tidemark.operators import graph, ingest, traces
+from tidemark.operators.digests import FAN_BITS, DigestTree, RangedTable
+from tidemark.sources import files
+from tidemark.sources.parted import LevelledTable, PartedTable
 from tidemark.sources.readers import latest_per_key
 
-MICRO_BATCH = "500 milliseconds"
-
 
 def _start(stream: DataFrame, folder: str, every: str | None, mode: str = "append"):
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/_checkpoint")
@@ -39,9 +40,45 @@ def _upto(spark: SparkSession, folder: str, name: str, batch_id: int) -> DataFra
 
 
 def ingest_clickstream(messages: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
-    """JSON messages into a day-partitioned fact table, exactly once through the checkpoint."""
-    facts = ingest.ingest_clickstream(messages).withColumn("event_date", F.to_date("event_time"))
-    return _start(facts, folder, every).format("parquet").partitionBy("event_date").option("path", f"{folder}/facts").start()
+    """JSON messages into a day-partitioned fact table and a reject table, exactly once, with counters for every micro-batch.
+
+    A batch is parsed once and written in one pass; what it consumed, loaded and refused is observed on the way. Read
+    the results with ``facts``, ``rejects`` and ``counters``.
+    """
+    def save(df: DataFrame, batch_id: int) -> None:
+        seen = Observation()
+        parsed = ingest.parse_clickstream(df.select("value"), keep=["value"]).observe(
+            seen, F.count(F.lit(1)).alias("consumed"), F.count_if("is_valid").alias("loaded"),
+            F.count_if(~F.col("is_valid")).alias("errors"))
+        state = F.when(F.col("is_valid"), "loaded").otherwise("rejected")
+        rows = parsed.withColumns({"value": F.when(~F.col("is_valid"), F.col("value")), "state": state,
+                                   "event_date": F.to_date("event_time"), "batch_id": F.lit(batch_id)}).drop("is_valid")
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("state", "event_date", "batch_id")
+         .parquet(f"{folder}/rows"))
+        found = seen.get
+        made = df.sparkSession.createDataFrame([(batch_id, found["consumed"], found["loaded"], found["errors"])],
+                                               "batch_id long, consumed long, loaded long, errors long")
+        LevelledTable(df.sparkSession, f"{folder}/counters").add(made, batch_id)
+    return _start(messages, folder, every).foreachBatch(save).start()
+
+
+def facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The loaded rows, with ``event_date`` and ``batch_id``."""
+    return _of_state(spark, folder, "loaded").drop("value")
+
+
+def rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """The refused messages as they came, ``value``, with the batch that refused them."""
+    return _of_state(spark, folder, "rejected").select("value", "batch_id")
+
+
+def _of_state(spark: SparkSession, folder: str, state: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/rows").filter(F.col("state") == state).drop("state")
+
+
+def counters(spark: SparkSession, folder: str) -> DataFrame:
+    """``batch_id, consumed, loaded, errors`` of every finished micro-batch."""
+    return LevelledTable(spark, f"{folder}/counters").read()
 
 
 def minute_counts(clicks: DataFrame, lateness: str = "10 minutes") -> DataFrame:
@@ -56,74 +93,222 @@ def span_metrics(spans: DataFrame, bounds_ms, n: int = 1, unit: str = "minute",
     return traces.span_metrics(spans.withWatermark("timestamp", lateness), bounds_ms, n, unit)
 
 
-def keep_updated(aggregate: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
-    """Store each batch's changed rows of a streaming aggregate; read them with ``current``."""
+def keep_updated(aggregate: DataFrame, folder: str, keys: Sequence[str], every: str | None = None) -> StreamingQuery:
+    """Store each batch's changed rows of a streaming aggregate, merged by levels; read them with ``current``."""
     def save(df: DataFrame, batch_id: int) -> None:
-        _save(df, folder, "updates", batch_id)
+        _updates(df.sparkSession, folder, keys).add(df.withColumn("batch_id", F.lit(batch_id)), batch_id)
     return _start(aggregate, folder, every, "update").foreachBatch(save).start()
 
 
+def _updates(spark: SparkSession, folder: str, keys: Sequence[str]) -> LevelledTable:
+    def newest(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in keys]
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_v"))
+        return last.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
+    return LevelledTable(spark, f"{folder}/updates", newest)
+
+
 def current(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    return latest_per_key(_versions(spark, folder, "updates"), keys)
+    """The newest row of each key; reads as many folders as the logarithm of the batches."""
+    return latest_per_key(_updates(spark, folder, keys).read(), keys)
+
+
+_STEPS = ("views", "carts", "purchases")
+
+
+def _partials(spark: SparkSession, folder: str, days: int) -> LevelledTable:
+    def fold(rows: DataFrame) -> DataFrame:
+        """Sums by minute; minutes that left the window of the newest row merged here cannot be asked for again."""
+        first = F.date_trunc("minute", rows.agg(F.max("last")).scalar() - F.expr(f"INTERVAL {int(days)} DAY")).cast("timestamp_ntz")
+        return rows.filter(F.col("minute") >= first).groupBy("partner_id", "minute").agg(
+            *[F.sum(c).alias(c) for c in _STEPS], F.max("last").alias("last"))
+    return LevelledTable(spark, f"{folder}/partials", fold)
 
 
 def refresh_funnel(clicks: DataFrame, folder: str, every: str | None = "1 minute", days: int = 7) -> StreamingQuery:
-    """Keep the trailing funnel fresh: store the few funnel columns by day, recount the retained days."""
+    """Keep the trailing funnel fresh: a batch only adds its own counts by partner and minute.
+
+    Counts of several batches are added up level by level and expire with the window. The rows' few columns are kept by
+    hour for the one minute that the window cuts; hours before the window are deleted. ``funnel_view`` reads both.
+    """
     def refresh(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        slim = df.select("partner_id", "event_type", F.col("event_time").cast("timestamp_ntz").alias("event_time"))
-        daily = slim.withColumn("event_date", F.to_date("event_time"))
-        daily.write.mode("overwrite").partitionBy("event_date").parquet(f"{folder}/events/batch_id={batch_id}")
-        seen = _upto(spark, folder, "events", batch_id)
-        newest = seen.agg(F.max("event_time")).scalar()
-        kept = seen.filter(F.col("event_date") >= F.date_sub(F.to_date(newest), days))
-        _save(commerce.conversion_funnel(kept, newest, days), folder, "funnel", batch_id)
+        add_to_funnel(df, folder, batch_id, days)
     return _start(clicks, folder, every).foreachBatch(refresh).start()
 
 
-def funnel_view(spark: SparkSession, folder: str) -> DataFrame:
-    """The funnel of the last finished batch."""
-    versions = _versions(spark, folder, "funnel")
-    return versions.filter(F.col("batch_id") == versions.agg(F.max("batch_id")).scalar()).drop("batch_id")
+def add_to_funnel(clicks: DataFrame, folder: str, version: int, days: int = 7) -> None:
+    """One batch of clicks into the stored funnel; a repeated version takes its own place."""
+    spark = clicks.sparkSession
+    slim = clicks.select("partner_id", "event_type", F.col("event_time").cast("timestamp_ntz").alias("event_time"))
+    minute = F.date_trunc("minute", "event_time").cast("timestamp_ntz")
+    _partials(spark, folder, days).add(
+        slim.groupBy("partner_id", minute.alias("minute")).agg(*_steps(), F.max("event_time").alias("last")), version)
+    newest = spark.read.parquet(f"{folder}/partials/data/{version}-0").agg(F.max("last")).first()[0]
+    if newest is None:
+        return
+    # Rows before this batch's own window can never be cut by a later one.
+    start = newest - timedelta(days=days)
+    hourly = (slim.filter(F.col("event_time") >= _moment(start.replace(minute=0, second=0, microsecond=0)))
+              .withColumns({"hour": F.date_format("event_time", "yyyyMMddHH"), "batch_id": F.lit(version)}).hint("rebalance", "hour"))
+    (hourly.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch_id").parquet(f"{folder}/rows"))
+    for name in files.names(spark, f"{folder}/rows"):
+        if name.startswith("hour=") and name[5:].isdigit() and name[5:] < f"{start:%Y%m%d%H}":
+            files.delete(spark, f"{folder}/rows/{name}")
+
+
+def _steps() -> list[Column]:
+    return [F.count_if(F.col("event_type") == label).alias(name) for label, name in zip(FUNNEL_LABELS, _STEPS)]
+
+
+def _moment(t: datetime) -> Column:
+    return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def funnel_view(spark: SparkSession, folder: str, days: int = 7) -> DataFrame:
+    """Views, carts and purchases per partner over the ``days`` before the newest row, from the stored counts.
+
+    Whole minutes come from the counts; of the minute that the window cuts, the rows of its hour tell which count.
+    """
+    table = _partials(spark, folder, days).read()
+    newest = table.agg(F.max("last")).first()[0]
+    if newest is None:
+        return table.select("partner_id", *_STEPS).limit(0)
+    start = newest - timedelta(days=days)
+    cut = start.replace(second=0, microsecond=0)
+    whole = table.filter(F.col("minute") > _moment(cut)).select("partner_id", *_STEPS)
+    hour = f"{folder}/rows/hour={cut:%Y%m%d%H}"
+    if files.names(spark, hour):
+        edge = spark.read.schema("partner_id int, event_type string, event_time timestamp_ntz").parquet(f"{hour}/*")
+        edge = edge.filter((F.col("event_time") >= _moment(start)) & (F.col("event_time") < _moment(cut + timedelta(minutes=1))))
+        whole = whole.unionByName(edge.groupBy("partner_id").agg(*_steps()))
+    return whole.groupBy("partner_id").agg(*[F.sum(c).alias(c) for c in _STEPS])
 
 
 def refresh_indexes(chunks: DataFrame, folder: str, every: str | None = None, d: int = 2,
-                    max_freq: int = 500) -> StreamingQuery:
-    """On-commit index refresh: only the documents and entities a batch touches are recomputed.
+                    max_freq: int = 500, parts: int = 64) -> StreamingQuery:
+    """On-commit index refresh: a commit reads and rewrites only the parts of the documents and entities it touches.
 
-    The state kept for that holds ids, positions and entity names, never the texts. Entities that outgrow ``max_freq`` get a version without chunk ids, which the view drops.
+    Chunks and their neighbours lie in ``parts`` parts by document, entities by name. The state holds ids, positions and names, never the
+    texts; an entity that reaches ``max_freq`` keeps its count and drops its chunk ids, so no row of it grows on.
     """
+    doc, entity = graph.SCOPE + ["doc_id"], graph.SCOPE + ["entity_name"]
+
     def refresh(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        slim = df.select(*graph.SCOPE, "row_id", "doc_id", "chunk_index", "entity_names", "relationships")
-        _save(slim, folder, "chunks", batch_id)
-        batch = spark.read.parquet(f"{folder}/chunks/batch_id={batch_id}")
-        stored = _upto(spark, folder, "chunks", batch_id)
-        _save(graph.triple_index(batch), folder, "triples", batch_id)
-
-        doc = graph.SCOPE + ["doc_id"]
-        around = stored.join(batch.select(*doc).distinct(), doc, "left_semi")
-        _save(graph.structural_neighbors(around, d), folder, "neighbors", batch_id)
-
-        entity = graph.SCOPE + ["entity_name"]
-        touched = graph.entity_mentions(batch).select(*entity).distinct()
-        mentions = graph.entity_mentions(stored).join(touched, entity, "left_semi")
+        state = _index_tables(spark, folder)
+        _save(df.select(*graph.SCOPE, "row_id", "doc_id", "chunk_index", "entity_names", "relationships"), folder, "commit", 0)
+        batch = spark.read.parquet(f"{folder}/commit/batch_id=0")
+        if batch.isEmpty():
+            return
+        state["triples"].add(graph.triple_index(batch), batch_id)
+
+        def old(name: str, touched: list[int], like: DataFrame) -> DataFrame:
+            found = state[name].read(touched, before=batch_id)
+            return like.limit(0) if found is None else found
+
+        by_doc, by_entity = ingest.key_part(doc, parts), ingest.key_part(entity, parts)
+        slim = batch.select(*graph.SCOPE, "row_id", "doc_id", "chunk_index")
+        touched = [r[0] for r in slim.select(by_doc).distinct().collect()]
+        before = old("chunks", touched, slim)
+        stored = before.unionByName(slim)
+        state["chunks"].replace(stored, by_doc, batch_id, touched)
+        docs = slim.select(*doc).distinct()
+        near = graph.structural_neighbors(stored.join(docs, doc, "left_semi"), d)
+        kept = old("neighbors", touched, near.withColumn("doc_id", F.lit("")))
+        near = near.join(stored.select(*graph.SCOPE, F.col("row_id").alias("src_chunk"), "doc_id").distinct(), graph.SCOPE + ["src_chunk"])
+        kept = kept.join(docs, doc, "left_anti").unionByName(near)
+        state["neighbors"].replace(kept, by_doc, batch_id, touched)
+
+        mentions = graph.entity_mentions(batch)
+        touched = [r[0] for r in mentions.select(by_entity).distinct().collect()]
         counts = mentions.groupBy(*entity).agg(F.count("*").alias("freq"))
-        ids = (mentions.join(counts.filter(F.col("freq") < max_freq), entity).groupBy(*entity)
-               .agg(F.array_sort(F.collect_set("row_id")).alias("chunk_ids")))
-        _save(counts.join(ids, entity, "left"), folder, "entities", batch_id)
+        few = counts.filter(F.col("freq") < max_freq).select(*entity)
+        ids = mentions.join(few, entity, "left_semi").groupBy(*entity).agg(F.collect_set("row_id").alias("chunk_ids"))
+        now = counts.join(ids, entity, "left")
+        # A list is whole or null; one that is or grows too long is null from then on.
+        both = now.unionByName(old("entities", touched, now)).groupBy(*entity).agg(
+            F.sum("freq").alias("freq"), F.collect_list("chunk_ids").alias("_lists"), F.count("*").alias("_n"))
+        whole = (F.size("_lists") == F.col("_n")) & (F.col("freq") < max_freq)
+        made = both.select(*entity, "freq", F.when(whole, F.array_sort(F.array_distinct(F.flatten("_lists")))).alias("chunk_ids"))
+        state["entities"].replace(made, by_entity, batch_id, touched)
     return _start(chunks, folder, every).foreachBatch(refresh).start()
 
 
+def _index_tables(spark: SparkSession, folder: str) -> dict[str, PartedTable | LevelledTable]:
+    return {"triples": LevelledTable(spark, f"{folder}/triples")} | {
+        name: PartedTable(spark, f"{folder}/{name}") for name in ("chunks", "neighbors", "entities")}
+
+
 def index_views(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    entities = latest_per_key(_versions(spark, folder, "entities"), graph.SCOPE + ["entity_name"])
+    state = _index_tables(spark, folder)
     return {
-        "entities": entities.filter("chunk_ids IS NOT NULL"),
-        "triples": _versions(spark, folder, "triples").drop("batch_id"),
-        "neighbors": latest_per_key(_versions(spark, folder, "neighbors"), graph.SCOPE + ["src_chunk"]),
+        "entities": state["entities"].read().filter("chunk_ids IS NOT NULL"),
+        "triples": state["triples"].read(),
+        "neighbors": state["neighbors"].read().drop("doc_id"),
     }
 
 
+def cdc_ranges(ticks: DataFrame, source: RangedTable, target: RangedTable, folder: str, since,
+               every: str | None = "1 second") -> StreamingQuery:
+    """A change-capture pass per tick that reads only key ranges whose rows changed at the source since the last tick.
+
+    The loop keeps the digest tree of the source as it last saw it and compares the two trees from the top. In the
+    ranges that differ, and in no others, it takes new rows above the mark, changed states and lost keys, and rewrites the target.
+    Read the target itself for the view, and ``cdc_counts`` for what each tick did. A repeated tick repeats its result.
+    """
+    spark, key = source.spark, source.key
+    seen = DigestTree(spark, f"{folder}/seen")
+    state = LevelledTable(spark, f"{folder}/counts")
+
+    def apply(_: DataFrame, batch_id: int) -> None:
+        at = source.version() + 1
+        # Versions of the target and of the tree follow the ticks; what the loop found there is version 0.
+        now = batch_id + 1
+        ranges = source.tree.differing(seen, mine=at, theirs=now)
+        before = state.read(before=now)
+        if before is None:
+            base = target.read(before=now)
+            top = 0 if base is None else base.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+            mark = spark.range(1).select(ingest.instant(since)).first()[0]
+        else:
+            last = before.orderBy(F.desc("tick")).first()
+            top, mark = last["top_key"], last["watermark"]
+        counts = (0, 0, 0)
+        if ranges:
+            rows = source.read(ranges, before=at)
+            base = target.read(ranges, before=now)
+            base = rows.limit(0) if base is None else base
+            new = ingest.incremental_new(rows.select(*base.columns), base, key, mark=F.lit(top))
+            # Rows at the mark's own instant come again with their range; those whose state is there already are done.
+            known = base.select(key, "order_status")
+            late = ingest.pending_updates(rows, F.lit(str(mark)).cast("timestamp_ntz"), key, since_key=F.lit(-2**62))
+            changes = late.filter(F.col("updated_at") > F.lit(str(mark)).cast("timestamp_ntz")).unionByName(
+                late.filter(F.col("updated_at") == F.lit(str(mark)).cast("timestamp_ntz")).join(known, [key, "order_status"], "left_anti"))
+            grown = base.unionByName(new)
+            gone = ingest.detect_deletes(grown, rows, key)
+            after = ingest.apply_deletes(ingest.apply_updates(grown, changes, key), gone, key)
+            def tally(rows: DataFrame, top: Column, mark: Column) -> DataFrame:
+                return rows.agg(F.count("*").alias("rows"), top.alias("top"), mark.alias("mark"))
+            no_key, no_mark = F.lit(None).cast("long"), F.lit(None).cast("timestamp_ntz")
+            found = (tally(new, F.max(key).cast("long"), no_mark).withColumn("step", F.lit(0))
+                     .unionByName(tally(changes, no_key, F.max("updated_at")).withColumn("step", F.lit(1)))
+                     .unionByName(tally(gone, no_key, no_mark).withColumn("step", F.lit(2))).orderBy("step").collect())
+            counts = tuple(r["rows"] for r in found)
+            top, mark = max(top, found[0]["top"] or top), max(mark, found[1]["mark"] or mark)
+            target.replace(after, now, ranges)
+            seen.update(source.tree.levels[0].read({r >> FAN_BITS for r in ranges}, before=at)
+                        .join(spark.createDataFrame([(r,) for r in ranges], "node long"), "node", "left_semi"), ranges, now)
+        row = (batch_id, *counts, len(ranges), top, mark)
+        state.add(spark.createDataFrame([row], "tick long, new long, updated long, deleted long, ranges long, top_key long, "
+                                               "watermark timestamp_ntz"), now)
+    return _start(ticks, folder, every).foreachBatch(apply).start()
+
+
+def cdc_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """``tick, new, updated, deleted, ranges, top_key, watermark`` of every finished tick."""
+    return LevelledTable(spark, f"{folder}/counts").read()
+
+
 def cdc_loop(ticks: DataFrame, read_source: Callable[[], DataFrame], base: DataFrame, folder: str, since,
              every: str | None = "1 second", key: str = "order_id", batch: int | None = None,
              update_limit: int | None = None, window: int | None = None) -> StreamingQuery:
@@ -175,10 +360,9 @@ def cdc_loop(ticks: DataFrame, read_source: Callable[[], DataFrame], base: DataF
 def cdc_view(spark: SparkSession, folder: str, base: DataFrame, key: str = "order_id",
              before: int | None = None) -> DataFrame:
     """Base without the touched keys, plus the newest logged version of each touched key."""
-    try:
-        log = _versions(spark, folder, "log")
-    except AnalysisException:  # compacted, and no tick since
+    if not files.names(spark, f"{folder}/log"):  # compacted, and no tick since
         return base
+    log = _versions(spark, folder, "log")
     if before is not None:
         log = log.filter(F.col("batch_id") < before)
     newest = latest_per_key(log, [key])
@@ -192,8 +376,7 @@ def compact(spark: SparkSession, folder: str, base: DataFrame, path: str, key: s
     Run it between ticks, and go on with the new base: later ticks read only the log written since.
     """
     cdc_view(spark, folder, base, key).write.mode("errorifexists").parquet(path)
-    log = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/log")
-    log.getFileSystem(spark._jsc.hadoopConfiguration()).delete(log, True)
+    files.delete(spark, f"{folder}/log")
     return spark.read.parquet(path)
 
 
