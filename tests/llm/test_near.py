@@ -89,6 +89,26 @@ def test_components(spark):
     assert components(frame.limit(0), "a", "b").count() == 0
 
 
+def test_a_large_group_is_settled_in_two_steps(spark, monkeypatch):
+    """Near copies that only chains join, and strangers in the same candidate cluster, over many blocks."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16)
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(90)]
+    rows = []
+    for k in range(300):
+        if k % 40 == 39:  # a drift: later copies are far from the first ones
+            for _ in range(8):
+                words[draw.randrange(90)] = f"x{k}{draw.random()}"
+        copy = list(words)
+        copy[draw.randrange(90)] = f"y{k}"
+        rows.append((k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clusters = spark.createDataFrame([(k, 0) for k, _ in rows], "id long, cluster long")
+    links = near_duplicates.confirmed_links(docs, clusters, 3, 85, "text", "doc_id")
+    got = brute_components(range(300), [tuple(r) for r in links.collect()])
+    assert got == brute_near(rows, 3, 85)[1] and 1 < len(set(got.values())) < 300
+
+
 def test_levels_find_the_same_links(spark, sf, monkeypatch):
     """The branching tree against exhaustive comparison over a whole table."""
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")

@@ -193,38 +193,51 @@ def candidate_links(classes: DataFrame, similarity: float) -> DataFrame | None:
     return compared
 
 
-def _confirmed(ids: Sequence[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of one block: pairs with 100 * intersection >= percent * union that join something new."""
-    n = len(ids)
-    parent = list(range(n))
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def _confirmed(ids: Sequence[int], sets: list[np.ndarray], percent: int, joined: Sequence[int] | None = None) -> list[tuple[int, int]]:
+    """Links of one block: pairs with 100 * intersection >= percent * union that join something new.
 
+    Rows of equal ``joined`` are known to be connected.
+    """
+    n = len(ids)
     sizes = np.array([len(s) for s in sets], np.int64)
-    links = []
-
-    def test(x, y, common_items):
-        if 100 * common_items >= percent * (sizes[x] + sizes[y] - common_items):
-            x, y = root(x), root(y)
-            if x != y:
-                parent[y] = x
-                links.append((ids[x], ids[y]))
-
+    labels = np.arange(n) if joined is None else np.unique(joined, return_inverse=True)[1]
     if n <= 24:
+        shared = np.zeros((n, n))
         for x in range(n):
             for y in range(x + 1, n):
-                if 100 * min(sizes[x], sizes[y]) >= percent * max(sizes[x], sizes[y]) and root(x) != root(y):
-                    test(x, y, len(np.intersect1d(sets[x], sets[y], assume_unique=True)))
-        return links
-    items = np.concatenate(sets)
+                if labels[x] != labels[y] and 100 * min(sizes[x], sizes[y]) >= percent * max(sizes[x], sizes[y]):
+                    shared[x, y] = shared[y, x] = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+    else:
+        shared = _intersections(sets, sizes)
+    hit = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    links, unseen = [], np.ones(n, bool)
+    by_label = np.argsort(labels, kind="stable")
+    first = np.searchsorted(labels[by_label], np.arange(labels.max() + 2)) if n else []
+    for start in range(n):
+        stack = [start] if unseen[start] else []
+        while stack:
+            x = stack.pop()
+            if unseen[x]:  # all that are joined to it already come along
+                together = by_label[first[labels[x]]:first[labels[x] + 1]]
+                unseen[together] = False
+                stack += together.tolist()
+                continue
+            for y in np.flatnonzero(hit[x] & unseen).tolist():
+                if unseen[y]:
+                    links.append((ids[x], ids[y]))
+                    together = by_label[first[labels[y]]:first[labels[y] + 1]]
+                    unseen[together] = False
+                    stack += together.tolist()
+    return links
+
+
+def _intersections(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Numbers of shared items of all pairs of sets."""
+    n = len(sets)
     owner = np.repeat(np.arange(n), sizes)
-    _, number, count = np.unique(items, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(count > 1)
+    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     place = np.full(len(count), -1)
+    shared = np.flatnonzero(count > 1)
     place[shared] = np.arange(len(shared))
     number = place[number]
     owner, number = owner[number >= 0], number[number >= 0]
@@ -236,55 +249,85 @@ def _confirmed(ids: Sequence[int], sets: list[np.ndarray], percent: int) -> list
         matrix = np.zeros((n, min(2048, len(shared) - start)), np.float32)
         matrix[owner[low:high], number[low:high] - start] = 1
         both += matrix @ matrix.T
-    hit = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-    for x in range(n):
-        for y in (np.flatnonzero(hit[x, x + 1:]) + x + 1).tolist():
-            if root(x) != root(y):
-                test(x, y, int(both[x, y]))
-    return links
+    return both.astype(np.float64)
 
 
-def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: int, text: str, doc_id: str) -> DataFrame:
-    """Links ``a, b`` of the documents ``clusters (id, cluster)`` that hold on their full sets."""
+def _with_sets(docs: DataFrame, members: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
+    """``members (id, ...)`` with ``items``, the sorted shingle hashes of the document."""
+    keep = [c for c in members.columns if c != "id"]
+    schema = members.select("id", *keep).schema.add("items", "binary")
+
     def build(batches):
         for batch in batches:
-            offsets, data = common.utf8(batch.column(3))
+            offsets, data = common.utf8(batch.column(batch.num_columns - 1))
             made = []
             for first, last in common.slices(offsets):
                 local = offsets[first:last + 1] - offsets[first]
                 made += [s.tobytes() for s in shingle_sets(local, data[offsets[first]:offsets[last]], width)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], names=["id", "cluster", "n", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], names=schema.names)
         common.give_back()
 
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    members = clusters.join(sizes, "cluster").withColumnRenamed("id", "member")
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = (texts.join(members.hint("merge"), F.col("id") == F.col("member")).select("id", "cluster", "n", "text")
-            .mapInArrow(build, "id long, cluster long, n long, items binary"))
-    # A large cluster is compared block against block: a document goes to every pair of blocks that holds its own.
-    blocks = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("id"), blocks)
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    rows = (rows.withColumn("own", own).withColumn("other", F.when(blocks > 1, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.lit(-1).cast("long"))))
-            .withColumn("other", F.explode("other")).filter("other != own"))
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    unit = F.when(F.col("other") < 0, F.pmod(F.xxhash64("cluster"), F.lit(buckets))).otherwise(
-        F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")))
+    texts = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text"))
+    return (texts.join(members.hint("merge"), F.col("_doc") == F.col("id")).select("id", *keep, "_text").mapInArrow(build, schema))
+
 
+def _links_in_units(rows: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between rows ``unit, cluster, id, joined, items`` of one unit and cluster."""
     def confirm(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cluster", "ascending"), ("id", "ascending")])
-        ids, owners = table["id"].to_numpy(), table["cluster"].to_numpy()
+        ids, owners, joined = (table[c].to_numpy() for c in ("id", "cluster", "joined"))
         items = table["items"]
         links: list[tuple[int, int]] = []
         bounds = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1], [True]])) if len(ids) else [0]
         for start, stop in zip(bounds[:-1], bounds[1:]):
             _, rows_kept = np.unique(ids[start:stop], return_index=True)
             sets = [np.frombuffer(items[int(start + k)].as_py(), np.uint64) for k in rows_kept]
-            links += _confirmed(ids[start:stop][rows_kept].tolist(), sets, percent)
+            links += _confirmed(ids[start:stop][rows_kept].tolist(), sets, percent, joined[start:stop][rows_kept])
         common.give_back()
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return rows.withColumn("unit", unit).select("unit", "cluster", "id", "items").groupBy("unit").applyInArrow(confirm, "a long, b long")
+    return rows.select("unit", "cluster", "id", "joined", "items").groupBy("unit").applyInArrow(confirm, "a long, b long")
+
+
+def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: int, text: str, doc_id: str) -> DataFrame:
+    """Links ``a, b`` of the documents ``clusters (id, cluster)`` that hold on their full sets.
+
+    A cluster beyond one block is settled in two steps. First each block is compared in itself and with one member of the cluster
+    that visits all blocks, which joins nearly all of a group of near copies; every set is shipped once. What is joined then
+    need not be compared again: only members outside the cluster's largest component meet the other blocks.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("pivot"))
+    members = clusters.join(sizes, "cluster").withColumn("joined", F.col("id"))
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = _with_sets(docs, members.filter(F.col("n") <= BLOCK).select("id", "cluster", "joined"), width, text, doc_id)
+    links = _links_in_units(small.withColumn("unit", F.pmod(F.xxhash64("cluster"), F.lit(buckets))), percent)
+    if sizes.filter(F.col("n") > BLOCK).isEmpty():
+        return links
+    blocks = F.ceil(F.col("n") / BLOCK)
+    large = members.filter(F.col("n") > BLOCK).withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    sets = common.scratch(_with_sets(docs, large.select("id", "cluster", "joined", "n", "pivot", "block"), width, text, doc_id), "sets")
+    visits = F.when(F.col("id") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array("block"))
+    first = sets.withColumn("visit", F.explode(visits)).withColumn("unit", F.xxhash64("cluster", "visit"))
+    near = common.scratch(_links_in_units(first, percent), "near")
+    parts = components(near, "a", "b")
+    placed = common.scratch(large.join(parts.hint("merge"), F.col("id") == F.col("vertex"), "left")
+                            .select("id", "cluster", F.coalesce("component_id", "id").alias("part")), "placed")
+    counted = placed.groupBy("cluster", "part").count()
+    core = counted.groupBy("cluster").agg(F.max(F.struct("count", "part"))["part"].alias("core"),
+                                          (F.sum("count") - F.max("count")).alias("left")).filter(F.col("left") > 0)
+    open_ = placed.join(core, "cluster")
+    rest = open_.filter(F.col("part") != F.col("core"))
+    links = links.unionByName(near)
+    if rest.isEmpty():
+        return links
+    chunks = F.ceil(F.col("left") / BLOCK)
+    known = sets.drop("joined").join(open_.select("id", F.col("part").alias("joined"), "core", "left").hint("merge"), "id")
+    every = F.sequence(F.lit(0).cast("long"), chunks - 1)
+    here = known.withColumn("visit", F.col("block")).withColumn("chunk", F.explode(every))
+    there = known.filter(F.col("joined") != F.col("core")).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(2)), chunks)) \
+        .withColumn("visit", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)))
+    met = here.select("cluster", "id", "joined", "items", "visit", "chunk").unionByName(there.select("cluster", "id", "joined", "items", "visit", "chunk"))
+    return links.unionByName(_links_in_units(met.withColumn("unit", F.xxhash64("cluster", "visit", "chunk")), percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
