@@ -214,3 +214,18 @@ def test_batches_agree_with_single_texts(docs):
     for name in pieces.OUTPUTS:
         for a, b in zip(fast[name], slow[name], strict=True):
             assert np.array_equal(a, b), name
+
+
+def test_rare_texts_of_a_frequent_label_are_learned(spark):
+    """Most rows of a label have no text, and one label is a millionth of the other: both are learned."""
+    from pyspark.sql import functions as F
+    from tidemark.llm import language_id
+    rows = spark.range(400_200).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 2000 == 0, F.concat(F.lit("das ist ein Haus und "), "id"))
+        .when(F.col("id") >= 400_000, F.concat(F.lit("the house is a "), "id")).when(F.col("id") % 3 == 0, "").alias("text"),
+        F.when(F.col("id") < 400_000, "xx").otherwise("yy").alias("lang"))
+    model = language_id.fit(rows)
+    assert model.langs == ["xx", "yy"]
+    long = spark.createDataFrame([(1, "a" * 5000, "xx"), (2, "b c", "xx"), (3, "d" * 9000, "zz")], "doc_id long, text string, lang string")
+    model = language_id.fit(long, bytes_per_lang=100)
+    assert model.langs == ["xx", "zz"]

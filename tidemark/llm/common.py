@@ -242,6 +242,14 @@ def sorted_by_id(batch: pa.RecordBatch, column: str) -> tuple[pa.RecordBatch, np
     return batch, ids
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """The name, lengthened until no frame has such a column."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def meet(docs: DataFrame, doc_id: str, rows: DataFrame, key: str, groups: int, work: Callable, schema) -> DataFrame:
     """Documents and the rows about them, met in ``groups`` groups of documents by the hash of the id.
 
@@ -251,8 +259,9 @@ def meet(docs: DataFrame, doc_id: str, rows: DataFrame, key: str, groups: int, w
     def group(column):
         return F.pmod(F.xxhash64(F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))), F.lit(groups))
 
-    left = docs.withColumn("_group", group(doc_id)).groupBy("_group")
-    right = rows.withColumn("_group", group(key)).groupBy("_group")
+    name = free_name("_group", docs, rows)
+    left = docs.withColumn(name, group(doc_id)).groupBy(name)
+    right = rows.withColumn(name, group(key)).groupBy(name)
     return left.cogroup(right).applyInArrow(work, schema)
 
 

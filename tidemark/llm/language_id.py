@@ -71,26 +71,23 @@ def contexts(starts: np.ndarray, symbols: np.ndarray, size: int) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
         rows_per_lang: int = 150, bytes_per_lang: int = 1_000_000) -> LanguageModel:
     """Learn from a bounded sample of labelled rows: per language at most ``rows_per_lang`` whole texts, in the order of
-    the id's hash, until ``bytes_per_lang`` bytes are reached. Rows with a null text, label or id are not used. Without
-    labelled rows the model knows no language."""
+    the id's hash, until ``bytes_per_lang`` bytes are reached; texts longer than that come after all others. Rows with a null or empty text, a null label or
+    a null id are not used and count for nothing. Without labelled rows the model knows no language."""
     labelled = docs.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")) \
-        .filter(F.col("lang").isNotNull() & F.col("id").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not sizes:
-        return LanguageModel([], np.zeros(256, np.int64), 2, [], [])
-    draw = F.pmod(F.xxhash64("id", F.lit(10)), F.lit(1_000_000))
-    share = F.lit(0)
-    for name, count in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(int(min(1.0, 3 * rows_per_lang / count) * 1_000_000))).otherwise(share)
+        .filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.octet_length("text") > 0))
+    # Not negative; the highest bit in use tells a text that alone exceeds the sample.
+    draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(10)), 2) + F.when(F.octet_length("text") > bytes_per_lang, 2**62).otherwise(0)
+    near = common.least_draws(labelled.withColumn("draw", draw), "lang", "draw", rows_per_lang)
     order = Window.partitionBy("lang").orderBy("draw", "id", "text")
-    picked = (labelled.withColumn("draw", draw).filter((F.col("draw") < share) & (F.length("text") > 0))
-              .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows_per_lang)
+    before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    picked = (near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows_per_lang)
+              .withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < bytes_per_lang)
               .orderBy("lang", "place").select("lang", "text").collect())
+    if not picked:
+        return LanguageModel([], np.zeros(256, np.int64), 2, [], [])
     taken: dict[str, list[bytes]] = {}
     for r in picked:
-        got = taken.setdefault(r["lang"], [])
-        if sum(map(len, got)) < bytes_per_lang:
-            got.append(r["text"].encode("utf-8", "replace"))
+        taken.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "replace"))
     langs = sorted(taken)
     known = np.unique(np.frombuffer(b"".join(b"".join(v) for v in taken.values()), np.uint8))
     symbol = np.full(256, len(known) + 1, np.int64)
