@@ -6,9 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.scale import (
-    collect_in_pages, exact_percentiles, top_per_group, value_bucket, with_dense_rank,
-)
+from tidemark.functions import scale
+from tidemark.functions.scale import collect_in_pages, exact_percentiles, top_per_group, with_dense_rank
 
 
 @pytest.fixture(scope="module")
@@ -29,10 +28,25 @@ def groups(rows):
     return out
 
 
-def test_buckets_keep_order(spark):
-    values = sorted([-1e9, -7.0, -0.5, -1e-9, 0.0, 1e-9, 0.3, 1.0, 7.0, 7.01, 1e12])
-    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(value_bucket("v")).collect()]
-    assert got == sorted(got)
+@pytest.mark.parametrize("most", [20_000, 300])
+def test_close_values_are_spread(spark, monkeypatch, most):
+    """300,000 distinct values of one key between 1000 and 1010: no range holds many, and results are exact."""
+    monkeypatch.setattr(scale, "VALUES", most)
+    df = spark.range(300_000).select(F.when(F.col("id") % 100 == 0, "few").otherwise("hot").alias("key"),
+                                     (1000 + F.col("id") * 7919 % 300_000 / 30_000).alias("value"))
+    ranges = scale.in_ranges(df, ["key"], "value").groupBy("key", "_bucket").agg(
+        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).orderBy("key", "_bucket").collect()
+    hot = [r for r in ranges if r["key"] == "hot"]
+    assert max(r["n"] for r in ranges) <= (6500 if most == 20_000 else 700) and len(hot) >= 60
+    assert all(a["high"] < b["low"] for a, b in zip(hot, hot[1:]))
+    values = {"hot": [], "few": []}
+    for r in df.collect():
+        values[r["key"]].append(r["value"])
+    got = {(r["key"], r["prob"]): r["value"] for r in exact_percentiles(df, "key", "value", [0.0, 0.3333, 0.99, 1.0]).collect()}
+    assert got == {(k, p): pytest.approx(np.percentile(v, p * 100), rel=1e-12) for k, v in values.items() for p in (0.0, 0.3333, 0.99, 1.0)}
+    ranked = with_dense_rank(df, "key", "value", "rank").groupBy("key").agg(F.max("rank").alias("last"), F.countDistinct("rank").alias("n"),
+                                                                            F.max_by("value", "rank").alias("least")).collect()
+    assert {r["key"]: (r["last"], r["n"], r["least"]) for r in ranked} == {k: (len(v), len(v), min(v)) for k, v in values.items()}
 
 
 @pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.95, 0.999, 1.0])

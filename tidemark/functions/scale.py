@@ -2,7 +2,7 @@
 
 A single key may hold a third of all rows. Each helper either shrinks a group
 before the shuffle (partial limits, partial counts) or spreads it over ordered
-value buckets whose sizes are combined through a small table.
+ranges of its values whose sizes are combined through a small table.
 """
 
 from __future__ import annotations
@@ -38,11 +38,34 @@ def top_per_group(df: DataFrame, keys: Sequence[str] | str, order: Sequence[Colu
     return final if rank else final.drop(out)
 
 
-def value_bucket(value: Column | str, per_octave: int = 32) -> Column:
-    """A deterministic, order-preserving bucket number for a numeric value."""
-    value = (F.col(value) if isinstance(value, str) else value).cast("double")
-    size = F.floor(F.log2(F.lit(1.0) + F.abs(value)) * per_octave).cast("int")
-    return F.when(value < 0, -size - 1).otherwise(size)
+#: Distinct values of a group that one task may sort, and ranges into which a larger group (or range) is cut.
+VALUES, CUTS = 20_000, 64
+
+
+def _cut(rows: DataFrame, by: list[str], value: str, number: str) -> DataFrame:
+    """``number``: the range of a row's value inside its group ``by``; 0 in groups of few rows.
+
+    Only groups beyond ``VALUES`` rows are cut. Their cut points are quantiles of their own values, from a mergeable summary, so that ranges
+    are about equally full however close the values lie.
+    """
+    large = rows.groupBy(*by).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > VALUES).select(*by)
+    shares = [k / CUTS for k in range(1, CUTS)]
+    cuts = rows.join(large, by, "left_semi").groupBy(*by).agg(F.percentile_approx(value, shares, 20 * CUTS).alias("_cuts"))
+    place = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
+    return rows.join(cuts, by, "left").withColumn(number, F.greatest(F.coalesce(place, F.lit(0)), F.lit(0))).drop("_cuts")
+
+
+def in_ranges(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``_bucket``: number of a value's range inside its group, in the order of the values; ``rows`` hold a value of a group once.
+
+    Ranges that are still too large are cut once more by their own values, so it takes over ``VALUES * CUTS ** 2`` distinct values
+    in one group before ranges grow.
+    """
+    by = keys or ["_all"]
+    if not keys:
+        rows = rows.withColumn("_all", F.lit(0))
+    fine = _cut(_cut(rows, by, value, "_coarse"), by + ["_coarse"], value, "_fine")
+    return fine.withColumn("_bucket", F.col("_coarse") * (CUTS + 1) + F.col("_fine")).drop("_coarse", "_fine", "_all")
 
 
 def _bucket_offsets(counted: DataFrame, keys: list[str], descending: bool) -> DataFrame:
@@ -60,12 +83,12 @@ def with_dense_rank(df: DataFrame, keys: Sequence[str] | str, value: str, rank:
                     descending: bool = True) -> DataFrame:
     """``dense_rank`` over a group of any size; nulls share the last rank.
 
-    Distinct values are ranked inside value buckets, and a bucket's offset is the
-    number of distinct values in the buckets before it.
+    Distinct values are ranked inside ranges cut from the data, and a range's offset
+    is the number of distinct values in the ranges before it.
     """
     keys = _names(keys)
-    distinct = (df.filter(F.col(value).isNotNull()).select(*keys, value).distinct()
-                .withColumn("_bucket", value_bucket(value)).withColumn("_n", F.lit(1)))
+    values = df.filter(F.col(value).isNotNull()).select(*keys, value).distinct()
+    distinct = in_ranges(values, keys, value).withColumn("_n", F.lit(1))
     offsets = _bucket_offsets(distinct, keys, descending)
     order = F.desc(value) if descending else F.asc(value)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
@@ -85,13 +108,11 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str] | str | None, value: st
                       probs: Sequence[float], interpolate: bool = True) -> DataFrame:
     """Exact percentiles as rows ``(*keys, prob, value)``.
 
-    Values are counted first (a map-side combine), bucket totals locate the
-    buckets that hold a wanted position, and only those buckets are sorted.
+    Values are counted first (a map-side combine). Totals of ranges cut from the
+    data locate those that hold a wanted position, and only those are sorted.
     """
     keys = _names(keys)
-    counted = (df.filter(F.col(value).isNotNull())
-               .groupBy(*keys, value).agg(F.count("*").alias("_n"))
-               .withColumn("_bucket", value_bucket(value)))
+    counted = in_ranges(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")), keys, value)
     offsets = _bucket_offsets(counted, keys, descending=False)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     # Continuous: linear between neighbours. Discrete: the first value that covers the share.
