@@ -35,21 +35,28 @@ SALTS = 8  # shares of a vertex's links in the joins
 def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Edges with their ``u``'s row of ``least``; a vertex of very many links is dealt over ``SALTS`` tasks."""
     dealt = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(dealt, ["u", "salt"]).drop("salt")
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(dealt.hint("merge"), ["u", "salt"]).drop("salt")
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether no vertex points at two others, and none that is pointed at points on: then the links are components."""
+    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
+        edges.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    open_ = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return open_.filter((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).isEmpty()
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``vertex, component_id`` for every vertex that some link ``a - b`` touches; the id is the least vertex reached.
 
     Each round points a vertex's larger neighbours, then its smaller ones, at the least neighbour; minima combine before
-    the shuffle, and the joins deal a vertex's links over several tasks. Rounds are
-    written to the shared folder, and the last one, which repeats the one before link for link, is a set of stars. Links with a null end or
-    of a vertex to itself say nothing.
+    the shuffle, and the joins deal a vertex's links over several tasks. Rounds are written to the shared folder and end
+    when all links are stars. Links with a null end or of a vertex to itself say nothing.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")) \
         .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     edges = common.scratch(edges.mapInArrow(_forest, "u long, v long").distinct(), "links")
-    while True:
+    while not _all_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         larger = (_met(both, least).filter((F.col("v") > F.col("u")) & (F.col("v") != F.col("m")))
@@ -59,9 +66,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
                    .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
                    .select("e.u", "e.v").filter("u != v").distinct())
         after = common.scratch(smaller, "links")
-        same = after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty()
         common.drop_scratch(edges)
         edges = after
-        if same:
-            return after.select(F.col("u").alias("vertex"), F.col("v").alias("component_id")).unionByName(
-                after.select(F.col("v").alias("vertex"), F.col("v").alias("component_id")).distinct())
+    return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component_id")).unionByName(
+        edges.select(F.col("v").alias("vertex"), F.col("v").alias("component_id")).distinct())

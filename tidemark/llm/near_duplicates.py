@@ -24,6 +24,7 @@ TREES = 8
 LEVELS = 6
 NODE = 1000  # documents that one node compares exhaustively
 BLOCK = 1024  # documents of one block of a large cluster
+VISITORS = 8  # members of a large cluster that every block is compared with
 MARGIN = 0.1  # allowed error of an estimated similarity; about 2.8 standard deviations at 0.85
 
 _FACTORS = common.mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * common.BASE) | np.uint64(1)
@@ -271,63 +272,99 @@ def _with_sets(docs: DataFrame, members: DataFrame, width: int, text: str, doc_i
     return (texts.join(members.hint("merge"), F.col("_doc") == F.col("id")).select("id", *keep, "_text").mapInArrow(build, schema))
 
 
+def _roots(ids: Sequence[int], links: list[tuple[int, int]]) -> dict[int, int]:
+    """Least id that each id reaches over the links."""
+    parent = dict.fromkeys(ids)
+    for x in parent:
+        parent[x] = x
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+    for x, y in links:
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    return {x: root(x) for x in parent}
+
+
 def _links_in_units(rows: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` between rows ``unit, cluster, id, joined, items`` of one unit and cluster."""
+    """``a, b, label``: links between rows ``unit, cluster, id, joined, visitor, items`` of one unit and cluster, label false.
+
+    Where a cluster has visitors, every row ``a`` also gets a label ``b``, equal for rows that are certainly connected in all
+    units: that of a visitor it reaches, else the least id it reaches.
+    """
     def confirm(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cluster", "ascending"), ("id", "ascending")])
         ids, owners, joined = (table[c].to_numpy() for c in ("id", "cluster", "joined"))
+        visitors = table["visitor"].to_numpy()
         items = table["items"]
         links: list[tuple[int, int]] = []
+        labels: dict[int, int] = {}
         bounds = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1], [True]])) if len(ids) else [0]
         for start, stop in zip(bounds[:-1], bounds[1:]):
             _, rows_kept = np.unique(ids[start:stop], return_index=True)
             sets = [np.frombuffer(items[int(start + k)].as_py(), np.uint64) for k in rows_kept]
-            links += _confirmed(ids[start:stop][rows_kept].tolist(), sets, percent, joined[start:stop][rows_kept])
+            here = ids[start:stop][rows_kept].tolist()
+            found = _confirmed(here, sets, percent, joined[start:stop][rows_kept])
+            links += found
+            known = np.flatnonzero(visitors[start:stop][rows_kept])
+            if len(known):
+                named = [here[k] for k in known]
+                label = _roots(named, _confirmed(named, [sets[k] for k in known], percent))
+                reached, best = _roots(here, found), {}
+                for x in named:
+                    best[reached[x]] = min(best.get(reached[x], label[x]), label[x])
+                for x in here:
+                    labels[x] = label[x] if x in label else best.get(reached[x], reached[x])
         common.give_back()
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        pairs = links + list(labels.items())
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64()),
+                         "label": pa.array([False] * len(links) + [True] * len(labels), pa.bool_())})
 
-    return rows.select("unit", "cluster", "id", "joined", "items").groupBy("unit").applyInArrow(confirm, "a long, b long")
+    return rows.select("unit", "cluster", "id", "joined", "visitor", "items").groupBy("unit").applyInArrow(confirm, "a long, b long, label boolean")
 
 
 def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: int, text: str, doc_id: str) -> DataFrame:
     """Links ``a, b`` of the documents ``clusters (id, cluster)`` that hold on their full sets.
 
-    A cluster beyond one block is settled in two steps. First each block is compared in itself and with one member of the cluster
-    that visits all blocks, which joins nearly all of a group of near copies; every set is shipped once. What is joined then
-    need not be compared again: only members outside the cluster's largest component meet the other blocks.
+    A cluster beyond one block is settled in two steps. First each block is compared in itself and with a few members of the
+    cluster that visit all blocks, which joins nearly all of a group of near copies; every other set is shipped once. What is
+    joined then need not be compared again: only members outside the largest joined part meet the other blocks.
     """
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("pivot"))
-    members = clusters.join(sizes, "cluster").withColumn("joined", F.col("id"))
+    visitors = F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(VISITORS)]))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), visitors.alias("visitors"))
+    members = clusters.join(sizes, "cluster").withColumns({"joined": F.col("id"), "visitor": F.lit(False)})
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = _with_sets(docs, members.filter(F.col("n") <= BLOCK).select("id", "cluster", "joined"), width, text, doc_id)
-    links = _links_in_units(small.withColumn("unit", F.pmod(F.xxhash64("cluster"), F.lit(buckets))), percent)
+    small = _with_sets(docs, members.filter(F.col("n") <= BLOCK).select("id", "cluster", "joined", "visitor"), width, text, doc_id)
+    links = _links_in_units(small.withColumn("unit", F.pmod(F.xxhash64("cluster"), F.lit(buckets))), percent).select("a", "b")
     if sizes.filter(F.col("n") > BLOCK).isEmpty():
         return links
     blocks = F.ceil(F.col("n") / BLOCK)
-    large = members.filter(F.col("n") > BLOCK).withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-    sets = common.scratch(_with_sets(docs, large.select("id", "cluster", "joined", "n", "pivot", "block"), width, text, doc_id), "sets")
-    visits = F.when(F.col("id") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array("block"))
+    large = members.filter(F.col("n") > BLOCK).withColumns({
+        "block": F.pmod(F.xxhash64("id"), blocks), "visitor": F.array_contains("visitors", F.col("id"))})
+    sets = common.scratch(_with_sets(docs, large.select("id", "cluster", "joined", "visitor", "n", "block"), width, text, doc_id), "sets")
+    visits = F.when(F.col("visitor"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array("block"))
     first = sets.withColumn("visit", F.explode(visits)).withColumn("unit", F.xxhash64("cluster", "visit"))
     near = common.scratch(_links_in_units(first, percent), "near")
-    parts = components(near, "a", "b")
-    placed = common.scratch(large.join(parts.hint("merge"), F.col("id") == F.col("vertex"), "left")
-                            .select("id", "cluster", F.coalesce("component_id", "id").alias("part")), "placed")
+    links = links.unionByName(near.filter("NOT label").select("a", "b"))
+    parts = near.filter("label").select(F.col("a").alias("id"), F.col("b").alias("part")).groupBy("id").agg(F.min("part").alias("part"))
+    placed = sets.select("id", "cluster").distinct().join(parts.hint("merge"), "id")
     counted = placed.groupBy("cluster", "part").count()
     core = counted.groupBy("cluster").agg(F.max(F.struct("count", "part"))["part"].alias("core"),
                                           (F.sum("count") - F.max("count")).alias("left")).filter(F.col("left") > 0)
-    open_ = placed.join(core, "cluster")
-    rest = open_.filter(F.col("part") != F.col("core"))
-    links = links.unionByName(near)
-    if rest.isEmpty():
+    open_ = common.scratch(placed.join(core, "cluster").select("id", F.col("part").alias("joined"), "core", "left"), "open")
+    if open_.isEmpty():
         return links
     chunks = F.ceil(F.col("left") / BLOCK)
-    known = sets.drop("joined").join(open_.select("id", F.col("part").alias("joined"), "core", "left").hint("merge"), "id")
-    every = F.sequence(F.lit(0).cast("long"), chunks - 1)
-    here = known.withColumn("visit", F.col("block")).withColumn("chunk", F.explode(every))
+    known = sets.drop("joined", "visitor").join(open_.hint("merge"), "id").withColumn("visitor", F.lit(False))
+    here = known.withColumn("visit", F.col("block")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     there = known.filter(F.col("joined") != F.col("core")).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(2)), chunks)) \
         .withColumn("visit", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)))
-    met = here.select("cluster", "id", "joined", "items", "visit", "chunk").unionByName(there.select("cluster", "id", "joined", "items", "visit", "chunk"))
-    return links.unionByName(_links_in_units(met.withColumn("unit", F.xxhash64("cluster", "visit", "chunk")), percent))
+    columns = ["cluster", "id", "joined", "visitor", "items", "visit", "chunk"]
+    met = here.select(*columns).unionByName(there.select(*columns))
+    return links.unionByName(_links_in_units(met.withColumn("unit", F.xxhash64("cluster", "visit", "chunk")), percent).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
