@@ -76,7 +76,7 @@ def test_rrf_inner_equals_full_ranking(docs):
 
 def test_any_number_of_queries(spark, monkeypatch):
     """Several blocks, the last one partial: every query gets its rows."""
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 7)
     points = spark.range(30).selectExpr("id row_id", "array(double(id), 0D) v")
     asked = spark.range(24).selectExpr("string(id) query_id", "array(double(id), 0D) vector")
     got = retrieval.knn(points, asked, 1, "row_id", "v").collect()
@@ -134,3 +134,78 @@ def test_vector_stats_and_sample(spark):
     assert (s["min"], s["max"], round(s["sparsity_pct"], 3)) == (-1.0, 1.0, 50.0)
     assert s["l2_norm"] == pytest.approx(np.linalg.norm(np.float32(vec).astype(float)))
     assert df.select(vectors.vector_sample("v", 2).alias("x")).first()["x"] == [1.0, 0.0]
+
+
+def test_a_step_along_a_stored_graph_does_not_shuffle_triples(spark):
+    """Bucketed triples: only the frontier moves, also when it is too large to be broadcast; later loads are found."""
+    schema = "tenant_id string, corpus_id string, row_id string, relationships string"
+    def chunk(k):
+        return ("t", "c", f"r{k}", '[{"source":"e%d","relation":"NEXT","target":"e%d"}]' % (k, (k * 7 + 1) % 500))
+    table, path = "test_triples", work_path(spark, "triples")
+    for load in range(2):
+        graph.store_triples(spark.createDataFrame([chunk(k) for k in range(load * 250, load * 250 + 250)], schema), table, path, 4)
+    triples = spark.table(table)
+    assert triples.count() == 500
+    frontier = spark.createDataFrame([(f"e{k}",) for k in range(40)], "source_entity string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        step = triples.join(frontier, "source_entity", "left_semi")
+        step.collect()
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        edges = graph.hop_edges(triples, ["e1", "e2"], 4)
+        got = {(r["source_entity"], r["hop"]) for r in edges.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    seen, want, level = {1, 2}, set(), [1, 2]
+    for hop in range(1, 5):
+        want |= {(f"e{k}", hop) for k in level}
+        level = sorted({(k * 7 + 1) % 500 for k in level} - seen)
+        seen |= set(level)
+    assert got == want
+    spark.sql(f"DROP TABLE {table}")
+
+
+def test_hot_entities_leave_before_the_shuffle(spark):
+    """One name holds half of all mentions: it is filtered by a bounded broadcast, and the index is that of plain counts."""
+    data = [("t", "c", f"r{k}", ["Everywhere", f"Name{k % 50}", f"Rare{k}"]) for k in range(2000)]
+    chunks = spark.createDataFrame(data, "tenant_id string, corpus_id string, row_id string, entity_names array<string>")
+    index = graph.entity_index(chunks, max_freq=41)
+    assert {(r["entity_name"], r["freq"]) for r in index.collect()} == {(f"Name{k}", 40) for k in range(50)} | {(f"Rare{k}", 1) for k in range(2000)}
+    plan = graph.entity_index(chunks, max_freq=41)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan and "strategy=broadcast" in plan
+
+
+def test_many_queries_meet_shards_of_rows(spark, monkeypatch):
+    """Several thousand queries over several shards and blocks, none of them on the driver."""
+    from tidemark.functions import vectors
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 300)
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 700)
+    draw = np.random.default_rng(4)
+    points, asked = draw.standard_normal((1000, 4)).round(3), draw.standard_normal((3000, 4)).round(3)
+    left = spark.createDataFrame([(str(k), v.tolist()) for k, v in enumerate(points)] + [("none", None), ("short", [1.0])], "row_id string, content_embedding array<double>")
+    right = spark.createDataFrame([(str(k), v.tolist()) for k, v in enumerate(asked)] + [("odd", [1.0, 2.0])], "query_id string, vector array<double>")
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toLocalIterator", None)
+    got = {}
+    for r in retrieval.knn(left, right, 3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["row_id"], r["distance"]))
+    assert len(got) == 3000
+    for q in range(0, 3000, 37):
+        d = np.round(np.sqrt(((points - asked[q]) ** 2).sum(1)), 6)
+        best = sorted((x, str(k)) for k, x in enumerate(d))[:3]
+        assert [(i, x) for _, i, x in sorted(got[str(q)])] == [(i, x) for x, i in best]
+
+
+def test_index_and_plain_chunks_score_alike(spark):
+    draw = random.Random(9)
+    words = [f"w{k}" for k in range(40)]
+    data = [(str(k), " ".join(draw.choices(words, k=draw.randrange(0, 30))), [draw.random(), draw.random()]) for k in range(300)]
+    chunks = spark.createDataFrame(data, "row_id string, content string, content_embedding array<double>")
+    index = retrieval.build_index(chunks, work_path(spark, "index"))
+    queries = [("a", "w1 w2 w39"), ("b", "w7"), ("c", "nothing")]
+    table = spark.createDataFrame(queries, "query_id string, query string")
+    def rows(df):
+        return sorted(tuple(r) for r in df.collect())
+    assert rows(retrieval.bm25(index, queries, 7)) == rows(retrieval.bm25(chunks, queries, 7))
+    assert rows(retrieval.bm25_batch(index, table, 7)) == rows(retrieval.bm25_batch(chunks, table, 7)) != []
+    assert rows(retrieval.rrf_inner(index.rows, "w1 w2", [0.5, 0.5], index=index)) == rows(retrieval.rrf_inner(chunks, "w1 w2", [0.5, 0.5]))

@@ -153,3 +153,25 @@ def test_commits_read_a_bounded_number_of_files(spark, monkeypatch):
     views, chunks = jobs.index_views(spark, out), spark.createDataFrame(data, schema)
     assert rows(views["neighbors"], "src_chunk", "neighbor_chunks") == rows(graph.structural_neighbors(chunks), "src_chunk", "neighbor_chunks")
     assert rows(views["entities"], "entity_name", "freq", "chunk_ids") == rows(graph.entity_index(chunks, 11), "entity_name", "freq", "chunk_ids")
+
+
+def test_percentiles_follow_the_stream(spark):
+    """Five batches: the folded sketches are within the stated bound of the exact ranks, for all minutes and for some."""
+    import bisect
+    schema = "kind string, event_timestamp string, ingest_time timestamp_ntz"
+    data = []
+    for i in range(5000):
+        made = T0 + timedelta(seconds=i)
+        data.append(("a" if i % 3 else "b", made.isoformat(), made + timedelta(milliseconds=(i * 7919) % 5000)))
+    source, out = work_path(spark, "events"), work_path(spark, "sketches")
+    for k in range(5):
+        spark.createDataFrame(data[k::5], schema).coalesce(1).write.mode("append").parquet(source)
+    stream = parquet_stream(spark, source, spark.createDataFrame([], schema).schema, max_files=1)
+    jobs.keep_percentiles(stream, out, ["kind"]).awaitTermination()
+    for first, last in ((None, None), (str(T0 + timedelta(minutes=10)), str(T0 + timedelta(minutes=30)))):
+        for r in jobs.live_percentiles(spark, out, ["kind"], first, last).collect():
+            inside = [d for d in data if d[0] == r["kind"] and (first is None or timedelta(minutes=10) <= d[2] - T0 < timedelta(minutes=31))]
+            waits = sorted(int((d[2] - datetime.fromisoformat(d[1])) / timedelta(milliseconds=1)) for d in inside)
+            assert r["events"] == len(waits) and r["min_ms"] == waits[0]
+            for p, value in zip((0.5, 0.9, 0.95, 0.99, 0.999), r["percentiles"]):
+                assert bisect.bisect_left(waits, value) - 0.01 * len(waits) <= p * len(waits) <= bisect.bisect_right(waits, value) + 0.01 * len(waits) + 1

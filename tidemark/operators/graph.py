@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.session import cut_lineage
+from tidemark.session import work_path
 
 SCOPE = ["tenant_id", "corpus_id"]
+HEAVY = 1024  # bounds the names that are broadcast as too frequent
+BUCKETS = 16  # default buckets of a stored triple table
 TRIPLE_SCHEMA = "array<struct<source:string,relation:string,target:string>>"
 
 
@@ -23,12 +25,17 @@ def entity_index(chunks: DataFrame, max_freq: int = 500, unit: str = "byte") ->
     """Entities with fewer than ``max_freq`` mentions, their chunks and frequency.
 
     Frequencies come first, from partial counts; only the entities that stay are
-    gathered, so a list never exceeds ``max_freq`` ids.
+    gathered, so a list never exceeds ``max_freq`` ids. Mentions of names that hold a
+    ``1/HEAVY`` share of all or more, at most ``HEAVY`` names, are left out before the
+    shuffle, so no hot name gathers in a task.
     """
+    name = SCOPE + ["entity_name"]
     mentions = entity_mentions(chunks, unit=unit)
-    kept = (mentions.groupBy(*SCOPE, "entity_name").agg(F.count("*").alias("freq"))
-            .filter(F.col("freq") < max_freq))
-    return (mentions.join(kept, SCOPE + ["entity_name"])
+    counts = mentions.groupBy(*name).agg(F.count("*").alias("freq"))
+    kept = counts.filter(F.col("freq") < max_freq)
+    total = counts.agg(F.coalesce(F.sum("freq"), F.lit(0))).scalar()
+    heavy = counts.filter((F.col("freq") >= max_freq) & (F.col("freq") * HEAVY >= total)).select(*name)
+    return (mentions.join(F.broadcast(heavy), name, "left_anti").join(kept, name)
             .groupBy(*SCOPE, "entity_name", "freq").agg(F.array_sort(F.collect_set("row_id")).alias("chunk_ids")))
 
 
@@ -45,6 +52,16 @@ def triple_index(chunks: DataFrame) -> DataFrame:
                     F.col("t.relation").alias("relation_type"), F.col("t.target").alias("target_entity")))
 
 
+def store_triples(chunks: DataFrame, table: str, path: str, buckets: int = BUCKETS) -> None:
+    """Add the triples of newly loaded chunks to a table bucketed by source entity; the first load creates it.
+
+    Steps along source entities then join bucket with bucket: the table is not shuffled, only the frontier is.
+    """
+    # The rebalance gathers a bucket's triples in few files and parts those of a hot source.
+    rows = triple_index(chunks).hint("rebalance", "source_entity")
+    rows.write.mode("append").format("parquet").bucketBy(buckets, "source_entity").option("path", path).saveAsTable(table)
+
+
 def neighbour_pairs(chunks: DataFrame, d: int = 2, payload: Sequence[str] = ()) -> DataFrame:
     """Pairs of chunks of one document at most ``d`` positions apart.
 
@@ -121,17 +138,19 @@ def _seed_frame(spark: SparkSession, seeds: Sequence[str] | DataFrame) -> DataFr
 def hop_edges(triples: DataFrame, seeds: Sequence[str] | DataFrame, hops: int = 2) -> DataFrame:
     """All edges met in ``hops`` breadth-first steps along source → target, with their first hop.
 
-    Only the visited node set is carried from hop to hop, on reliable storage;
-    the triple table itself is only ever probed with it.
+    Each hop appends its frontier, the nodes it reaches first, to a stored table; what
+    earlier hops wrote is read, never written again. The triple table is only probed.
     """
-    visited = _seed_frame(triples.sparkSession, seeds).withColumn("hop", F.lit(0))
+    spark, folder = triples.sparkSession, work_path(triples.sparkSession, "visited")
+    _seed_frame(spark, seeds).write.parquet(f"{folder}/hop=0")
     for hop in range(1, hops):
-        frontier = visited.filter(F.col("hop") == hop - 1).select(F.col("entity").alias("source_entity"))
+        frontier = spark.read.parquet(f"{folder}/hop={hop - 1}").withColumnRenamed("entity", "source_entity")
+        seen = spark.read.parquet(*[f"{folder}/hop={h}" for h in range(hop)])
         reached = (triples.join(frontier, "source_entity", "left_semi")
-                   .select(F.col("target_entity").alias("entity")).distinct()
-                   .join(visited, "entity", "left_anti").withColumn("hop", F.lit(hop)))
-        visited = cut_lineage(visited.unionByName(reached))
-    starts = visited.select(F.col("entity").alias("source_entity"), (F.col("hop") + 1).alias("hop"))
+                   .select(F.col("target_entity").alias("entity")).distinct().join(seen, "entity", "left_anti"))
+        reached.write.parquet(f"{folder}/hop={hop}")
+    starts = spark.read.schema("entity string, hop int").parquet(folder).select(
+        F.col("entity").alias("source_entity"), (F.col("hop") + 1).alias("hop"))
     return triples.join(starts, "source_entity").select(
         "source_entity", "relation_type", "target_entity", "chunk_id", "hop")
 

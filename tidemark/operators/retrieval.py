@@ -6,18 +6,17 @@ searched, ``content_embedding``. Query texts and vectors are request parameters.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import text, vectors
 from tidemark.functions.scale import top_per_group
 from tidemark.session import cut_lineage
 
-QUERY_BLOCK = 1000
 SCORE_DIGITS = 6
 MATRIX_CELLS = 4_000_000  # bounds the memory of one matrix in a task
 
@@ -30,21 +29,6 @@ def scoped(chunks: DataFrame, tenant: str | None = None, corpus: str | None = No
     return chunks
 
 
-def query_blocks(queries: DataFrame, payload: str) -> Iterator[list[tuple]]:
-    """All rows of ``(query_id, payload)`` in blocks of at most ``QUERY_BLOCK``, so that any number of queries can be asked.
-
-    The driver holds one block at a time; a task meets one block per scan.
-    """
-    block = []
-    for row in queries.select("query_id", payload).filter(F.col(payload).isNotNull()).toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == QUERY_BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
 def query_vector(queries: DataFrame, query_id: str) -> list[float]:
     """The vector of one query; only its row leaves the table."""
     return [float(x) for x in queries.filter(F.col("query_id") == query_id).select("vector").first()[0]]
@@ -63,26 +47,82 @@ def _saturation(tf: Column, length: Column, mean_length: Column, k1: float, b: f
     return tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * length / mean_length))
 
 
+@dataclass(frozen=True)
+class ChunkIndex:
+    """Chunks as a load leaves them: ``rows`` with their ``tokens``, ``terms (term, df)`` in order, and the corpus totals."""
+
+    rows: DataFrame
+    terms: DataFrame
+    count: int
+    mean_length: float
+
+    def statistics(self, terms: Sequence[str]) -> "Statistics":
+        """Counts of a query's terms; the terms lie in order, so only their files' parts are read."""
+        found = {r["term"]: r["df"] for r in self.terms.filter(F.col("term").isin(list(terms))).collect()} if terms else {}
+        return Statistics(F.lit(float(self.count)), F.lit(self.mean_length), {t: F.lit(float(found.get(t, 0))) for t in terms})
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """Number of chunks, their mean length and the chunks that hold each term, as columns."""
+
+    n: Column
+    mean_length: Column
+    df: dict[str, Column]
+
+
+def build_index(chunks: DataFrame, folder: str) -> ChunkIndex:
+    """Store chunks with tokens, document frequencies and totals below ``folder``."""
+    spark = chunks.sparkSession
+    chunks.withColumn("tokens", text.tokens("content")).write.parquet(f"{folder}/rows")
+    tokens = spark.read.parquet(f"{folder}/rows").select("tokens")
+    (tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+     .orderBy("term").write.parquet(f"{folder}/terms"))
+    tokens.agg(F.count("*").alias("count"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("mean_length")).write.parquet(f"{folder}/totals")
+    return open_index(spark, folder)
+
+
+def open_index(spark: SparkSession, folder: str) -> ChunkIndex:
+    totals = spark.read.parquet(f"{folder}/totals").first()
+    return ChunkIndex(spark.read.parquet(f"{folder}/rows"), spark.read.parquet(f"{folder}/terms"), totals["count"], totals["mean_length"])
+
+
+def _tokens(df: DataFrame) -> Column:
+    return F.col("tokens") if "tokens" in df.columns else text.tokens("content")
+
+
 def _hits(df: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Adds ``_len``, the number of tokens, and ``_hits``, the tokens that are query terms."""
     wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    return df.withColumn("_toks", text.tokens("content")).withColumns({
+    return df.withColumn("_toks", _tokens(df)).withColumns({
         "_len": F.size("_toks"), "_hits": F.filter("_toks", lambda t: F.array_contains(wanted, t))}).drop("_toks")
 
 
-def _scored(rows: DataFrame, counted: DataFrame, per_query: list[tuple[str, list[str]]], terms: list[str], k1: float,
-            b: float) -> DataFrame:
-    """``scores`` of rows with hits, from the statistics of ``counted``, which are one aggregate row."""
-    counts = counted.agg(
+def _with_any(chunks: DataFrame, query: str) -> DataFrame:
+    """Chunks that hold at least one query token."""
+    if "tokens" not in chunks.columns:
+        return chunks.filter(text.match_any("content", query))
+    wanted = F.array(*[F.lit(t) for t in text.query_tokens(query)]).cast("array<string>")
+    return chunks.filter(F.arrays_overlap("tokens", wanted))
+
+
+def _counted(counted: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """One row of statistics from rows with ``_len`` and ``_hits``."""
+    return counted.agg(
         F.count("*").cast("double").alias("n"), F.avg("_len").alias("mean_length"),
         *[F.count_if(F.array_contains("_hits", t)).cast("double").alias(f"df{i}") for i, t in enumerate(terms)])
 
+
+def _model(per_query: list[tuple[str, list[str]]], known: Statistics) -> Column:
+    """Mean length and, by query, the terms with their weights."""
     def weights(words: list[str]) -> Column:
-        return F.array(*[F.struct(F.lit(w).alias("term"), _idf(F.col("n"), F.col(f"df{terms.index(w)}")).alias("idf"))
-                         for w in words])
-    model = counts.select(F.struct(
-        "mean_length", F.array(*[F.struct(F.lit(qid).alias("query_id"), weights(words).alias("terms"))
-                                 for qid, words in per_query]).alias("queries"))).scalar()
+        return F.array(*[F.struct(F.lit(w).alias("term"), _idf(known.n, known.df[w]).alias("idf")) for w in words])
+    return F.struct(known.mean_length.alias("mean_length"), F.array(*[
+        F.struct(F.lit(qid).alias("query_id"), weights(words).alias("terms")) for qid, words in per_query]).alias("queries"))
+
+
+def _scored(rows: DataFrame, model: Column, k1: float, b: float) -> DataFrame:
+    """``scores`` of rows with hits."""
     rows = rows.withColumn("_m", model)
 
     def score(query: Column) -> Column:
@@ -94,134 +134,143 @@ def _scored(rows: DataFrame, counted: DataFrame, per_query: list[tuple[str, list
     return rows.withColumn("scores", scores).drop("_hits", "_len", "_m")
 
 
+def _from_rows(counted: DataFrame, per_query: list[tuple[str, list[str]]], terms: list[str]) -> Column:
+    """The model from counted rows, as a scalar subquery."""
+    known = Statistics(F.col("n"), F.col("mean_length"), {t: F.col(f"df{i}") for i, t in enumerate(terms)})
+    return _counted(counted, terms).select(_model(per_query, known)).scalar()
+
+
 def _terms(queries: Sequence[tuple[str, str]]) -> tuple[list[tuple[str, list[str]]], list[str]]:
     per_query = [(qid, list(dict.fromkeys(text.query_tokens(q)))) for qid, q in queries]
     return per_query, list(dict.fromkeys(t for _, words in per_query for t in words))
 
 
 def with_bm25(chunks: DataFrame, queries: Sequence[tuple[str, str]], k1: float = 1.2, b: float = 0.75,
-              corpus: DataFrame | None = None) -> DataFrame:
+              corpus: DataFrame | ChunkIndex | None = None) -> DataFrame:
     """Chunks with ``scores``: one ``(query_id, score)`` entry per query.
 
     The query terms are parameters, so their counts are array expressions in the
-    scan and the corpus statistics are one aggregate row. Nothing is exploded.
+    scan. The corpus statistics come from a stored index, or are one aggregate row of ``corpus``
+    (``chunks`` by default). Nothing is exploded.
     """
     per_query, terms = _terms(queries)
-    counted = _hits((chunks if corpus is None else corpus).select("content"), terms)
-    return _scored(_hits(chunks, terms), counted, per_query, terms, k1, b)
+    if isinstance(corpus, ChunkIndex):
+        model = _model(per_query, corpus.statistics(terms))
+    else:
+        of = chunks if corpus is None else corpus
+        model = _from_rows(_hits(of.select("tokens" if "tokens" in of.columns else "content"), terms), per_query, terms)
+    return _scored(_hits(chunks, terms), model, k1, b)
 
 
-def bm25(chunks: DataFrame, queries: Sequence[tuple[str, str]], k: int = 5, k1: float = 1.2,
+def bm25(chunks: DataFrame | ChunkIndex, queries: Sequence[tuple[str, str]], k: int = 5, k1: float = 1.2,
          b: float = 0.75) -> DataFrame:
-    """The ``k`` best chunks per query text. Lengths and hits are stored once, for the statistics and the scores."""
+    """The ``k`` best chunks per query text. Without an index, lengths and hits are stored once, for the statistics and the scores."""
     per_query, terms = _terms(queries)
-    hits = cut_lineage(_hits(chunks.select("row_id", "content"), terms).drop("content"))
-    found = _scored(hits.filter(F.size("_hits") > 0), hits, per_query, terms, k1, b)
+    if isinstance(chunks, ChunkIndex):
+        hits = _hits(chunks.rows.select("row_id", "tokens"), terms).drop("tokens")
+        model = _model(per_query, chunks.statistics(terms))
+    else:
+        hits = cut_lineage(_hits(chunks.select("row_id", "content"), terms).drop("content"))
+        model = _from_rows(hits, per_query, terms)
+    found = _scored(hits.filter(F.size("_hits") > 0), model, k1, b)
     # The outer form keeps the optimizer from testing the array's size first, which
     # would compute every score twice.
     scored = found.select("row_id", F.inline_outer("scores")).filter("score > 0")
     return top_per_group(scored, "query_id", [F.desc("score"), F.asc("row_id")], k, ["row_id"], rank="rank")
 
 
-def _matrix_blocks(queries: DataFrame) -> Iterator[list[tuple[str, set[str]]]]:
-    """Query texts as term sets, in blocks whose terms × queries matrix has at most ``MATRIX_CELLS`` cells.
+def bm25_batch(chunks: DataFrame | ChunkIndex, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 for a table of query texts ``(query_id, query)`` of any length: shards of chunks meet blocks of queries.
 
-    A single longer query is a block of its own.
+    Weights come from a join of the queries' terms with the document frequencies, and chunks
+    are first reduced to terms that some query has; no query passes the driver. A cell is a chunk × term matrix multiplied with a term ×
+    query one, and only the ``k`` best chunks per query leave it: frequent terms never multiply postings by queries.
     """
-    block, terms = [], set()
-    for rows in query_blocks(queries, "query"):
-        for qid, query in rows:
-            words = set(text.query_tokens(query))
-            if block and (len(block) + 1) * len(terms | words) > MATRIX_CELLS:
-                yield block
-                block, terms = [], set()
-            block.append((qid, words))
-            terms |= words
-        yield block
-        block, terms = [], set()
-
-
-def bm25_batch(chunks: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 for a table of query texts ``(query_id, query)`` of any length, block by block.
-
-    A chunk keeps only its query tokens, stored once a block. Each Arrow batch becomes a chunk × term
-    matrix that is multiplied with the term × query weights, and only the ``k`` best
-    chunks per query leave the task: frequent terms never multiply postings by queries.
-    """
-    parts = [_bm25_block(chunks, block, k, k1, b) for block in _matrix_blocks(queries)]
-    schema = "query_id string, row_id string, score double"
-    scored = reduce(DataFrame.unionByName, parts) if parts else chunks.sparkSession.createDataFrame([], schema)
+    if isinstance(chunks, ChunkIndex):
+        lengths, frequency = chunks.rows.select("row_id", "tokens"), chunks.terms
+        n, mean = F.lit(float(chunks.count)), chunks.mean_length
+    else:
+        lengths = cut_lineage(chunks.select("row_id", text.tokens("content").alias("tokens")))
+        frequency = lengths.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        totals = lengths.agg(F.count("*").cast("double"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0))).first()
+        n, mean = F.lit(totals[0]), totals[1]
+    words = (queries.filter(F.col("query").isNotNull()).select(F.col("query_id").cast("string").alias("query_id"),
+                                                              F.explode(F.array_distinct(text.tokens("query"))).alias("term")))
+    weighted = (words.join(frequency, "term").withColumn("idf", _idf(n, F.col("df").cast("double")))
+                .groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idfs")))
+    hits = (lengths.select("row_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+            .join(words.select("term").distinct(), "term", "left_semi")
+            .groupBy("row_id", "length").agg(F.collect_list("term").alias("hits")))
+    left, right = vectors.grid(hits, weighted, ["row_id"], "query_id")
+
+    def score(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out = [[], [], []]
+        if rows.num_rows and asked.num_rows:
+            vocabulary, place = np.unique(asked["terms"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+            owner = np.repeat(np.arange(asked.num_rows), asked["terms"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False))
+            idf = asked["idfs"].combine_chunks().flatten().to_numpy()
+            names = asked["query_id"].to_pylist()
+            most = max(1, MATRIX_CELLS // max(1, len(vocabulary)))
+            step = max(1, MATRIX_CELLS // max(len(vocabulary), min(most, len(names))))
+            for first in range(0, len(names), most):
+                inside = (owner >= first) & (owner < first + most)
+                weights = np.zeros((len(vocabulary), min(most, len(names) - first)))
+                weights[place[inside], owner[inside] - first] = idf[inside]
+                for at in range(0, rows.num_rows, step):
+                    part = rows.slice(at, step).combine_chunks()
+                    ids, found = part["row_id"].combine_chunks(), part["hits"].combine_chunks()
+                    tf = np.zeros((part.num_rows, len(vocabulary)))
+                    terms = found.flatten().to_numpy(zero_copy_only=False).astype(str)
+                    row = np.repeat(np.arange(part.num_rows), found.value_lengths().to_numpy(zero_copy_only=False))
+                    column = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+                    known = vocabulary[column] == terms  # other blocks' terms are not this one's
+                    np.add.at(tf, (row[known], column[known]), 1.0)
+                    length = part["length"].to_numpy()
+                    tf = tf * (k1 + 1.0) / (tf + (k1 * (1.0 - b + b * length / mean))[:, None])
+                    scores = np.round(tf @ weights, SCORE_DIGITS)
+                    order_ids = np.asarray(ids.to_pylist())
+                    for q in range(scores.shape[1]):
+                        s = scores[:, q]
+                        keep = np.flatnonzero(s > 0)
+                        if len(keep) > 4 * k:
+                            keep = np.flatnonzero((s > 0) & (s >= -np.partition(-s, k - 1)[k - 1]))
+                        best = keep[np.lexsort((order_ids[keep], -s[keep]))[:k]]
+                        out[0] += [names[first + q]] * len(best)
+                        out[1] += order_ids[best].tolist()
+                        out[2] += s[best].tolist()
+        return pa.table({"query_id": pa.array(out[0], pa.string()), "row_id": pa.array(out[1], pa.string()), "score": pa.array(out[2], pa.float64())})
+
+    cell = ["_shard", "_block"]
+    scored = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(score, "query_id string, row_id string, score double")
     return top_per_group(scored, "query_id", [F.desc("score"), F.asc("row_id")], k, ["row_id"], rank="rank")
 
 
-def _bm25_block(chunks: DataFrame, asked: list[tuple[str, set[str]]], k: int, k1: float, b: float) -> DataFrame:
-    """The ``k`` best rows of every Arrow batch for each query of a block."""
-    terms = sorted(set().union(*(words for _, words in asked)))
-    hits = cut_lineage(chunks.select("row_id", text.tokens("content").alias("_t")).select(
-        "row_id", F.size("_t").alias("length"), F.filter("_t", lambda t: t.isin(*terms)).alias("hits")))
-    totals = hits.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    seen = (hits.select(F.explode(F.array_distinct("hits")).alias("term"))
-            .groupBy("term").agg(F.count("*").alias("df")))
-    frequency = {r["term"]: r["df"] for r in seen.collect()}  # at most one row per term of the block
-    place = {t: i for i, t in enumerate(terms)}
-    df = np.array([frequency.get(t, 0) for t in terms], dtype=np.float64)
-    idf = np.log(1.0 + (totals["n"] - df + 0.5) / (df + 0.5))
-    weights = np.zeros((len(terms), len(asked)))
-    for q, (_, words) in enumerate(asked):
-        for w in words:
-            weights[place[w], q] = idf[place[w]]
-    names, mean, vocabulary = [qid for qid, _ in asked], totals["mean"], np.array(terms)
-
-    slice_rows = max(1, MATRIX_CELLS // max(len(terms), len(asked)))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, slice_rows) for whole in batches for at in range(0, whole.num_rows, slice_rows)):
-            ids, length, found = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
-            tf = np.zeros((batch.num_rows, len(vocabulary)))
-            words = found.flatten().to_numpy(zero_copy_only=False).astype(str)
-            owner = np.repeat(np.arange(batch.num_rows), found.value_lengths().to_numpy(zero_copy_only=False))
-            np.add.at(tf, (owner, np.searchsorted(vocabulary, words)), 1.0)
-            tf = tf * (k1 + 1.0) / (tf + (k1 * (1.0 - b + b * length / mean))[:, None])
-            scores = np.round(tf @ weights, SCORE_DIGITS)
-            order_ids = np.asarray(ids.to_pylist())
-            for q, name in enumerate(names):
-                s = scores[:, q]
-                keep = np.flatnonzero(s > 0)
-                if len(keep) > 4 * k:
-                    keep = np.flatnonzero((s > 0) & (s >= -np.partition(-s, k - 1)[k - 1]))
-                if len(keep):
-                    best = keep[np.lexsort((order_ids[keep], -s[keep]))[:k]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(best), pa.string()), ids.take(pa.array(best)), pa.array(s[best])],
-                        names=["query_id", "row_id", "score"])
-    return hits.filter((F.col("length") > 0) & (F.size("hits") > 0)).mapInArrow(
-        scan, "query_id string, row_id string, score double")
-
-
 def knn(df: DataFrame, queries: Sequence[tuple[str, Sequence[float]]] | DataFrame, k: int = 5, row_id: str = "row_id",
         vector: str = "content_embedding", metric: str = "l2") -> DataFrame:
     """The ``k`` nearest rows per query vector, exact; ``queries`` may be a table ``(query_id, vector)`` of any length."""
-    blocks = query_blocks(queries, "vector") if isinstance(queries, DataFrame) else [list(queries)]
-    found = [vectors.nearest(df, row_id, vector, block, k, metric) for block in blocks if block]
-    if not found:
+    if isinstance(queries, DataFrame):
+        found = vectors.nearest_for_table(df, row_id, vector, queries, k, metric)
+    elif queries:
+        found = vectors.nearest(df, row_id, vector, list(queries), k, metric)
+    else:
         kind = df.schema[row_id].dataType.simpleString()
         return df.sparkSession.createDataFrame([], f"query_id string, {row_id} {kind}, distance double, rank int")
-    return top_per_group(reduce(DataFrame.unionByName, found), "query_id", [F.asc("distance"), F.asc(row_id)], k, [row_id],
-                         rank="rank")
+    return top_per_group(found, "query_id", [F.asc("distance"), F.asc(row_id)], k, [row_id], rank="rank")
 
 
 def hybrid_weighted(chunks: DataFrame, query_text: str, query_vector: Sequence[float], where: Column | None = None,
                     max_distance: float = 0.3, keyword_weight: float = 0.3, vector_weight: float = 0.7,
-                    limit: int = 10) -> DataFrame:
+                    limit: int = 10, index: ChunkIndex | None = None) -> DataFrame:
     """Structured filter, keyword filter, cosine filter, then a weighted score.
 
-    The vector part enters as similarity (1 - distance), so that higher is better.
+    The vector part enters as similarity (1 - distance), so that higher is better. Statistics are those of the stored
+    ``index``, else of all ``chunks``.
     """
     rows = (chunks.filter(where) if where is not None else chunks)
-    matched = rows.filter(text.match_any("content", query_text))
+    matched = _with_any(rows, query_text)
     near = (matched.withColumn("distance", vectors.distance_to("content_embedding", query_vector, "cosine"))
             .filter(F.col("distance") < max_distance))
-    scored = with_bm25(near, [("q", query_text)], corpus=chunks)
+    scored = with_bm25(near, [("q", query_text)], corpus=index or chunks)
     keyword = F.col("scores")[0]["score"]
     total = F.round(keyword * keyword_weight + (1.0 - F.col("distance")) * vector_weight, SCORE_DIGITS)
     return (scored.select("row_id", keyword.alias("keyword_score"), "distance", total.alias("score"))
@@ -229,7 +278,7 @@ def hybrid_weighted(chunks: DataFrame, query_text: str, query_vector: Sequence[f
 
 
 def rrf_inner(chunks: DataFrame, query_text: str, query_vector: Sequence[float], k: int = 60,
-              limit: int = 10) -> DataFrame:
+              limit: int = 10, index: ChunkIndex | None = None) -> DataFrame:
     """Reciprocal rank fusion where both ranks count all matching rows.
 
     A row ranked below ``k + 2·limit`` in both lists cannot reach the result, since
@@ -237,9 +286,9 @@ def rrf_inner(chunks: DataFrame, query_text: str, query_vector: Sequence[float],
     1/(k + limit). So only the heads of the two lists are candidates, and their
     ranks are found by counting the rows before each candidate, without a global sort.
     """
-    matched = chunks.filter(text.match_any("content", query_text))
+    matched = _with_any(chunks, query_text)
     # Three narrow columns of the matching rows, scored once and read several times.
-    rows = cut_lineage(with_bm25(matched, [("q", query_text)], corpus=chunks).select(
+    rows = cut_lineage(with_bm25(matched, [("q", query_text)], corpus=index or chunks).select(
         "row_id", vectors.distance_to("content_embedding", query_vector).alias("distance"),
         (-F.col("scores")[0]["score"]).alias("loss")))
     by_vector, by_text = F.struct("distance", "row_id"), F.struct("loss", "row_id")
@@ -274,13 +323,14 @@ def rrf_outer(vector_list: DataFrame, keyword_list: DataFrame, k: int = 60, miss
     return both.withColumn("rrf", share("vector_rank") + share("bm25_rank"))
 
 
-def search_all(chunks: DataFrame, queries: Sequence[tuple[str, str, Sequence[float]]], k: int = 5,
+def search_all(chunks: DataFrame | ChunkIndex, queries: Sequence[tuple[str, str, Sequence[float]]], k: int = 5,
                depth: int = 20) -> DataFrame:
     """Vector, keyword and hybrid lists of the same queries: ``(query_id, method, rank, row_id, score)``.
 
     The two lists, queries × depth rows each, are stored once, as several branches read them.
     """
-    vector_list = cut_lineage(knn(chunks, [(qid, v) for qid, _, v in queries], depth))
+    rows = chunks.rows if isinstance(chunks, ChunkIndex) else chunks
+    vector_list = cut_lineage(knn(rows, [(qid, v) for qid, _, v in queries], depth))
     keyword_list = cut_lineage(bm25(chunks, [(qid, t) for qid, t, _ in queries], depth))
     fused = top_per_group(rrf_outer(vector_list, keyword_list), "query_id", [F.desc("rrf"), F.asc("row_id")],
                           k, ["row_id"], rank="rank", salts=1)

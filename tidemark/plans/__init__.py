@@ -18,3 +18,11 @@ def all_queries() -> dict:
 
 def all_oracles() -> dict:
     return _merged("oracles")
+
+
+def load(spark, sf: str) -> None:
+    """Build the tables that queries share (stored funnel, triples, chunk index), as loading the data would."""
+    from tidemark.plans import commerce, corpus, retrieval
+    commerce._funnel(spark, sf)
+    corpus._triples(spark, sf)
+    retrieval._index(spark, sf)

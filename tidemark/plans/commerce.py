@@ -8,7 +8,10 @@ from tidemark.functions.fixed_values import FIRST_NAMES_EVEN, FIRST_NAMES_ODD, L
 from tidemark.operators import commerce as E
 from tidemark.plans.register import Registry
 from tidemark.plans.views_sql import sql
+from tidemark.session import work_path
 from tidemark.sources import testmodel as m
+from tidemark.sources.kept import kept
+from tidemark.streaming import jobs
 
 register = Registry()
 HOURS = 24 * 30
@@ -44,7 +47,16 @@ def e2(spark, sf):
 SELECT *, 30 AS period_days, CASE WHEN views > 0 THEN carts / views ELSE 0 END AS view_to_cart_rate,
        CASE WHEN carts > 0 THEN purchases / carts ELSE 0 END AS cart_to_purchase_rate FROM ({_FUNNEL})"""))
 def e3(spark, sf):
-    return E.funnel_rates(E.conversion_funnel(m.clickstream(spark, sf)), days=30)
+    return E.funnel_rates(jobs.funnel_view(spark, _funnel(spark, sf)), days=30)
+
+
+def _funnel(spark, sf):
+    """The stored funnel, loaded with the clickstream as one batch."""
+    def load():
+        folder = work_path(spark, "funnel")
+        jobs.add_to_funnel(m.clickstream(spark, sf), folder, 0)
+        return folder
+    return kept(spark, "funnel", f"{sf}/events.parquet", load)
 
 
 @register("e4_product_ranking", sql("ecommerce", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import text, vectors
@@ -10,8 +12,9 @@ from tidemark.operators import corpus as C, graph as G
 from tidemark.operators.retrieval import scoped
 from tidemark.plans.register import Registry
 from tidemark.plans.views_sql import sql
-from tidemark.session import cut_lineage
+from tidemark.session import work_path
 from tidemark.sources import testmodel as m
+from tidemark.sources.kept import kept
 
 register = Registry()
 
@@ -22,8 +25,12 @@ SEED, SECOND = "Eriner", "Nicht"  # entity names that occur at every scale
 
 
 def _triples(spark, sf):
-    """The stored triple index that the graph queries read."""
-    return cut_lineage(G.triple_index(m.chunks(spark, sf)))
+    """The stored triple table that the graph queries read."""
+    def load():
+        name = f"triples_{uuid.uuid4().hex}"
+        G.store_triples(m.chunks(spark, sf), name, work_path(spark, "triples"))
+        return name
+    return spark.table(kept(spark, "triples", f"{sf}/documents.parquet", load))
 
 
 def _join(column: str, sep: str = "|"):

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tidemark.operators import retrieval as R
 from tidemark.plans.register import Registry
 from tidemark.plans.views_sql import SEP, sql
+from tidemark.session import work_path
 from tidemark.sources import testmodel as m
+from tidemark.sources.kept import kept
 
 register = Registry()
 
@@ -38,6 +40,15 @@ _VECTOR = """, dist AS (SELECT query_id, row_id, round(list_distance(v, q), 6) A
 """
 
 
+def _index(spark, sf):
+    """The stored chunks with tokens, vectors and statistics."""
+    def load():
+        folder = work_path(spark, "chunk-index")
+        R.build_index(m.embedded_chunks(spark, sf), folder)
+        return folder
+    return R.open_index(spark, kept(spark, "chunk_index", sf, load))
+
+
 def _vector(spark, sf, label):
     return R.query_vector(m.query_vectors(spark, sf), label)
 
@@ -51,7 +62,7 @@ def r1(spark, sf):
 
 @register("r2_bm25", sql("chunks", _scores(_TERMS) + _ranked("bm25", "score DESC", 5)))
 def r2(spark, sf):
-    return R.bm25(m.chunks(spark, sf), TEXTS, k=5)
+    return R.bm25(_index(spark, sf), TEXTS, k=5)
 
 
 @register("r2_bm25_batch", sql("chunks", _scores(
@@ -59,7 +70,7 @@ def r2(spark, sf):
     "lambda x: x <> '')) AS term FROM benchmark)") + _ranked("bm25", "score DESC", 3)))
 def r2_batch(spark, sf):
     asked = m.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
-    return R.bm25_batch(m.chunks(spark, sf), asked, k=3)
+    return R.bm25_batch(_index(spark, sf), asked, k=3)
 
 
 @register("r3_knn_l2", sql("query_vectors", """
@@ -76,8 +87,8 @@ SELECT row_id, score AS keyword_score, distance, round(score * 0.3 + (1 - distan
   WHERE query_id = '3' AND content_type = 'text') JOIN bm25 USING (row_id)
 WHERE distance < 0.7 ORDER BY round(score * 0.3 + (1 - distance) * 0.7, 6) DESC, row_id LIMIT 10"""))
 def r4(spark, sf):
-    return R.hybrid_weighted(m.embedded_chunks(spark, sf), "the token", _vector(spark, sf, "3"),
-                             F.col("content_type") == "text", max_distance=0.7)
+    index = _index(spark, sf)
+    return R.hybrid_weighted(index.rows, "the token", _vector(spark, sf, "3"), F.col("content_type") == "text", max_distance=0.7, index=index)
 
 
 @register("r5_rrf_inner", sql("embedded query_vectors", _scores(
@@ -89,7 +100,8 @@ SELECT row_id, vec_rank, bm25_rank, 1.0::DOUBLE / (60 + vec_rank) + 1.0::DOUBLE
          row_number() OVER (ORDER BY score DESC, row_id) AS bm25_rank FROM matched)
 ORDER BY rrf DESC, row_id LIMIT 10"""))
 def r5(spark, sf):
-    return R.rrf_inner(m.embedded_chunks(spark, sf), RRF_TEXT, _vector(spark, sf, RRF_LABEL))
+    index = _index(spark, sf)
+    return R.rrf_inner(index.rows, RRF_TEXT, _vector(spark, sf, RRF_LABEL), index=index)
 
 
 _LISTS = _VECTOR + _scores(_TERMS) + f""", vl AS ({_ranked("dist", "distance", 20)}), kl AS ({_ranked("bm25", "score DESC", 20)}),
@@ -119,18 +131,23 @@ def _queries(spark, sf):
 
 
 def _results(spark, sf):
-    return R.search_all(m.embedded_chunks(spark, sf), _queries(spark, sf))
+    """The lists of R7, stored once for the reports on them."""
+    def load():
+        folder = work_path(spark, "search-all")
+        R.search_all(_index(spark, sf), _queries(spark, sf)).write.parquet(folder)
+        return folder
+    return spark.read.parquet(kept(spark, "search_all", sf, load))
 
 
 @register("r6_rrf_outer", sql("embedded query_vectors", _LISTS + "SELECT * FROM fused"))
 def r6(spark, sf):
-    chunks, asked = m.embedded_chunks(spark, sf), _queries(spark, sf)
-    return R.rrf_outer(R.knn(chunks, [(q, v) for q, _, v in asked], 20), R.bm25(chunks, [(q, t) for q, t, _ in asked], 20))
+    index, asked = _index(spark, sf), _queries(spark, sf)
+    return R.rrf_outer(R.knn(index.rows, [(q, v) for q, _, v in asked], 20), R.bm25(index, [(q, t) for q, t, _ in asked], 20))
 
 
 @register("r7_search_all", sql("embedded query_vectors", _LISTS + "SELECT * FROM results"))
 def r7(spark, sf):
-    return _results(spark, sf)
+    return R.search_all(_index(spark, sf), _queries(spark, sf))
 
 
 @register("r8_compare_rankings", sql("embedded query_vectors", _LISTS + """

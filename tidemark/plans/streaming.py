@@ -152,6 +152,23 @@ def s8(spark, sf):
     return found.withColumns({p: F.round(p, 6) for p in ("p50", "p90", "p95", "p99", "p999")})
 
 
+@register("s8_live_percentiles", sql("bench_events", """
+SELECT event_type, count(*) AS events, min(event_id % 1000 + 200) AS min_ms, true AS within_bound FROM bench_events GROUP BY 1"""))
+def s8_live(spark, sf):
+    """Sketches of a stream, folded; each percentile's true rank must lie within 1 % of the asked one."""
+    folder = work_path(spark, "s8")
+    jobs.keep_percentiles(m.bench_events_from_events(_stream(spark, sf, "events")), folder, ["event_type"]).awaitTermination()
+    live = jobs.live_percentiles(spark, folder, ["event_type"])
+    rows = S.event_latency(m.bench_events(spark, sf)).groupBy("event_type", "lat_ms").agg(F.count("*").alias("n"))
+    asked = live.select("event_type", "events", "min_ms", F.posexplode("percentiles").alias("place", "value"))
+    ranked = rows.join(asked, "event_type").groupBy("event_type", "events", "min_ms", "place").agg(
+        F.sum(F.when(F.col("lat_ms") < F.col("value"), F.col("n")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("lat_ms") <= F.col("value"), F.col("n")).otherwise(0)).alias("upto"))
+    share = F.element_at(F.array(*[F.lit(p) for p in S.PROBS]), F.col("place") + 1) * F.col("events")
+    near = (F.col("below") <= share + 0.01 * F.col("events")) & (F.col("upto") >= share - 0.01 * F.col("events"))
+    return ranked.groupBy("event_type", "events", "min_ms").agg(F.bool_and(near).alias("within_bound"))
+
+
 @register("s9_steady_state", """
 SELECT count(*) AS landed, count(*) AS produced, true AS is_steady FROM events""")
 def s9(spark, sf):

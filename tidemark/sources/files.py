@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import SparkSession
@@ -43,3 +44,16 @@ def names(spark: SparkSession, folder: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> None:
     at, fs = _opened(spark, path)
     fs.delete(at, True)
+
+
+def signature(spark: SparkSession, path: str) -> str:
+    """Changes when a file at or below the path changes: names, sizes and times."""
+    at, fs = _opened(spark, path)
+    found, todo = [], [at]
+    while todo:
+        for s in fs.listStatus(todo.pop()):
+            if s.isDirectory():
+                todo.append(s.getPath())
+            else:
+                found.append(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()

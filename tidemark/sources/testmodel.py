@@ -247,8 +247,11 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bench_events(spark: SparkSession, sf: str) -> DataFrame:
+    return bench_events_from_events(table(spark, sf, "events"))
+
+
+def bench_events_from_events(e: DataFrame) -> DataFrame:
     """Events with their creation time as text and a load time in milliseconds."""
-    e = table(spark, sf, "events")
     delay = (F.col("event_id") % 1000 + 200).cast("int")
     loaded = F.date_trunc("millisecond", F.timestamp_add("MILLISECOND", delay, F.col("ts"))).cast("timestamp_ntz")
     return e.select(

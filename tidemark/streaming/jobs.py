@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.fixed_values import FUNNEL_LABELS
-from tidemark.operators import graph, ingest, traces
+from tidemark.operators import graph, ingest, latency, traces
 from tidemark.operators.digests import FAN_BITS, DigestTree, RangedTable
 from tidemark.sources import files
 from tidemark.sources.parted import LevelledTable, PartedTable
@@ -380,6 +380,41 @@ def compact(spark: SparkSession, folder: str, base: DataFrame, path: str, key: s
     return spark.read.parquet(path)
 
 
+def _sketches(spark: SparkSession, folder: str, keys: Sequence[str]) -> LevelledTable:
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys, "minute").agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.min("least").alias("least"))
+    return LevelledTable(spark, f"{folder}/sketches", fold)
+
+
+def keep_percentiles(events: DataFrame, folder: str, keys: Sequence[str], at: str = "ingest_time", size: int = 800,
+                     every: str | None = None) -> StreamingQuery:
+    """Latency sketches by key and minute of ``at``, merged level by level; ``live_percentiles`` folds those of any span.
+
+    ``size`` is the sketch's k: ranks are off by at most about 2.3 / k of the rows with 99 % probability, 0.3 % for 800.
+    """
+    def save(df: DataFrame, batch_id: int) -> None:
+        timed = latency.event_latency(df).filter(F.col("lat_ms").isNotNull())
+        minute = F.date_trunc("minute", at).cast("timestamp_ntz").alias("minute")
+        made = timed.groupBy(*keys, minute).agg(F.kll_sketch_agg_double(F.col("lat_ms").cast("double"), F.lit(size)).alias("sketch"),
+                                                F.min("lat_ms").alias("least"))
+        _sketches(df.sparkSession, folder, keys).add(made, batch_id)
+    return _start(events, folder, every).foreachBatch(save).start()
+
+
+def live_percentiles(spark: SparkSession, folder: str, keys: Sequence[str], first=None, last=None,
+                     probs: Sequence[float] = latency.PROBS) -> DataFrame:
+    """Approximate percentiles of the minutes from ``first`` to ``last`` (all by default): ``percentiles, min_ms, events``."""
+    rows = _sketches(spark, folder, keys).read()
+    if first is not None:
+        rows = rows.filter(F.col("minute") >= ingest.instant(first))
+    if last is not None:
+        rows = rows.filter(F.col("minute") <= ingest.instant(last))
+    whole = rows.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("_s"), F.min("least").alias("min_ms"))
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    return whole.select(*keys, F.kll_sketch_get_quantile_double("_s", wanted).alias("percentiles"), "min_ms",
+                        F.kll_sketch_get_n_double("_s").alias("events"))
+
+
 def split_by_partition(events: DataFrame, folder: str, as_of, back: int = 7, ahead: int = 3,
                        every: str | None = None) -> StreamingQuery:
     """Rows of existing day partitions are stored, others go to a reject table; the stream never stops for them."""
