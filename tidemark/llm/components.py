@@ -1,4 +1,4 @@
-"""Connected components of a link table by alternating star contraction."""
+"""Connected components of a link table: links around a vertex meet and contract, until all are stars."""
 
 from __future__ import annotations
 
@@ -29,13 +29,20 @@ def _forest(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["u", "v"])
 
 
-SALTS = 8  # shares of a vertex's links in the joins
+SALTS = 8  # tasks over which the links that point at one vertex are dealt
+LINKS = 100_000  # links of one task, on average
 
 
-def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """Edges with their ``u``'s row of ``least``; a vertex of very many links is dealt over ``SALTS`` tasks."""
-    dealt = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(dealt.hint("merge"), ["u", "salt"]).drop("salt")
+def _meet(edges: DataFrame) -> DataFrame:
+    """Links so dealt over tasks that those from a vertex meet all those that point at it; each task keeps a forest of its own.
+
+    Links that point at a vertex are shared out by their other end, those that start from it go to every share.
+    """
+    spark = edges.sparkSession
+    out = edges.select("u", "v", F.col("u").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    into = edges.select("u", "v", F.col("v").alias("at"), F.pmod(F.xxhash64("u"), F.lit(SALTS)).alias("salt"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() * (SALTS + 1) // LINKS))
+    return out.unionByName(into).repartition(tasks, "at", "salt").select("u", "v").mapInArrow(_forest, "u long, v long").distinct()
 
 
 def _all_stars(edges: DataFrame) -> bool:
@@ -49,23 +56,15 @@ def _all_stars(edges: DataFrame) -> bool:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``vertex, component_id`` for every vertex that some link ``a - b`` touches; the id is the least vertex reached.
 
-    Each round points a vertex's larger neighbours, then its smaller ones, at the least neighbour; minima combine before
-    the shuffle, and the joins deal a vertex's links over several tasks. Rounds are written to the shared folder and end
+    In each round the links around every vertex meet in a task, which points all it connects at the least of them, so chains shorten by
+    half; a vertex of very many links is dealt over several tasks. Rounds are written to the shared folder and end
     when all links are stars. Links with a null end or of a vertex to itself say nothing.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")) \
         .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     edges = common.scratch(edges.mapInArrow(_forest, "u long, v long").distinct(), "links")
     while not _all_stars(edges):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        larger = (_met(both, least).filter((F.col("v") > F.col("u")) & (F.col("v") != F.col("m")))
-                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        first = larger.groupBy("u").agg(F.min("v").alias("m"))
-        smaller = (_met(larger, first)
-                   .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-                   .select("e.u", "e.v").filter("u != v").distinct())
-        after = common.scratch(smaller, "links")
+        after = common.scratch(_meet(edges), "links")
         common.drop_scratch(edges)
         edges = after
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component_id")).unionByName(

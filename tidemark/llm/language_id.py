@@ -68,21 +68,26 @@ def contexts(starts: np.ndarray, symbols: np.ndarray, size: int) -> np.ndarray:
     return code
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
-        rows_per_lang: int = 150, bytes_per_lang: int = 1_000_000) -> LanguageModel:
-    """Learn from a bounded sample of labelled rows: per language at most ``rows_per_lang`` whole texts, in the order of
-    the id's hash, until ``bytes_per_lang`` bytes are reached; texts longer than that come after all others. Rows with a null or empty text, a null label or
-    a null id are not used and count for nothing. Without labelled rows the model knows no language."""
+def _drawn(docs: DataFrame, text: str, lang: str, doc_id: str, rows_per_lang: int, bytes_per_lang: int, skip: int = 0) -> list:
+    """``lang, text`` of the rows that ``fit`` learns from, or of those that follow the first ``skip`` of a language."""
     labelled = docs.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")) \
         .filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.octet_length("text") > 0))
     # Not negative; the highest bit in use tells a text that alone exceeds the sample.
     draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(10)), 2) + F.when(F.octet_length("text") > bytes_per_lang, 2**62).otherwise(0)
-    near = common.least_draws(labelled.withColumn("draw", draw), "lang", "draw", rows_per_lang)
+    near = common.least_draws(labelled.withColumn("draw", draw), "lang", "draw", skip + rows_per_lang)
     order = Window.partitionBy("lang").orderBy("draw", "id", "text")
+    placed = near.withColumn("place", F.row_number().over(order)).filter((F.col("place") > skip) & (F.col("place") <= skip + rows_per_lang))
     before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    picked = (near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows_per_lang)
-              .withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < bytes_per_lang)
-              .orderBy("lang", "place").select("lang", "text").collect())
+    return (placed.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < bytes_per_lang)
+            .orderBy("lang", "place").select("lang", "text").collect())
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
+        rows_per_lang: int = 150, bytes_per_lang: int = 1_000_000) -> LanguageModel:
+    """Learn from a bounded sample of labelled rows: per language at most ``rows_per_lang`` whole texts, in the order of
+    the id's hash, until ``bytes_per_lang`` bytes are reached; texts longer than that come after all others. Rows with a null or empty text, a null label or
+    a null id are not used and count for nothing. Without labelled rows the model knows no language."""
+    picked = _drawn(docs, text, lang, doc_id, rows_per_lang, bytes_per_lang)
     if not picked:
         return LanguageModel([], np.zeros(256, np.int64), 2, [], [])
     taken: dict[str, list[bytes]] = {}
@@ -141,6 +146,25 @@ def scorer(model: LanguageModel) -> Callable[[pa.Array], tuple[pa.Array, pa.Arra
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[[*range(65, 91), *range(97, 123)]] = 1
 
+#: Bits that a text may cost beyond its language's rate: its start, which no context foretells.
+START_BITS = 64
+
+
+def limits(model: LanguageModel, docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows_per_lang: int = 150,
+           bytes_per_lang: int = 1_000_000, share: float = 0.99, factor: float = 1.5, least: int = 20) -> dict[str, float]:
+    """Bits a byte beyond which a text is hardly of its language: ``factor`` times the ``share`` quantile of labelled texts that ``fit``,
+    called with the same numbers, did not learn from. A language with fewer than ``least`` such texts has no limit."""
+    rows = _drawn(docs, text, lang, doc_id, rows_per_lang, bytes_per_lang, skip=rows_per_lang)
+    if not rows or not model.langs:
+        return {}
+    found, _, rates = (a.to_pylist() for a in scorer(model)(pa.array([r["text"] for r in rows], pa.string())))
+    by_lang: dict[str, list[float]] = {}
+    for r, name, rate in zip(rows, found, rates):
+        if name == r["lang"]:
+            by_lang.setdefault(name, []).append(max(0.0, rate - START_BITS / len(r["text"].encode("utf-8", "replace"))))
+    return {name: factor * float(np.quantile(v, share)) for name, v in by_lang.items() if len(v) >= least}
+
+
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
           T.StructField("bits_per_byte", T.DoubleType())]
 

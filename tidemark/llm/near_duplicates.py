@@ -290,7 +290,7 @@ def _roots(ids: Sequence[int], links: list[tuple[int, int]]) -> dict[int, int]:
 
 
 def _links_in_units(rows: DataFrame, percent: int) -> DataFrame:
-    """``a, b, label``: links between rows ``unit, cluster, id, joined, visitor, items`` of one unit and cluster, label false.
+    """``a, b, label, cluster``: links between rows ``unit, cluster, id, joined, visitor, items`` of one unit and cluster, label false.
 
     Where a cluster has visitors, every row ``a`` also gets a label ``b``, equal for rows that are certainly connected in all
     units: that of a visitor it reaches, else the least id it reaches.
@@ -301,7 +301,7 @@ def _links_in_units(rows: DataFrame, percent: int) -> DataFrame:
         visitors = table["visitor"].to_numpy()
         items = table["items"]
         links: list[tuple[int, int]] = []
-        labels: dict[int, int] = {}
+        labels: dict[int, tuple[int, int]] = {}
         bounds = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1], [True]])) if len(ids) else [0]
         for start, stop in zip(bounds[:-1], bounds[1:]):
             _, rows_kept = np.unique(ids[start:stop], return_index=True)
@@ -317,13 +317,14 @@ def _links_in_units(rows: DataFrame, percent: int) -> DataFrame:
                 for x in named:
                     best[reached[x]] = min(best.get(reached[x], label[x]), label[x])
                 for x in here:
-                    labels[x] = label[x] if x in label else best.get(reached[x], reached[x])
+                    labels[x] = label[x] if x in label else best.get(reached[x], reached[x]), int(owners[start])
         common.give_back()
-        pairs = links + list(labels.items())
+        pairs = links + [(x, y) for x, (y, _) in labels.items()]
         return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64()),
-                         "label": pa.array([False] * len(links) + [True] * len(labels), pa.bool_())})
+                         "label": pa.array([False] * len(links) + [True] * len(labels), pa.bool_()),
+                         "cluster": pa.array([None] * len(links) + [c for _, c in labels.values()], pa.int64())})
 
-    return rows.select("unit", "cluster", "id", "joined", "visitor", "items").groupBy("unit").applyInArrow(confirm, "a long, b long, label boolean")
+    return rows.select("unit", "cluster", "id", "joined", "visitor", "items").groupBy("unit").applyInArrow(confirm, "a long, b long, label boolean, cluster long")
 
 
 def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: int, text: str, doc_id: str) -> DataFrame:
@@ -335,33 +336,31 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: i
     """
     visitors = F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(VISITORS)]))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), visitors.alias("visitors"))
-    members = clusters.join(sizes, "cluster").withColumns({"joined": F.col("id"), "visitor": F.lit(False)})
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = _with_sets(docs, members.filter(F.col("n") <= BLOCK).select("id", "cluster", "joined", "visitor"), width, text, doc_id)
-    links = _links_in_units(small.withColumn("unit", F.pmod(F.xxhash64("cluster"), F.lit(buckets))), percent).select("a", "b")
-    if sizes.filter(F.col("n") > BLOCK).isEmpty():
-        return links
     blocks = F.ceil(F.col("n") / BLOCK)
-    large = members.filter(F.col("n") > BLOCK).withColumns({
-        "block": F.pmod(F.xxhash64("id"), blocks), "visitor": F.array_contains("visitors", F.col("id"))})
-    sets = common.scratch(_with_sets(docs, large.select("id", "cluster", "joined", "visitor", "n", "block"), width, text, doc_id), "sets")
+    members = common.scratch(clusters.join(sizes, "cluster").select(
+        "id", "cluster", F.col("id").alias("joined"), (F.array_contains("visitors", F.col("id")) & (F.col("n") > BLOCK)).alias("visitor"), "n",
+        F.pmod(F.xxhash64("id"), blocks).alias("block")), "members")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = _with_sets(docs, members, width, text, doc_id)
+    together = F.pmod(F.xxhash64("cluster"), F.lit(buckets))
+    if members.filter(F.col("n") > BLOCK).isEmpty():
+        return _links_in_units(sets.withColumn("unit", together), percent).select("a", "b")
+    sets = common.scratch(sets, "sets")
     visits = F.when(F.col("visitor"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array("block"))
-    first = sets.withColumn("visit", F.explode(visits)).withColumn("unit", F.xxhash64("cluster", "visit"))
-    near = common.scratch(_links_in_units(first, percent), "near")
-    links = links.unionByName(near.filter("NOT label").select("a", "b"))
-    parts = near.filter("label").select(F.col("a").alias("id"), F.col("b").alias("part")).groupBy("id").agg(F.min("part").alias("part"))
-    placed = sets.select("id", "cluster").distinct().join(parts.hint("merge"), "id")
-    counted = placed.groupBy("cluster", "part").count()
-    core = counted.groupBy("cluster").agg(F.max(F.struct("count", "part"))["part"].alias("core"),
-                                          (F.sum("count") - F.max("count")).alias("left")).filter(F.col("left") > 0)
-    open_ = common.scratch(placed.join(core, "cluster").select("id", F.col("part").alias("joined"), "core", "left"), "open")
+    unit = F.when(F.col("n") > BLOCK, F.xxhash64("cluster", "visit")).otherwise(together)
+    near = common.scratch(_links_in_units(sets.withColumn("visit", F.explode(visits)).withColumn("unit", unit), percent), "near")
+    links = near.filter("NOT label").select("a", "b")
+    parts = near.filter("label").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("part"), F.min("cluster").alias("cluster"))
+    core = parts.groupBy("cluster", "part").count().groupBy("cluster").agg(
+        F.max(F.struct("count", "part"))["part"].alias("core"), (F.sum("count") - F.max("count")).alias("left")).filter(F.col("left") > 0)
+    open_ = common.scratch(parts.join(core, "cluster").select("id", F.col("part").alias("joined"), "core", "left"), "open")
     if open_.isEmpty():
         return links
     chunks = F.ceil(F.col("left") / BLOCK)
     known = sets.drop("joined", "visitor").join(open_.hint("merge"), "id").withColumn("visitor", F.lit(False))
     here = known.withColumn("visit", F.col("block")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     there = known.filter(F.col("joined") != F.col("core")).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(2)), chunks)) \
-        .withColumn("visit", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)))
+        .withColumn("visit", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     columns = ["cluster", "id", "joined", "visitor", "items", "visit", "chunk"]
     met = here.select(*columns).unionByName(there.select(*columns))
     return links.unionByName(_links_in_units(met.withColumn("unit", F.xxhash64("cluster", "visit", "chunk")), percent).select("a", "b"))
