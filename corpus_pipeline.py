@@ -14,10 +14,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import common, language_id, near_duplicates, packing, pseudonyms, substring_dedup
 
-#: A document stays if its language is at least as likely as all others together.
-LEAST_SCORE = 0.5
-
-
 def _with_text(docs: DataFrame, made: DataFrame) -> DataFrame:
     """The columns of ``docs`` from ``made``, with ``n_chars`` of the new text."""
     if "n_chars" in docs.columns:
@@ -26,11 +22,18 @@ def _with_text(docs: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter. ``LEAST_SCORE`` rejects hardly any other: for texts of more than a few words the score is about 1."""
-    model = language_id.fit(docs.filter(~common.held_out("doc_id")))
+    """Documents with a letter whose best language explains them: at most the bits a byte that held-back labelled texts of that language
+    lead to expect, with a margin (``language_id.limits``). Noise and languages that no label names go."""
+    labelled = docs.filter(~common.held_out("doc_id"))
+    model = language_id.fit(labelled)
+    limits = language_id.limits(model, labelled)
     aside = {f.name: f"_documents_{f.name}" for f in language_id.FIELDS if f.name in docs.columns}
     found = language_id.identify(docs.withColumnsRenamed(aside), model)
-    kept = found.filter((F.col("lang_pred") != language_id.NONE) & (F.col("score") >= LEAST_SCORE))
+    limit = F.lit(None).cast("double")
+    for name, bits in limits.items():  # one entry a learned language
+        limit = F.when(F.col("lang_pred") == name, bits).otherwise(limit)
+    rate = F.col("bits_per_byte") - language_id.START_BITS / F.octet_length("text")
+    kept = found.filter((F.col("lang_pred") != language_id.NONE) & F.coalesce(rate <= limit, F.lit(True)))
     return kept.drop(*[f.name for f in language_id.FIELDS]).withColumnsRenamed({b: a for a, b in aside.items()}).select(*docs.columns)
 
 
@@ -65,8 +68,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each result written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other, each result written as Parquet and read again; what a stage has read is then deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = common.scratch(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            common.drop_scratch(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
