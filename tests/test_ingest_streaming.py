@@ -208,3 +208,23 @@ def test_absent_vectors_stay_null(spark, tmp_path):
     path.write_text(json.dumps([{"row_id": "a", "content_embedding": [1.0, 2.0]}, {"row_id": "b"}, {"row_id": "c", "content_embedding": []}]))
     loaded = ingest.load_chunks(spark, str(path), "t", "c")
     assert rows(loaded, "row_id", "content_embedding") == [("a", [1.0, 2.0]), ("b", None), ("c", None)]
+
+
+def test_a_load_stops_at_the_first_refused_batch(spark):
+    schema = "batch long, status string, loaded_rows long, filtered_rows long, load_bytes long"
+    rows_ = [(1, "Success", 10, 1, 100), (2, "Publish Timeout", 20, 0, 200), (3, "Fail", 5, 5, 50), (4, "Success", 7, 0, 70)]
+    reports = spark.createDataFrame(rows_, schema)
+    assert tuple(ingest.load_outcome(reports).first()) == (2, 30, 1, 300, 3)
+    assert tuple(ingest.load_outcome(reports.filter("batch <> 3")).first()) == (3, 37, 1, 370, None)
+    assert tuple(ingest.load_outcome(reports.withColumn("status", F.lit(None).cast("string"))).first()) == (0, 0, 0, 0, 1)
+    assert tuple(ingest.load_outcome(reports.limit(0)).first()) == (0, 0, 0, 0, None)
+
+
+def test_array_dumps_load_in_many_files(spark):
+    chunks = spark.createDataFrame([(f"r{k}", f'te"xt {k}\n', ["a", "b"], k) for k in range(95)], "row_id string, content string, entity_names array<string>, chunk_index int")
+    folder = work_path(spark, "arrays")
+    ingest.write_chunk_arrays(chunks, folder, rows_per_file=10)
+    loaded = ingest.load_chunks(spark, folder, "t", "c")
+    assert len(ingest.read_chunk_files(spark, folder).inputFiles()) == 10
+    assert rows(loaded, "row_id", "content", "chunk_index") == rows(chunks, "row_id", "content", "chunk_index")
+    assert ingest.load_chunks(spark, folder, "u", "c", target=loaded) is loaded

@@ -15,6 +15,8 @@ from tidemark.functions import times
 from tidemark.sources.parted import PartedTable
 
 FAST, NORMAL, IDLE = 5000, 1000, 500
+#: States after which a load goes on.
+LOAD_ACCEPTED = ("Success", "Publish Timeout")
 
 
 def fill_sync_nulls(df: DataFrame) -> DataFrame:
@@ -246,6 +248,18 @@ def chunk_defaults(raw: DataFrame, tenant: str, corpus: str) -> DataFrame:
         F.coalesce("page_number", F.lit(0)).alias("page_number"))
 
 
+def write_chunk_arrays(chunks: DataFrame, path: str, rows_per_file: int = 500) -> None:
+    """Chunk dumps in the array form, one JSON array of at most about ``rows_per_file`` rows a file.
+
+    An array is one task's when it is read, so a dump of many small files loads in parallel.
+    """
+    files = F.greatest(F.lit(1), F.ceil(chunks.agg(F.count("*")).scalar() / rows_per_file))
+    dealt = chunks.select(F.pmod(F.xxhash64("row_id"), files).alias("_file"), F.to_json(F.struct("*")).alias("_row"))
+    arrays = dealt.groupBy("_file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("_row"), ","), F.lit("]")).alias("value"))
+    # One line a partition folder, hence one array a file.
+    arrays.write.partitionBy("_file").text(path)
+
+
 def load_chunks(spark: SparkSession, path: str, tenant: str, corpus: str, json_array: bool = True,
                 target: DataFrame | None = None) -> DataFrame:
     """Load chunk files; a target that already has rows is returned unchanged."""
@@ -264,6 +278,19 @@ def load_report(rows: DataFrame, batch: str, valid: Column, payload: Column) ->
         F.grouping("batch").cast("int").alias("is_total"))
 
 
+def load_outcome(reports: DataFrame, accepted: Sequence[str] = LOAD_ACCEPTED) -> DataFrame:
+    """What a load of batches ``(batch, status, loaded_rows, filtered_rows, load_bytes)`` came to: it goes on over accepted
+    states and stops at the first other one, whose batch is ``failed_batch`` (null after a whole load).
+
+    Batches run in the order of ``batch``; only those before the stop count. A null status stops the load.
+    """
+    refused = ~F.coalesce(F.col("status").isin(*accepted), F.lit(False))
+    failed = reports.filter(refused).agg(F.min("batch")).scalar()
+    counted = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("loaded_rows", "filtered_rows", "load_bytes")]
+    done = reports.withColumn("_failed", failed).filter(F.col("_failed").isNull() | (F.col("batch") < F.col("_failed")))
+    return done.agg(F.count("*").alias("batches"), *counted).withColumn("failed_batch", failed)
+
+
 def write_partitioned(df: DataFrame, path: str, ts: str, mode: str = "append") -> None:
     """Write by day; rows of a day are gathered into few files through AQE's rebalance."""
     daily = df.withColumn("event_date", F.to_date(ts)).hint("rebalance", "event_date")

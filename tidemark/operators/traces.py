@@ -127,7 +127,7 @@ def trace_search(spans: DataFrame, service: str | None = None, operation: str |
         per_trace = per_trace.filter(F.col("_bounded") >= low)
     if high > 0:
         per_trace = per_trace.filter(F.col("_bounded") <= high)
-    roots = (spans.filter(is_root() & span_filter(service, operation))
+    roots = (spans.filter(is_root() & span_filter(service, operation)).join(chosen, "trace_id", "left_semi")
              .groupBy("trace_id", F.col("span_name").alias("operation"), F.col("service_name").alias("root_service"))
              .agg(F.count("*").alias("_copies")))
     # One narrow row per trace and root, stored once for the page and the total.

@@ -10,7 +10,7 @@ from tidemark.operators.digests import RangedTable
 from tidemark.plans.commerce import _legacy_items
 from tidemark.plans.register import Registry
 from tidemark.plans.views_sql import sql
-from tidemark.session import work_path
+from tidemark.session import cut_lineage, work_path
 from tidemark.sources import testmodel as m
 from tidemark.sources.parted import PartedTable
 
@@ -199,6 +199,45 @@ def w10(spark, sf):
                          F.size("neighbor_ids").alias("n_neighbors"), "doc_id", "chunk_index", "page_number")
 
 
+_LOADED = """
+SELECT row_id, coalesce(nullif(content_type, 'table'), 'text') AS content_type, content, doc_id, chunk_index,
+  CASE WHEN len(entity_names) = 0 THEN '[]' ELSE '[{"source":"' || entity_names[1] || '"}]' END AS relationships FROM chunks"""
+
+
+@register("w10_load_arrays", sql("chunks", _LOADED))
+def w10_arrays(spark, sf):
+    """The array form, in files of bounded size; a second load leaves the loaded table as it is."""
+    first = F.struct(F.element_at("entity_names", 1).alias("source"))
+    dump = m.chunks(spark, sf).select(
+        "row_id", F.nullif(F.col("content_type"), F.lit("table")).alias("content_type"), "content", "entity_names",
+        F.when(F.size("entity_names") > 0, F.array(first)).alias("relationships"), "doc_id", "chunk_index")
+    folder = work_path(spark, "chunk-arrays")
+    W.write_chunk_arrays(dump, folder)
+    loaded = cut_lineage(W.load_chunks(spark, folder, "acme", "manual"))
+    again = W.load_chunks(spark, folder, "other", "manual", target=loaded)
+    return again.filter("tenant_id = 'acme'").select("row_id", "content_type", "content", "doc_id", "chunk_index", "relationships")
+
+
+_BATCHES = """, batches AS (SELECT TRY_CAST(regexp_extract(value, '"user_id":([0-9]+)', 1) AS BIGINT) // 64 AS batch, value FROM clickstream_json),
+reports AS (SELECT batch, CASE WHEN batch % 5 = 4 THEN 'Publish Timeout' WHEN batch >= 7 THEN 'Fail' ELSE 'Success' END AS status,
+  count(*) FILTER (json_valid(value)) AS loaded_rows, count(*) FILTER (NOT json_valid(value)) AS filtered_rows,
+  CAST(sum(strlen(value)) AS BIGINT) AS load_bytes FROM batches WHERE batch IS NOT NULL GROUP BY 1),
+stop AS (SELECT min(batch) AS failed_batch FROM reports WHERE status NOT IN ('Success', 'Publish Timeout'))
+"""
+
+
+@register("w11_load_outcome", sql("clickstream_json", _BATCHES + """
+SELECT count(*) AS batches, CAST(coalesce(sum(loaded_rows), 0) AS BIGINT) AS loaded_rows, CAST(coalesce(sum(filtered_rows), 0) AS BIGINT) AS filtered_rows,
+  CAST(coalesce(sum(load_bytes), 0) AS BIGINT) AS load_bytes, any_value(failed_batch) AS failed_batch
+FROM reports, stop WHERE failed_batch IS NULL OR batch < failed_batch"""))
+def w11_outcome(spark, sf):
+    number = F.regexp_extract("value", '"user_id":([0-9]+)', 1).try_cast("long")
+    rows = m.clickstream_json(spark, sf).withColumn("batch", F.floor(number / 64).cast("long")).filter("batch IS NOT NULL")
+    report = W.load_report(rows, "batch", F.try_parse_json("value").isNotNull(), F.col("value")).filter("is_total = 0")
+    status = F.when(F.col("batch") % 5 == 4, "Publish Timeout").when(F.col("batch") >= 7, "Fail").otherwise("Success")
+    return W.load_outcome(report.withColumn("status", status))
+
+
 @register("w11_load_report", sql("clickstream_json", """
 SELECT event_type AS batch, count(*) AS total_rows, count(*) FILTER (json_valid(value)) AS loaded_rows,
   count(*) FILTER (NOT json_valid(value)) AS filtered_rows, CAST(sum(strlen(value)) AS BIGINT) AS load_bytes,
