@@ -87,3 +87,12 @@ PRODUCT_CATALOGUE = [
     ("Women's Accessories", "Scarf - printed"),
     ("Women's Accessories", "Watch - rose gold"),
 ]
+
+# Fixed values of the explanations of ranks and scores: the rank and the insight rank of an absent row, the best ranks,
+# the near ranks, and the margin and floor of scores.
+ABSENT_RANK = 999
+ABSENT_INSIGHT_RANK = 99
+BEST_RANKS = 2
+NEAR_RANKS = 3
+STRONG_MARGIN = 0.15
+KEYWORD_FLOOR = 0.7

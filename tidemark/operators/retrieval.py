@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import text, vectors
+from tidemark.functions.fixed_values import ABSENT_INSIGHT_RANK, ABSENT_RANK, BEST_RANKS, KEYWORD_FLOOR, NEAR_RANKS, STRONG_MARGIN
 from tidemark.functions.scale import top_per_group
 from tidemark.session import cut_lineage
 
@@ -357,7 +358,7 @@ def rank_table(results: DataFrame) -> DataFrame:
 def compare_rankings(results: DataFrame, k: int = 5) -> DataFrame:
     """How the hybrid head overlaps with the two single-method heads, per query."""
     top = rank_table(results).filter(F.col("hybrid_rank") <= k)
-    v, b = F.coalesce("vector_rank", F.lit(999)), F.coalesce("bm25_rank", F.lit(999))
+    v, b = F.coalesce("vector_rank", F.lit(ABSENT_RANK)), F.coalesce("bm25_rank", F.lit(ABSENT_RANK))
     return top.groupBy("query_id").agg(
         F.count("*").alias("hybrid_results"),
         F.count_if(b <= k).alias("from_bm25"), F.count_if(v <= k).alias("from_vector"),
@@ -370,11 +371,11 @@ def compare_rankings(results: DataFrame, k: int = 5) -> DataFrame:
 
 def explain_rank(ranks: DataFrame) -> DataFrame:
     """Why the hybrid rank differs, by ordered rules, and the movement against the vector list."""
-    v, b, h = (F.coalesce(c, F.lit(999)) for c in ("vector_rank", "bm25_rank", "hybrid_rank"))
+    v, b, h = (F.coalesce(c, F.lit(ABSENT_RANK)) for c in ("vector_rank", "bm25_rank", "hybrid_rank"))
     rules = [
-        ((v <= 2) & (b > 3), "semantic_without_keywords", "semantic"),
-        ((b <= 2) & (v > 3), "keywords_only", "keyword"),
-        ((v <= 3) & (b <= 3) & (h == 1), "strong_in_both", "balanced"),
+        ((v <= BEST_RANKS) & (b > NEAR_RANKS), "semantic_without_keywords", "semantic"),
+        ((b <= BEST_RANKS) & (v > NEAR_RANKS), "keywords_only", "keyword"),
+        ((v <= NEAR_RANKS) & (b <= NEAR_RANKS) & (h == 1), "strong_in_both", "balanced"),
         ((h < v) & (h < b), "boosted_by_fusion", "balanced"),
         ((h >= F.least(v, b)) & (h <= F.greatest(v, b)), "averaged_by_fusion", "balanced"),
         (v < b, "semantic_wins", "semantic"),
@@ -390,11 +391,11 @@ def explain_rank(ranks: DataFrame) -> DataFrame:
 
 
 def explain_score(scores: DataFrame) -> DataFrame:
-    """Insight per score column pair and rank triple, with the fixed margins 0.15 and 0.7."""
+    """Insight per score column pair and rank triple, with a fixed margin and floor."""
     v, b = F.coalesce("vector_score", F.lit(0.0)), F.coalesce("bm25_score", F.lit(0.0))
-    vr, br, hr = (F.coalesce(c, F.lit(99)) for c in ("vector_rank", "bm25_rank", "hybrid_rank"))
-    vector = F.when(v > b + 0.15, "strong").when(v > b, "moderate").otherwise("present")
-    keyword = (F.when(b > v + 0.15, "strong").when(b > v, "good").when(b < 0.7, "missing_keywords").otherwise("moderate"))
+    vr, br, hr = (F.coalesce(c, F.lit(ABSENT_INSIGHT_RANK)) for c in ("vector_rank", "bm25_rank", "hybrid_rank"))
+    vector = F.when(v > b + STRONG_MARGIN, "strong").when(v > b, "moderate").otherwise("present")
+    keyword = (F.when(b > v + STRONG_MARGIN, "strong").when(b > v, "good").when(b < KEYWORD_FLOOR, "missing_keywords").otherwise("moderate"))
     between = ((hr > vr) & (hr < br)) | ((hr < vr) & (hr > br))
     hybrid = (F.when((hr < vr) & (hr < br), "boosted").when(between, "balanced")
               .when((hr == vr) | (hr == br), "maintained").otherwise("combined"))

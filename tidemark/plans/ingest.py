@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidemark.functions import times
 from tidemark.operators import ingest as W
 from tidemark.operators.digests import RangedTable
-from tidemark.plans.commerce import _legacy_items
 from tidemark.plans.register import Registry
 from tidemark.plans.views_sql import sql
 from tidemark.session import cut_lineage, work_path

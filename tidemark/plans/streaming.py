@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, latency as S
+from tidemark.operators import latency as S
 from tidemark.operators.digests import RangedTable
 from tidemark.plans.corpus import _MENTIONS, _NEAR
 from tidemark.plans.ingest import _PAIR, _replica, _since, _source

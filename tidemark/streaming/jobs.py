@@ -34,11 +34,6 @@ def _versions(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}")
 
 
-def _upto(spark: SparkSession, folder: str, name: str, batch_id: int) -> DataFrame:
-    """Everything stored by the batches up to this one (a replay must not see later ones)."""
-    return _versions(spark, folder, name).filter(F.col("batch_id") <= batch_id).drop("batch_id")
-
-
 def ingest_clickstream(messages: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
     """JSON messages into a day-partitioned fact table and a reject table, exactly once, with counters for every micro-batch.
 
@@ -329,7 +324,7 @@ def cdc_loop(ticks: DataFrame, read_source: Callable[[], DataFrame], base: DataF
             target = cdc_view(spark, folder, base, key, before=batch_id)
             marks = spark.read.parquet(f"{folder}/watermark/batch_id={batch_id - 1}")
             mark, top = marks.select("watermark").scalar(), marks.select("top_key").scalar()
-            earlier = _upto(spark, folder, "changes", batch_id - 1).filter(F.col("updated_at") >= mark)
+            earlier = spark.read.parquet(f"{folder}/at_mark/batch_id={batch_id - 1}")
 
         def stored(rows: DataFrame, name: str) -> DataFrame:
             _save(rows, folder, name, batch_id)
@@ -352,6 +347,9 @@ def cdc_loop(ticks: DataFrame, read_source: Callable[[], DataFrame], base: DataF
             counts = counts.unionByName(df.agg(F.lit(step).alias("step"), F.count("*").alias("rows")))
         _save(counts, folder, "counts", batch_id)
         last = ingest.next_watermark(changes, mark, key).select("watermark")
+        # Of all applied changes the next tick needs those at its mark's own instant, which it reads again.
+        done = changes if earlier is None else changes.unionByName(earlier)
+        _save(done.filter(F.col("updated_at") == last.scalar()), folder, "at_mark", batch_id)
         highest = new.agg(F.coalesce(F.max(key), top).alias("top_key"))
         _save(last.withColumn("top_key", highest.scalar()), folder, "watermark", batch_id)
     return _start(ticks, folder, every).foreachBatch(apply).start()
