@@ -206,7 +206,7 @@ def _search(hits: DataFrame, items: list[tuple], weights: np.ndarray, totals: tu
     n_docs, n_terms = totals
     shards = max(1, -(-n_docs // shard))
     shipped = spark.sparkContext.broadcast((items, weights))
-    schema = f"place int, doc_id long, score long"
+    schema = "place int, doc_id long, score long"
 
     def rank(table: pa.Table) -> pa.Table:
         asked, w = shipped.value

@@ -87,7 +87,19 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs, window=20, kept_text=False).drop("text")
 
 
-@query("op5_repeat_groups")
+@query("op5_repeat_groups", sql="""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, s, md5(b[s:s + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS s FROM d WHERE octet_length(b) >= 400)),
+r AS (SELECT doc_id, s FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1),
+n AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400 THEN 0 ELSE 1 END AS new FROM r),
+i AS (SELECT doc_id, min(s) AS a, max(s) + 399 AS e FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM n) GROUP BY doc_id, g),
+p AS (SELECT doc_id, a, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS f, a - 1 AS t FROM i
+  UNION ALL SELECT d.doc_id, octet_length(b) + 1, coalesce(max(e), 0) + 1, octet_length(b) FROM d LEFT JOIN i ON i.doc_id = d.doc_id GROUP BY d.doc_id, b),
+k AS (SELECT p.doc_id, string_agg(CASE WHEN t >= f THEN hex(b[f:t]) ELSE '' END, '' ORDER BY a) AS kept FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(sum(e - a + 1), 0)::BIGINT AS n_removed, count(a) AS n_spans,
+  sha256(unhex(any_value(kept))) AS kept_sha256
+FROM d LEFT JOIN i ON i.doc_id = d.doc_id JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id, b
+""")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return repeat_groups.remove_repeats(docs, window=400, kept=False).drop("text")
