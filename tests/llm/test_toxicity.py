@@ -34,9 +34,16 @@ def test_labelled_and_odd_rows(spark, tables):
     assert got.count() == rows.count() and all(0 <= s <= 1 for s in scores.values())
     assert got.filter((F.col("score") >= 0.3) != (F.col("predicted") == 1)).count() == 0
     assert scores[10**6] == scores[10**6 + 1] == scores[10**6 + 4] and scores[10**6 + 2] == scores[10**6 + 3]
-    marks = [(r["toxic"], scores[r["doc_id"]]) for r in labels.collect() if r["doc_id"] in scores]
+
+
+def test_held_out_rows_are_ranked(spark):
+    """Only rows that fit did not learn from: with some 45 toxic documents to learn from, a toxic one scores above another in over 0.8 of the pairs."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    network = toxicity.fit(docs, labels.filter(~common.held_out("doc_id")))
+    held = docs.join(labels.filter(common.held_out("doc_id")).select("doc_id", "toxic"), "doc_id").select("doc_id", "text", "toxic")
+    marks = [(r["toxic"], r["score"]) for r in toxicity.score(held, network).collect()]
     bad, fine = ([s for t, s in marks if t == k] for k in (1, 0))
-    assert sum(b > f for b in bad for f in fine) > 0.8 * len(bad) * len(fine)
+    assert len(bad) > 5 and sum(b > f for b in bad for f in fine) > 0.8 * len(bad) * len(fine)
 
 
 def test_empty_tables(spark, tables):
