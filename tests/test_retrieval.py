@@ -8,6 +8,7 @@ import pytest
 
 from tidemark.operators import corpus, graph, retrieval
 from tidemark.functions import vectors
+from tidemark.session import work_path
 
 
 @pytest.fixture(scope="module")
@@ -151,7 +152,7 @@ def test_a_step_along_a_stored_graph_does_not_shuffle_triples(spark):
     try:
         step = triples.join(frontier, "source_entity", "left_semi")
         step.collect()
-        plan = step._jdf.queryExecution().executedPlan().toString()
+        plan = step._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
         edges = graph.hop_edges(triples, ["e1", "e2"], 4)
         got = {(r["source_entity"], r["hop"]) for r in edges.collect()}
