@@ -74,7 +74,15 @@ def _drawn(docs: DataFrame, text: str, lang: str, doc_id: str, rows_per_lang: in
         .filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.octet_length("text") > 0))
     # Not negative; the highest bit in use tells a text that alone exceeds the sample.
     draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(10)), 2) + F.when(F.octet_length("text") > bytes_per_lang, 2**62).otherwise(0)
-    near = common.least_draws(labelled.withColumn("draw", draw), "lang", "draw", skip + rows_per_lang)
+    labelled = labelled.withColumn("draw", draw).withColumn("range", F.shiftright("draw", 52))
+    # Ranges of the draw are counted first; their bounds, one a language, go into the plan, so no text moves but those drawn.
+    earlier = F.sum("count").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    bounds = (labelled.groupBy("lang", "range").count().withColumn("earlier", F.coalesce(earlier, F.lit(0)))
+              .filter(F.col("earlier") < skip + rows_per_lang).groupBy("lang").agg(F.max("range").alias("range")).collect())
+    if not bounds:
+        return []
+    known = F.create_map(*[F.lit(x) for r in bounds for x in (r["lang"], r["range"])])
+    near = labelled.filter(F.col("range") <= known[F.col("lang")])
     order = Window.partitionBy("lang").orderBy("draw", "id", "text")
     placed = near.withColumn("place", F.row_number().over(order)).filter((F.col("place") > skip) & (F.col("place") <= skip + rows_per_lang))
     before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
