@@ -154,8 +154,9 @@ def scorer(model: LanguageModel) -> Callable[[pa.Array], tuple[pa.Array, pa.Arra
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[[*range(65, 91), *range(97, 123)]] = 1
 
-#: Bits that a text may cost beyond its language's rate: its start, which no context foretells.
-START_BITS = 64
+#: Bits that a text may cost beyond its language's rate: its start, which no context foretells, and a value such as a
+#: number or a token, which alone can outweigh the words of a short text.
+START_BITS = 512
 
 
 def limits(model: LanguageModel, docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows_per_lang: int = 150,
