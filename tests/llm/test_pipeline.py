@@ -42,3 +42,15 @@ def test_pipeline_by_stages(spark, sf):
     whole = corpus_pipeline.run(spark, sf)
     assert whole.columns == packed.columns and whole.agg(F.sum("length")).first()[0] == tokens
     assert np.all([c in whole.columns for c in ("doc_id", "sequence_id", "offset", "ids_crc32")])
+
+
+def test_noise_and_unlearned_languages_go(spark):
+    """Long noise and a language that no label names are rejected; every document of the table with a letter stays, short ones with a token too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    draw = np.random.default_rng(3)
+    russian = " ".join("".join(chr(0x430 + k) for k in draw.integers(0, 32, 6)) for _ in range(500))
+    noise = "".join(chr(33 + k) for k in draw.integers(0, 93, 4000))
+    odd = spark.createDataFrame([(10**6, russian, None, "s", 0), (10**6 + 1, noise, None, "s", 0),
+                                 (10**6 + 2, 'the token = "6cfd1f1f244d4c4c327ecfd8fd9898497c475388" in.', None, "s", 0)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(odd), "").select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.filter(F.col("text").rlike(r"\p{L}")).collect()} | {10**6 + 2}

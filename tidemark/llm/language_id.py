@@ -68,8 +68,8 @@ def contexts(starts: np.ndarray, symbols: np.ndarray, size: int) -> np.ndarray:
     return code
 
 
-def _drawn(docs: DataFrame, text: str, lang: str, doc_id: str, rows_per_lang: int, bytes_per_lang: int, skip: int = 0) -> list:
-    """``lang, text`` of the rows that ``fit`` learns from, or of those that follow the first ``skip`` of a language."""
+def _drawn(docs: DataFrame, text: str, lang: str, doc_id: str, rows_per_lang: int, bytes_per_lang: int) -> list:
+    """``lang, text`` of the rows that ``fit`` learns from."""
     labelled = docs.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")) \
         .filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.octet_length("text") > 0))
     # Not negative; the highest bit in use tells a text that alone exceeds the sample.
@@ -78,13 +78,13 @@ def _drawn(docs: DataFrame, text: str, lang: str, doc_id: str, rows_per_lang: in
     # Ranges of the draw are counted first; their bounds, one a language, go into the plan, so no text moves but those drawn.
     earlier = F.sum("count").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     bounds = (labelled.groupBy("lang", "range").count().withColumn("earlier", F.coalesce(earlier, F.lit(0)))
-              .filter(F.col("earlier") < skip + rows_per_lang).groupBy("lang").agg(F.max("range").alias("range")).collect())
+              .filter(F.col("earlier") < rows_per_lang).groupBy("lang").agg(F.max("range").alias("range")).collect())
     if not bounds:
         return []
     known = F.create_map(*[F.lit(x) for r in bounds for x in (r["lang"], r["range"])])
     near = labelled.filter(F.col("range") <= known[F.col("lang")])
     order = Window.partitionBy("lang").orderBy("draw", "id", "text")
-    placed = near.withColumn("place", F.row_number().over(order)).filter((F.col("place") > skip) & (F.col("place") <= skip + rows_per_lang))
+    placed = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows_per_lang)
     before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     return (placed.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < bytes_per_lang)
             .orderBy("lang", "place").select("lang", "text").collect())
@@ -154,24 +154,9 @@ def scorer(model: LanguageModel) -> Callable[[pa.Array], tuple[pa.Array, pa.Arra
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[[*range(65, 91), *range(97, 123)]] = 1
 
-#: Bits that a text may cost beyond its language's rate: its start, which no context foretells, and a value such as a
-#: number or a token, which alone can outweigh the words of a short text.
-START_BITS = 512
-
-
-def limits(model: LanguageModel, docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows_per_lang: int = 150,
-           bytes_per_lang: int = 1_000_000, share: float = 0.99, factor: float = 1.5, least: int = 20) -> dict[str, float]:
-    """Bits a byte beyond which a text is hardly of its language: ``factor`` times the ``share`` quantile of labelled texts that ``fit``,
-    called with the same numbers, did not learn from. A language with fewer than ``least`` such texts has no limit."""
-    rows = _drawn(docs, text, lang, doc_id, rows_per_lang, bytes_per_lang, skip=rows_per_lang)
-    if not rows or not model.langs:
-        return {}
-    found, _, rates = (a.to_pylist() for a in scorer(model)(pa.array([r["text"] for r in rows], pa.string())))
-    by_lang: dict[str, list[float]] = {}
-    for r, name, rate in zip(rows, found, rates):
-        if name == r["lang"]:
-            by_lang.setdefault(name, []).append(max(0.0, rate - START_BITS / len(r["text"].encode("utf-8", "replace"))))
-    return {name: factor * float(np.quantile(v, share)) for name, v in by_lang.items() if len(v) >= least}
+#: Bits a byte of a text that no tree can shorten, and bits that a text may cost besides: its start, which no context
+#: foretells, and a value such as a token, which alone can outweigh the words of a short text.
+RAW_BITS, FREE_BITS = 8, 512
 
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
