@@ -22,18 +22,15 @@ def _with_text(docs: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter whose best language explains them: at most the bits a byte that held-back labelled texts of that language
-    lead to expect, with a margin (``language_id.limits``). Noise and languages that no label names go."""
-    labelled = docs.filter(~common.held_out("doc_id"))
-    model = language_id.fit(labelled)
-    limits = language_id.limits(model, labelled)
+    """Documents with a letter that their best language's tree codes in fewer than eight bits a byte (512 bits apart).
+
+    Noise and languages that no label names cost more, as their symbols and contexts are unknown to every tree.
+    """
+    model = language_id.fit(docs.filter(~common.held_out("doc_id")))
     aside = {f.name: f"_documents_{f.name}" for f in language_id.FIELDS if f.name in docs.columns}
     found = language_id.identify(docs.withColumnsRenamed(aside), model)
-    limit = F.lit(None).cast("double")
-    for name, bits in limits.items():  # one entry a learned language
-        limit = F.when(F.col("lang_pred") == name, bits).otherwise(limit)
-    rate = F.col("bits_per_byte") - language_id.START_BITS / F.octet_length("text")
-    kept = found.filter((F.col("lang_pred") != language_id.NONE) & F.coalesce(rate <= limit, F.lit(True)))
+    rate = F.col("bits_per_byte") - language_id.FREE_BITS / F.octet_length("text")
+    kept = found.filter((F.col("lang_pred") != language_id.NONE) & (rate < language_id.RAW_BITS))
     return kept.drop(*[f.name for f in language_id.FIELDS]).withColumnsRenamed({b: a for a, b in aside.items()}).select(*docs.columns)
 
 
