@@ -21,9 +21,8 @@ def all_oracles() -> dict:
 
 
 def load(spark, sf: str) -> None:
-    """Build the tables that queries share (orders with their JSON columns, funnel, triples, chunk index), as loading the data would."""
+    """Build the tables that queries share (funnel, triples, chunk index), as loading the data would."""
     from tidemark.plans import commerce, corpus, retrieval
-    commerce._orders(spark, sf)
     commerce._funnel(spark, sf)
     corpus._triples(spark, sf)
     retrieval._index(spark, sf)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import times
 from tidemark.functions.fixed_values import FIRST_NAMES_EVEN, FIRST_NAMES_ODD, LAST_NAMES, PRODUCT_CATALOGUE
 from tidemark.operators import commerce as E
 from tidemark.plans.register import Registry
 from tidemark.plans.views_sql import sql
-from tidemark.session import work_path
+from tidemark.session import cut_lineage, work_path
 from tidemark.sources import testmodel as m
 from tidemark.sources.kept import kept
 from tidemark.streaming import jobs
@@ -59,13 +60,12 @@ def _funnel(spark, sf):
     return kept(spark, "funnel", f"{sf}/events.parquet", load)
 
 
-def _orders(spark, sf):
-    """The stored orders with their JSON columns, in the order of their dates, so that a time range lies in few files."""
-    def load():
-        folder = work_path(spark, "orders")
-        m.ecommerce(spark, sf).repartitionByRange("order_date").sortWithinPartitions("order_date").write.parquet(folder)
-        return folder
-    return spark.read.parquet(kept(spark, "orders", sf, load))
+def _recent(spark, sf, hours):
+    """Orders of the last hours with their JSON columns, and the newest date of all: only their lines are shuffled and made to JSON."""
+    headers = m.customer_orders(spark, sf)
+    newest = headers.agg(F.max("order_date")).first()[0]
+    recent = cut_lineage(headers.filter(F.col("order_date") >= times.ago(newest, hours, "hour")))
+    return m.ecommerce(spark, sf, recent), newest
 
 
 @register("e4_product_ranking", sql("ecommerce", """
@@ -85,7 +85,8 @@ SELECT partner_id, name, coalesce(category, 'Uncategorized') AS category, revenu
   CASE WHEN prev_revenue > 0 THEN (revenue - prev_revenue) / prev_revenue ELSE 0 END AS growth_rate
 FROM ranked WHERE current_rank <= 20"""))
 def e4(spark, sf):
-    return E.product_ranking(_orders(spark, sf), k=20, days=90)
+    orders, newest = _recent(spark, sf, 24 * 180)
+    return E.product_ranking(orders, k=20, as_of=newest, days=90)
 
 
 @register("e5_summary_stats", sql("order_headers", f"""
@@ -117,7 +118,8 @@ SELECT partner_id, category, revenue, orders FROM (
       WHERE order_date >= (SELECT max(order_date) FROM ecommerce) - INTERVAL {HOURS} HOUR)
     GROUP BY 1, 2)) WHERE rn <= 10"""))
 def e7(spark, sf):
-    return E.top_categories(_orders(spark, sf), hours=HOURS)
+    orders, newest = _recent(spark, sf, HOURS)
+    return E.top_categories(orders, hours=HOURS, as_of=newest)
 
 
 @register("e8_events_per_minute", sql("clickstream", """
@@ -149,9 +151,11 @@ SELECT {_ORDER_COLUMNS} FROM (
   SELECT *, row_number() OVER (PARTITION BY partner_id ORDER BY order_date DESC, order_id DESC) AS rn FROM ecommerce)
 WHERE rn <= 20"""))
 def e10(spark, sf):
-    orders = _orders(spark, sf)
-    newest = E.newest_keys(orders, 20).select("order_id")
-    return E.recent_orders(orders.join(newest, "order_id", "left_semi"), limit=20)
+    headers = m.customer_orders(spark, sf)
+    newest = cut_lineage(E.newest_keys(headers, 20).select("order_id"))
+    # At most 20 keys a partner, so they go to the orders and lines, not these to them.
+    wanted = cut_lineage(headers.join(F.broadcast(newest), "order_id", "left_semi"))
+    return E.recent_orders(m.ecommerce(spark, sf, F.broadcast(wanted)), limit=20)
 
 
 @register("e11_recent_clickstream", sql("clickstream", """
@@ -169,7 +173,7 @@ SELECT order_id, coalesce(category, '[]') AS category_json, coalesce(manufacture
   coalesce(json_array_length(products), 0) AS n_products, CASE WHEN json_valid(geoip) THEN geoip ELSE '{}' END AS geoip_json
 FROM ecommerce"""))
 def e12(spark, sf):
-    parsed = E.parse_json_columns(_orders(spark, sf))
+    parsed = E.parse_json_columns(m.ecommerce(spark, sf))
     return parsed.select(
         "order_id", F.to_json("category_json").alias("category_json"),
         F.to_json("manufacturer_json").alias("manufacturer_json"),
