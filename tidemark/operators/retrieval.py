@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import text, vectors
@@ -59,8 +60,12 @@ class ChunkIndex:
 
     def statistics(self, terms: Sequence[str]) -> "Statistics":
         """Counts of a query's terms; the terms lie in order, so only their files' parts are read."""
+        return Statistics(F.lit(float(self.count)), F.lit(self.mean_length), {t: F.lit(n) for t, n in self.frequencies(terms).items()})
+
+    def frequencies(self, terms: Sequence[str]) -> dict[str, float]:
+        """Chunks that hold each term."""
         found = {r["term"]: r["df"] for r in self.terms.filter(F.col("term").isin(list(terms))).collect()} if terms else {}
-        return Statistics(F.lit(float(self.count)), F.lit(self.mean_length), {t: F.lit(float(found.get(t, 0))) for t in terms})
+        return {t: float(found.get(t, 0)) for t in terms}
 
 
 @dataclass(frozen=True)
@@ -168,18 +173,51 @@ def bm25(chunks: DataFrame | ChunkIndex, queries: Sequence[tuple[str, str]], k:
     """The ``k`` best chunks per query text. Without an index, lengths and hits are stored once, for the statistics and the scores."""
     per_query, terms = _terms(queries)
     if isinstance(chunks, ChunkIndex):
-        hits = _hits(chunks.rows.select("row_id", "tokens"), terms).drop("tokens")
-        model = _model(per_query, chunks.statistics(terms))
+        scored = _best_by_batch(chunks, per_query, terms, k, k1, b)
     else:
         hits = cut_lineage(_hits(chunks.select("row_id", "content"), terms).drop("content"))
-        model = _from_rows(hits, per_query, terms)
-    found = _scored(hits.filter(F.size("_hits") > 0), model, k1, b)
-    # The outer form keeps the optimizer from testing the array's size first, which
-    # would compute every score twice.
-    scored = found.select("row_id", F.inline_outer("scores")).filter("score > 0")
+        found = _scored(hits.filter(F.size("_hits") > 0), _from_rows(hits, per_query, terms), k1, b)
+        # The outer form keeps the optimizer from testing the array's size first, which
+        # would compute every score twice.
+        scored = found.select("row_id", F.inline_outer("scores")).filter("score > 0")
     return top_per_group(scored, "query_id", [F.desc("score"), F.asc("row_id")], k, ["row_id"], rank="rank")
 
 
+def _best_by_batch(index: ChunkIndex, per_query: list[tuple[str, list[str]]], terms: list[str], k: int, k1: float, b: float) -> DataFrame:
+    """``query_id, row_id, score`` of the ``k`` best chunks of every batch of stored rows: a chunk × term matrix times a term × query one."""
+    rows, mean = index.rows.select("row_id", "tokens"), index.mean_length or 1.0
+    schema = f"query_id string, row_id {rows.schema['row_id'].dataType.simpleString()}, score double"
+    if not terms:
+        return rows.sparkSession.createDataFrame([], schema)
+    df = np.array(list(index.frequencies(terms).values()))
+    idf, names = np.log(1.0 + (index.count - df + 0.5) / (df + 0.5)), [qid for qid, _ in per_query]
+    weights = np.array([[idf[i] if t in words else 0.0 for _, words in per_query] for i, t in enumerate(terms)])
+    step = max(1, MATRIX_CELLS // max(weights.shape))
+
+    def score(batches):
+        wanted = pa.array(terms, pa.string())
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                ids, tokens = part.column("row_id"), part.column("tokens")
+                length = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+                place = pc.fill_null(pc.index_in(tokens.flatten().cast(pa.string()), value_set=wanted), -1).to_numpy(zero_copy_only=False)
+                cell = np.repeat(np.arange(part.num_rows), length) * len(terms) + place
+                tf = np.bincount(cell[place >= 0], minlength=part.num_rows * len(terms)).reshape(part.num_rows, len(terms))
+                with np.errstate(invalid="ignore"):  # an empty chunk is 0 / 0 where b is 1, and no score
+                    tf = tf * (k1 + 1.0) / (tf + (k1 * (1.0 - b + b * length / mean))[:, None])
+                scores, order = np.round(tf @ weights, SCORE_DIGITS), np.asarray(ids.to_pylist())
+                for q, name in enumerate(names):
+                    s = scores[:, q]
+                    keep = np.flatnonzero(s > 0)
+                    if len(keep) > 4 * k:
+                        keep = keep[s[keep] >= -np.partition(-s[keep], k - 1)[k - 1]]
+                    best = keep[np.lexsort((order[keep], -s[keep]))[:k]]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), pa.string()), ids.take(pa.array(best, pa.int64())), pa.array(s[best])],
+                                                     names=["query_id", "row_id", "score"])
+    return rows.mapInArrow(score, schema)
+
+
 def bm25_batch(chunks: DataFrame | ChunkIndex, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 for a table of query texts ``(query_id, query)`` of any length: shards of chunks meet blocks of queries.
 

@@ -44,7 +44,8 @@ def _index(spark, sf):
     """The stored chunks with tokens, vectors and statistics."""
     def load():
         folder = work_path(spark, "chunk-index")
-        R.build_index(m.embedded_chunks(spark, sf), folder)
+        # Entities and triples have stores of their own; here they would cost more than the tokens.
+        R.build_index(m.embedded_chunks(spark, sf).drop("entity_names", "relationships"), folder)
         return folder
     return R.open_index(spark, kept(spark, "chunk_index", sf, load))
 
