@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import text
 from tidemark.functions.fixed_values import CONTENT_TYPE_ORDER
 from tidemark.functions.scale import collect_in_pages
-from tidemark.operators.graph import neighbour_pairs
 
 SYSTEM_PROMPT_TOKENS = 245
 TOKEN_LIMIT = 8192
@@ -107,19 +106,32 @@ def citations(answers: DataFrame, keys: Sequence[str], answer: str = "text") ->
         ref.alias("ref_id"), F.regexp_extract("mark", r"^!\[([^\]]*)\]", 1).alias("alt_text"))
 
 
-def context_window(chunks: DataFrame, n: int = 2) -> DataFrame:
-    """Every chunk with up to ``n`` contents before and after it, in order."""
-    pairs = neighbour_pairs(chunks, n, ["content"])
+def context_window(chunks: DataFrame, n: int = 2, page: int = 64) -> DataFrame:
+    """Every chunk with up to ``n`` contents before and after it, in order.
 
-    def side(test: Column) -> Column:
-        near = F.array_sort(F.collect_list(F.when(test, F.struct("offset", "neighbor", "content"))))
-        return F.transform(near, lambda x: x["content"])
-    around = pairs.groupBy("tenant_id", "corpus_id", F.col("src_chunk").alias("row_id")).agg(
-        side(F.col("offset") < 0).alias("before"), side(F.col("offset") > 0).alias("after"))
-    none = F.array().cast("array<string>")
-    return (chunks.select("tenant_id", "corpus_id", "row_id", "content")
-            .join(around, ["tenant_id", "corpus_id", "row_id"], "left")
-            .withColumns({"before": F.coalesce("before", none), "after": F.coalesce("after", none)}))
+    Documents are dealt in pages of positions, so a long one spreads over tasks; only the ``n`` chunks at either end of a page
+    are sent to the next page as well. A content is shuffled about once, not once for each neighbour.
+    """
+    home = ["tenant_id", "corpus_id", "doc_id"]
+    at, placed = F.col("chunk_index"), F.lit(True)
+    for c in [*home, "chunk_index"]:
+        placed &= F.col(c).isNotNull()
+    own = F.floor(at / page)
+    first, last = F.floor(F.greatest(at - n, F.least(at, F.lit(0))) / page), F.floor((at + n) / page)
+    # A chunk without a place has no neighbours and a page of its own.
+    rows = (chunks.select(*home, "row_id", "content", "chunk_index").withColumn("_placed", placed)
+            .withColumn("_own", F.when(F.col("_placed"), own).otherwise(F.xxhash64("row_id")))
+            .withColumn("_page", F.explode(F.when(F.col("_placed"), F.sequence(first, last)).otherwise(F.array("_own")))))
+    by_place = Window.partitionBy(*home, "_page").orderBy("chunk_index")
+
+    def side(low: int, high: int) -> Column:
+        return F.collect_list(F.struct("chunk_index", "row_id", "content")).over(by_place.rangeBetween(low, high))
+
+    def contents(c: str) -> Column:
+        near = F.array_sort(F.filter(c, lambda x: F.col("_placed") & (x["row_id"] != F.col("row_id"))))
+        return F.transform(near, lambda x: x["content"]).alias(c)
+    found = rows.withColumns({"before": side(-n, -1), "after": side(1, n)}).filter(F.col("_page") == F.col("_own"))
+    return found.select("tenant_id", "corpus_id", "row_id", "content", contents("before"), contents("after"))
 
 
 def by_content_type(chunks: DataFrame, content_type: str) -> DataFrame:
