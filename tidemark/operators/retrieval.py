@@ -184,9 +184,9 @@ def bm25(chunks: DataFrame | ChunkIndex, queries: Sequence[tuple[str, str]], k:
 
 
 def _best_by_batch(index: ChunkIndex, per_query: list[tuple[str, list[str]]], terms: list[str], k: int, k1: float, b: float) -> DataFrame:
-    """``query_id, row_id, score`` of the ``k`` best chunks of every batch of stored rows: a chunk × term matrix times a term × query one."""
+    """``row_id, query_id, score`` of the ``k`` best chunks of every batch of stored rows: a chunk × term matrix times a term × query one."""
     rows, mean = index.rows.select("row_id", "tokens"), index.mean_length or 1.0
-    schema = f"query_id string, row_id {rows.schema['row_id'].dataType.simpleString()}, score double"
+    schema = f"row_id {rows.schema['row_id'].dataType.simpleString()}, query_id string, score double"
     if not terms:
         return rows.sparkSession.createDataFrame([], schema)
     df = np.array(list(index.frequencies(terms).values()))
@@ -213,8 +213,8 @@ def _best_by_batch(index: ChunkIndex, per_query: list[tuple[str, list[str]]], te
                     if len(keep) > 4 * k:
                         keep = keep[s[keep] >= -np.partition(-s[keep], k - 1)[k - 1]]
                     best = keep[np.lexsort((order[keep], -s[keep]))[:k]]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), pa.string()), ids.take(pa.array(best, pa.int64())), pa.array(s[best])],
-                                                     names=["query_id", "row_id", "score"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(best, pa.int64())), pa.array([name] * len(best), pa.string()), pa.array(s[best])],
+                                                     names=["row_id", "query_id", "score"])
     return rows.mapInArrow(score, schema)
 
 
