@@ -25,7 +25,7 @@ def _replica(spark, sf):
 
 def _source(spark, sf):
     """Orders that have line items; the others were deleted at the source."""
-    lines = m.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"))
+    lines = m.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id")).distinct()
     orders = m.order_headers(spark, sf).withColumn(
         "order_status", F.when(F.col("updated_at") > F.col("created_at"), "shipped").otherwise(F.col("order_status")))
     return orders.join(lines, "order_id", "left_semi")
