@@ -38,12 +38,12 @@ class DigestTree:
         self.spark = spark
         self.levels = [PartedTable(spark, f"{folder}/level={level}") for level in range(DEPTH + 1)]
 
-    def update(self, leaves: DataFrame, touched: Iterable[int], version: int) -> None:
-        """Put ``leaves`` in place of the ``touched`` ranges' digests, and renew the nodes above them."""
-        nodes = set(touched)
-        for level, table in enumerate(self.levels):
-            parts = {n >> FAN_BITS for n in nodes}
-            old = table.read(parts, before=version)
+    def update(self, leaves: DataFrame, touched: Iterable[int] | None, version: int) -> None:
+        """Put ``leaves`` in place of the ``touched`` ranges' digests (of all if None), and renew the nodes above them."""
+        nodes = None if touched is None else set(touched)
+        for table in self.levels:
+            parts = None if nodes is None else {n >> FAN_BITS for n in nodes}
+            old = None if nodes is None else table.read(parts, before=version)
             if old is not None:
                 gone = self.spark.createDataFrame([(n,) for n in nodes], "node long")
                 leaves = leaves.unionByName(old.join(gone, "node", "left_anti"))
@@ -77,7 +77,11 @@ class DigestTree:
 
 
 class RangedTable:
-    """Rows in key ranges with their digest tree; a change rewrites the ranges it touches and their digests."""
+    """Rows in key ranges with their digest tree; a change renews the digests of the ranges it touches.
+
+    The rows of 64 ranges share a folder, as their digests do, so there are few files however many ranges a table has. A
+    change rewrites the folders of its ranges; their other ranges are carried over as they are.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, key: str, bits: int = BITS):
         self.spark, self.key, self.bits = spark, key, bits
@@ -89,22 +93,32 @@ class RangedTable:
         return done[-1] if done else -1
 
     def read(self, ranges: Iterable[int] | None = None, before: int | None = None) -> DataFrame | None:
-        return self.rows.read(ranges, before)
+        """All rows, or those of the given ranges, whose folders alone are opened."""
+        if ranges is None:
+            return self.rows.read(None, before)
+        return self._of(ranges, "left_semi", before)
+
+    def _of(self, ranges: Iterable[int], how: str, before: int | None) -> DataFrame | None:
+        """Rows in the given ranges, or the others in their folders; one number a range is broadcast."""
+        wanted = set(ranges)
+        found = self.rows.read({r >> FAN_BITS for r in wanted}, before)
+        if found is None:
+            return None
+        listed = F.broadcast(self.spark.createDataFrame([(r,) for r in wanted], "_range long"))
+        return found.join(listed, range_of(self.key, self.bits) == F.col("_range"), how)
 
     def touched(self, keys: DataFrame) -> list[int]:
         """The ranges of these keys."""
         return sorted(r[0] for r in keys.select(range_of(self.key, self.bits)).distinct().collect())
 
-    def replace(self, rows: DataFrame, version: int, ranges: Iterable[int] | None = None) -> list[int]:
-        """``rows`` take the place of the given ranges, or of the whole table; returns the ranges."""
-        whole = ranges is None
-        self.rows.replace(rows, range_of(self.key, self.bits), version, ranges)
-        if whole:
-            listed = [int(p) for p in self.rows._list()["parts"]]
-            old = self.tree.levels[0].read(before=version)
-            ranges = set(listed) | ({r["node"] for r in old.select("node").collect()} if old is not None else set())
-            now = self.rows.read(before=version + 1)
+    def replace(self, rows: DataFrame, version: int, ranges: Iterable[int] | None = None) -> None:
+        """``rows`` take the place of the given ranges, or of the whole table."""
+        folder = F.shiftright(range_of(self.key, self.bits), FAN_BITS)
+        if ranges is None:
+            self.rows.replace(rows, folder, version)
         else:
-            now = self.rows.read(ranges, before=version + 1)
-        self.tree.update(leaves(now, self.key, bits=self.bits), ranges, version)
-        return sorted(ranges)
+            ranges = set(ranges)
+            others = self._of(ranges, "left_anti", version)
+            whole = rows if others is None else rows.unionByName(others)
+            self.rows.replace(whole, folder, version, {r >> FAN_BITS for r in ranges})
+        self.tree.update(leaves(self.read(ranges, before=version + 1), self.key, bits=self.bits), ranges, version)
